@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, simhash
+from . import bpe, media, packing, simhash
 from .tables import read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -25,8 +25,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read(spark, sf_dir, "documents"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.columns(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op7_media": op7_media,
     "op5_simhash": op5_simhash,
     "op10_packing": op10_packing,
 }
