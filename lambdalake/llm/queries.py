@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, simhash
+from . import bpe, media, packing, quality, simhash
 from .tables import read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -29,8 +29,14 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.columns(read(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op9_quality": op9_quality,
     "op7_media": op7_media,
     "op5_simhash": op5_simhash,
     "op10_packing": op10_packing,
