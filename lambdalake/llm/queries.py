@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, quality, simhash
+from . import bpe, language, lines, media, packing, quality, simhash
 from .tables import read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -34,12 +34,22 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(read(spark, sf_dir, "documents"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_language": op3_language,
+    "op6_lines": op6_lines,
     "op9_quality": op9_quality,
     "op7_media": op7_media,
     "op5_simhash": op5_simhash,
     "op10_packing": op10_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_lines": lines.REPORT_SQL}
