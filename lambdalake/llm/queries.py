@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, lines, media, packing, quality, simhash
+from . import bpe, html, language, lines, media, packing, quality, simhash
 from .tables import read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -42,8 +42,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(read(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_html": op2_html,
     "op3_language": op3_language,
     "op6_lines": op6_lines,
     "op9_quality": op9_quality,
