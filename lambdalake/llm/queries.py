@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, language, lines, media, packing, quality, simhash
+from . import bpe, html, language, lines, media, packing, quality, simhash, suffix
 from .tables import read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -46,8 +46,13 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_suffix": op4_suffix,
     "op2_html": op2_html,
     "op3_language": op3_language,
     "op6_lines": op6_lines,
