@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .tables import materialize
 
-SITES, LOG_K = 10, 12
+SITES, LOG_K, KEPT = 10, 12, "__lines_kept"
 
 
 def _split(text: str) -> Column:
@@ -58,20 +58,21 @@ def _kept(gone: Column) -> Column:
 
 
 def with_kept(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
-    """``docs`` with ``kept_lines``, the array of each document's remaining lines (null for a null text)."""
-    gone = removals(docs, site, sites).withColumnRenamed("doc_id", "_id")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_id"), "left").withColumn("kept_lines", _kept(F.col("gone"))).drop("_id", "gone")
+    """``docs`` with KEPT, the array of each document's remaining lines (null for a null text)."""
+    gone = removals(docs, site, sites).toDF("__line_id", "__line_gone")
+    out = docs.join(gone, docs["doc_id"].cast("long") == F.col("__line_id"), "left")
+    return out.withColumn(KEPT, _kept(F.col("__line_gone"))).drop("__line_id", "__line_gone")
 
 
 def dedup(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
     """``docs`` with texts without boilerplate; documents that lose all their lines go."""
-    out = with_kept(docs, site, sites).where("text is null or size(kept_lines) > 0").withColumn("text", F.array_join("kept_lines", "\n"))
+    out = with_kept(docs, site, sites).where(F.col("text").isNull() | (F.size(KEPT) > 0)).withColumn("text", F.array_join(KEPT, "\n"))
     return out.select(docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
     lines = F.coalesce(F.size(_split("text")), F.lit(0)).cast("long")
-    out = with_kept(docs).select("doc_id", lines.alias("n_lines"), F.coalesce(F.size("kept_lines"), F.lit(0)).cast("long").alias("n_kept"), F.md5(F.coalesce(F.array_join("kept_lines", "\n"), F.lit(""))).alias("kept_md5"))
+    out = with_kept(docs).select("doc_id", lines.alias("n_lines"), F.coalesce(F.size(KEPT), F.lit(0)).cast("long").alias("n_kept"), F.md5(F.coalesce(F.array_join(KEPT, "\n"), F.lit(""))).alias("kept_md5"))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.col("n_kept")).alias("n_removed"), "kept_md5")
 
 

@@ -252,7 +252,8 @@ def judge(docs: DataFrame, chain: Chain, share: float = SHARE) -> DataFrame:
 
 def keep(docs: DataFrame, chain: Chain, share: float = SHARE) -> DataFrame:
     """The rows of ``docs`` whose text passes, with all their columns as they were; no join."""
-    index = docs.columns.index("text")
+    names = docs.columns
+    index = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,6 +262,6 @@ def keep(docs: DataFrame, chain: Chain, share: float = SHARE) -> DataFrame:
                 label = viterbi(chain, got.doc, got.bits)
                 ink, content = np.bincount(got.doc, got.ink, minlength=n), np.bincount(got.doc, got.ink * (label == 0), minlength=n)
                 good = (got.words >= 50) & (100 * got.repeats <= 50 * got.words) & (content >= share * ink)
-                yield pa.record_batch(part.filter(pa.array(good)).columns, docs.columns)
+                yield pa.record_batch(part.filter(pa.array(good)).columns, names)
 
     return docs.mapInArrow(run, docs.schema)

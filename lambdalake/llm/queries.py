@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, language, lines, media, packing, quality, simhash, suffix
+from . import bpe, html, language, lines, media, packing, quality, scoring, simhash, suffix
 from .tables import read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -50,8 +50,13 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.report(read(spark, sf_dir, "documents"))
 
 
+def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op8_scoring": op8_scoring,
     "op4_suffix": op4_suffix,
     "op2_html": op2_html,
     "op3_language": op3_language,

@@ -316,7 +316,7 @@ def strip(docs: DataFrame) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = removals(keyed).withColumnRenamed("doc_id", "_id")
-    out = docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col("_id"), "left")
-    out = out.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(left("text", "spans")))
-    return out.where(F.col("spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
+    gone = removals(keyed).toDF("__span_id", "__spans")
+    out = docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col("__span_id"), "left")
+    out = out.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(left("text", "__spans")))
+    return out.where(F.col("__spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
