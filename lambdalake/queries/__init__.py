@@ -1,4 +1,4 @@
-"""Registry of the queries on the reference's operators, with the SQL that each must equal."""
+"""Registry of the queries on list programs, corpora and trials, with the SQL that each must equal."""
 
 from __future__ import annotations
 
@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import dsl
+from .dsl import flagship
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").count()
+__all__ = ["flagship", "oracle_sql", "queries"]
+MODULES = [dsl]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for module in MODULES for name, run in module.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.oracle_sql().items()}
