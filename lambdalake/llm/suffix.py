@@ -11,8 +11,9 @@ form a segment. Then, without any group in one task:
    their anchor: their bytes are laid on end per shard and their suffixes bucketed by 8-byte strings; buckets
    of two and more are refined by sorting on bucket numbers of later offsets (8, 16, ... bytes on), which are
    themselves refined, until buckets stand for ``LENGTH`` bytes;
-4. anchors with more than ``CROWD`` different segments are compared window by window instead, by counting
-   128-bit hashes of the windows, which is exact but for hash collisions and splits evenly.
+4. segments of anchors with more than ``CROWD`` different ones are cut into blocks of ``STEP`` windows, which
+   go through the same steps anchored on the 193 bytes that their windows share; blocks of anchors that are
+   crowded again are compared window by window, by counting 128-bit hashes, which splits evenly.
 
 Null and empty texts have no bytes. Texts are whole; positions are bytes of UTF-8. Repeated doc_ids count as
 one text each only if their texts are equal in ``removals`` (rows are told apart by doc_id there), see ``strip``.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .tables import materialize, partitions
 
-LENGTH, GRAM, CROWD, BLOCK_BYTES = 200, 32, 256, 4 << 20
+LENGTH, GRAM, CROWD, STEP, BLOCK_BYTES = 200, 32, 256, 8, 4 << 20
 PLACE_BITS = 24
 
 
@@ -166,72 +167,126 @@ def _spans_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["doc_id", "start", "stop"])
 
 
+def _repeated(rows: DataFrame, name: str) -> DataFrame:
+    """Rows whose anchor occurs twice or more, with whether all of its rows have one content."""
+    anchors = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
+    return materialize(rows.join(anchors.select("anchor", (F.col("low") == F.col("high")).alias("uniform")), "anchor"), name)
+
+
+def _contents(mixed: DataFrame, name: str) -> DataFrame:
+    """(anchor, content, n, first): the different contents of anchors that have several."""
+    columns = [c for c in ("doc_id", "start", "windows", "place") if c in mixed.columns]
+    return materialize(mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*columns)).alias("first")), name)
+
+
+def _whole(again: DataFrame, contents: DataFrame) -> DataFrame:
+    """Spans of the rows whose content occurs twice or more."""
+    copies = contents.where("n > 1").select("anchor", "content").hint("merge")
+    rows = again.where("uniform").select("doc_id", "start", "windows").union(again.where("not uniform").join(copies, ["anchor", "content"]).select("doc_id", "start", "windows"))
+    return rows.select("doc_id", "start", (F.col("start") + F.col("windows") + (LENGTH - 1)).cast("int").alias("stop"))
+
+
+def _sorted_spans(rows: DataFrame) -> DataFrame:
+    """Spans by suffix sorting of (anchor, doc_id, start, windows, alone, data), anchors of CROWD rows at most."""
+    columns = rows.select("anchor", "doc_id", "start", "windows", "alone", "data")
+    return columns.repartition(partitions(rows.sparkSession), "anchor").sortWithinPartitions("anchor").mapInArrow(_compare_shard, SPANS)
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): the byte spans that go, unmerged, of the documents that lose any. doc_id must be unique."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    found = materialize(find_segments(docs), "segments")
-    anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
-    again = materialize(found.join(anchors.select("anchor", (F.col("low") == F.col("high")).alias("uniform")), "anchor"), "repeated-anchors")
-    mixed = again.where("not uniform")
-    contents = mixed.groupBy("anchor", "content").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "windows", "place")).alias("first")
-    )
-    contents = materialize(contents, "contents")
-    whole = again.where("uniform").select("doc_id", "start", "windows")
-    copies = contents.where("n > 1").select("anchor", "content")
-    whole = whole.union(mixed.join(copies.hint("merge"), ["anchor", "content"]).select("doc_id", "start", "windows"))
-    whole = whole.select("doc_id", "start", (F.col("start") + F.col("windows") + (LENGTH - 1)).cast("int").alias("stop"))
+    again = _repeated(materialize(find_segments(docs), "segments"), "repeated-anchors")
+    contents = _contents(again.where("not uniform"), "contents")
     # One of each content goes on, with its bytes.
     crowd = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("members"))
     wanted = contents.join(crowd, "anchor").select(
         F.col("first.doc_id").alias("doc_id"),
-        F.struct("anchor", "first.start", "first.windows", (F.col("n") == 1).alias("alone"), (F.col("members") > CROWD).alias("crowded")).alias("want"),
+        F.struct("anchor", "first.start", "first.windows", "first.place", (F.col("n") == 1).alias("alone"), (F.col("members") > CROWD).alias("crowded")).alias("want"),
     )
     wanted = wanted.groupBy("doc_id").agg(F.collect_list("want").alias("want"))
     cut = materialize(docs.join(wanted.hint("merge"), "doc_id").mapInArrow(_cut, CUT), "cut-segments")
-    few = cut.where("data is not null").select("anchor", "doc_id", "start", "windows", "alone", "data")
-    few = few.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_compare_shard, SPANS)
-    windows = cut.where("data is null").select("doc_id", "start", "alone", "a", "b")
-    many = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
-    many = windows.where("alone").join(many.hint("merge"), ["a", "b"]).select("doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
-    spans = whole.union(few).union(many)
+    spans = _whole(again, contents).union(_sorted_spans(cut.where("content is null"))).union(_crowded(cut.where("content is not null")))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
-CUT = "anchor long, doc_id long, start int, windows int, alone boolean, data binary, a long, b long"
+def _crowded(blocks: DataFrame) -> DataFrame:
+    """Spans of the blocks of crowded anchors: the same steps, anchored on the bytes that all windows of a
+    block share; where a block's anchor is crowded again, its windows are counted one by one."""
+    again = _repeated(blocks, "repeated-blocks")
+    alone = again.where("alone")
+    mixed = again.where("not uniform")
+    contents = _contents(mixed, "block-contents")
+    members = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("members"))
+    one = mixed.join(contents.select("anchor", "content", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start")), ["anchor", "content", "doc_id", "start"])
+    one = one.join(members, "anchor").withColumn("alone", F.col("alone") & (F.col("n") == 1))
+    one = materialize(one.select("anchor", "doc_id", "start", "windows", "alone", "data", "members"), "blocks-once")
+    windows = materialize(one.where(F.col("members") > CROWD).select("doc_id", "start", "windows", "alone", "data").mapInArrow(_windows, WINDOWS), "windows")
+    twice = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
+    many = windows.where("alone").join(twice.hint("merge"), ["a", "b"]).select("doc_id", "start", (F.col("start") + LENGTH).cast("int").alias("stop"))
+    return _whole(alone, contents).union(_sorted_spans(one.where(F.col("members") <= CROWD))).union(many)
+
+
+CUT = "anchor long, doc_id long, start int, windows int, alone boolean, data binary, content long"
+WINDOWS = "doc_id long, start int, alone boolean, a long, b long"
+
+
+def _binary(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[K.ragged(begin, size)]))])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the wanted segments; of crowded anchors, two hashes of each window instead."""
+    """Bytes of the wanted segments; those of crowded anchors in blocks of STEP windows, whose anchor is the
+    hash of the bytes that all windows of the block share. Blocks are counted from the segment's anchor, so that
+    equal windows are in blocks of one anchor."""
+    names = ["anchor", "doc_id", "start", "windows", "alone", "data", "content"]
     for batch in batches:
         for part, data, offsets in K.slices(batch):
             want = part.column(2)
-            lists = want.value_offsets().to_numpy().astype(np.int64) if hasattr(want, "value_offsets") else np.asarray(want.offsets)
-            item = want.values
-            get = lambda name: item.field(name).to_numpy(zero_copy_only=False)[lists[0] : lists[-1]]
-            doc = np.repeat(np.arange(part.num_rows), np.diff(lists))
-            anchor, start, count, alone, crowded = (get(x) for x in ("anchor", "start", "windows", "alone", "crowded"))
-            begin = offsets[doc] + start
-            ids = part.column(0).to_numpy(zero_copy_only=False)[doc]
-            few = np.flatnonzero(~crowded.astype(bool))
-            size = count[few].astype(np.int64) + LENGTH - 1
-            blob = data[K.ragged(begin[few], size)]
-            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            rows = pa.Array.from_buffers(pa.binary(), len(few), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(blob))])
-            nothing = pa.nulls(len(few), pa.int64())
-            names = ["anchor", "doc_id", "start", "windows", "alone", "data", "a", "b"]
-            yield pa.record_batch([pa.array(anchor[few]), pa.array(ids[few]), pa.array(start[few]), pa.array(count[few]), pa.array(alone[few].astype(bool)), rows, nothing, nothing], names)
-            many = np.flatnonzero(crowded.astype(bool))
-            if len(many):
-                of = np.repeat(many, count[many])
-                at = K.ragged(begin[many], count[many].astype(np.int64))
-                a, b = (K.Rolling(data, base).spans(at, at + LENGTH).view(np.int64) for base in (K.P1, K.P2))
-                n = len(at)
-                place = (at - offsets[doc[of]]).astype(np.int32)
-                yield pa.record_batch(
-                    [pa.array(anchor[of]), pa.array(ids[of]), pa.array(place), pa.array(np.ones(n, np.int32)), pa.array(alone[of].astype(bool)), pa.nulls(n, pa.binary()), pa.array(a), pa.array(b)], names
-                )
+            cuts = np.asarray(want.offsets).astype(np.int64)
+            get = lambda name: want.values.field(name).to_numpy(zero_copy_only=False)[cuts[0] : cuts[-1]]  # noqa: B023, E731
+            doc = np.repeat(np.arange(part.num_rows), np.diff(cuts))
+            anchor, start, count, place = (get(x).astype(np.int64) for x in ("anchor", "start", "windows", "place"))
+            alone, crowded = get("alone").astype(bool), get("crowded").astype(bool)
+            begin, ids = offsets[doc] + start, part.column(0).to_numpy(zero_copy_only=False)[doc]
+            few, many = np.flatnonzero(~crowded), np.flatnonzero(crowded)
+            rows = _binary(data, begin[few], count[few] + LENGTH - 1)
+            yield pa.record_batch(
+                [pa.array(anchor[few]), pa.array(ids[few]), pa.array(start[few], pa.int32()), pa.array(count[few], pa.int32()), pa.array(alone[few]), rows, pa.nulls(len(few), pa.int64())], names
+            )
+            if not len(many):
+                continue
+            # The first window is ``place`` bytes before the anchor, the last one ``place - count + 1``.
+            high, low = place[many] // STEP, (place[many] - count[many] + 1) // STEP
+            of = np.repeat(many, high - low + 1)
+            block = K.ragged(low, high - low + 1)
+            at = begin[of] + place[of]
+            top, bottom = np.minimum(block * STEP + STEP - 1, place[of]), np.maximum(block * STEP, place[of] - count[of] + 1)
+            first, windows = at - top, top - bottom + 1
+            rolling = K.Rolling(data)
+            key = rolling.spans(at - block * STEP, at - block * STEP + LENGTH - STEP + 1)
+            content = rolling.spans(first, first + windows + LENGTH - 1)
+            rows = _binary(data, first, windows + LENGTH - 1)
+            yield pa.record_batch(
+                [
+                    pa.array(K.mix(key + block.astype(K.U)).view(np.int64)), pa.array(ids[of]), pa.array(first - offsets[doc[of]], pa.int32()), pa.array(windows, pa.int32()),
+                    pa.array(alone[of]), rows, pa.array(content.view(np.int64)),
+                ],
+                names,
+            )
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two hashes of each window of (doc_id, start, windows, alone, data)."""
+    for batch in batches:
+        data, offsets = K.as_bytes(batch.column(4))
+        start, count = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+        row = np.repeat(np.arange(batch.num_rows), count)
+        at = K.ragged(offsets[:-1], count)
+        a, b = (K.Rolling(data, base).spans(at, at + LENGTH).view(np.int64) for base in (K.P1, K.P2))
+        place = (at - offsets[row] + start[row]).astype(np.int32)
+        rows = pa.array(row)
+        yield pa.record_batch([batch.column(0).take(rows), pa.array(place), batch.column(3).take(rows), pa.array(a), pa.array(b)], ["doc_id", "start", "alone", "a", "b"])
 
 
 def _compare_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
