@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .tables import materialize, partitions
 
-LENGTH, GRAM, CROWD, STEP, BLOCK_BYTES = 200, 32, 256, 8, 4 << 20
+LENGTH, GRAM, CROWD, STEP, BLOCK_BYTES = 200, 32, 256, 8, 1 << 20
 PLACE_BITS = 24
 
 
@@ -78,7 +78,7 @@ def find_segments(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in K.slices(batch):
+            for part, data, offsets in K.slices(batch, most=BLOCK_BYTES):
                 doc, start, windows, place, anchor, content = segments(data, offsets)
                 yield pa.record_batch(
                     [
@@ -241,7 +241,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     equal windows are in blocks of one anchor."""
     names = ["anchor", "doc_id", "start", "windows", "alone", "data", "content"]
     for batch in batches:
-        for part, data, offsets in K.slices(batch):
+        for part, data, offsets in K.slices(batch, most=BLOCK_BYTES):
             want = part.column(2)
             cuts = np.asarray(want.offsets).astype(np.int64)
             get = lambda name: want.values.field(name).to_numpy(zero_copy_only=False)[cuts[0] : cuts[-1]]  # noqa: B023, E731
@@ -335,7 +335,7 @@ def report(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in K.slices(batch):
+            for part, data, offsets in K.slices(batch, most=BLOCK_BYTES):
                 text, cut = data.tobytes(), offsets.tolist()
                 gone = _spans_of(part.column(2))
                 left = [hashlib.sha256(_kept(text[a:b], g)).hexdigest() for a, b, g in zip(cut, cut[1:], gone, strict=False)]
