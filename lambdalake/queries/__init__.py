@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dsl, trials
+from . import corpus, dsl, trials
 from .dsl import flagship
 
 __all__ = ["flagship", "oracle_sql", "queries"]
-MODULES = [dsl, trials]
+MODULES = [dsl, corpus, trials]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
