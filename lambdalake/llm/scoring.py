@@ -30,7 +30,7 @@ from . import kernels as K
 from .tables import materialize, partitions
 from .trie import Trie, quantise, restore
 
-MOD, HELD, LEAST, DISCOUNT, SPREAD, BLOCK_BYTES = 7, 2, 2, 0.5, 64, 8 << 20
+MOD, HELD, LEAST, DISCOUNT, SPREAD, BLOCK_BYTES = 7, 2, 2, 0.5, 64, 6 << 20
 END = K.U(0x9AE16A3B2F90404F)
 BLOCK = "block long, doc_ids binary, held binary, sizes binary, words binary, totals binary, train binary, tokens binary"
 
@@ -69,11 +69,24 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, index = np.unique(tokens, return_inverse=True)
             training = np.repeat(~held, n)
             counts = [np.bincount(index, minlength=len(words)), np.bincount(index[training], minlength=len(words))]
-            row = [ids.astype("<i8"), held, n.astype("<i8"), words, *(c.astype("<u4") for c in counts), index.astype("<u4")]
+            row = [ids.astype("<i8"), held, n.astype("<i8"), words, *(c.astype("<u4") for c in counts), _planes(index, counts[0])]
             yield pa.record_batch([pa.array([block]), *(pa.array([x.tobytes()], pa.binary()) for x in row)], ["block", "doc_ids", "held", "sizes", "words", "totals", "train", "tokens"])
             block += 1
 
 
+def _planes(index: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Numbers of words as their ranks by frequency, all lowest bytes first: most of the others are zero, so that
+    files and shuffles compress well."""
+    rank = np.empty(len(totals), np.int64)
+    rank[np.argsort(-totals, kind="stable")] = np.arange(len(totals))
+    return np.ascontiguousarray(rank[index].astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def _from_planes(blob: bytes, totals: np.ndarray) -> np.ndarray:
+    ranks = np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.argsort(-totals.astype(np.int64), kind="stable")[ranks]
+
+
 def _array(row: dict, name: str, kind: str) -> np.ndarray:
     return np.frombuffer(row[name], kind)
 
@@ -116,7 +129,8 @@ class Pairs:
     """The pairs of neighbours of a block, by context and successor, and where they go."""
 
     def __init__(self, row: dict, hot: np.ndarray, shards: int):
-        self.words, self.tokens = _array(row, "words", "<u8"), _array(row, "tokens", "<u4").astype(np.int64)
+        self.words = _array(row, "words", "<u8")
+        self.tokens = _from_planes(row["tokens"], _array(row, "totals", "<u4"))
         self.sizes = _array(row, "sizes", "<i8")
         first = np.cumsum(self.sizes) - self.sizes
         before = np.empty_like(self.tokens)
@@ -154,7 +168,7 @@ def send(blocks: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
                 out.append(pack(pairs.words[w], train[w], many[w], pairs.successor[cold], pairs.n[cold], pairs.hot_at[pairs.context[warm]], pairs.successor[warm], pairs.n[warm]))
             yield pa.record_batch([pa.array(np.arange(shards)), pa.array(np.full(shards, row["block"])), pa.array(out, pa.binary())], ["shard", "block", "message"])
 
-    columns = ["block", "held", "sizes", "words", "train", "tokens"]
+    columns = ["block", "held", "sizes", "words", "totals", "train", "tokens"]
     return blocks.select(columns).mapInArrow(run, "shard long, block long, message binary")
 
 
@@ -162,8 +176,7 @@ def _answer(table: pa.Table, hot: np.ndarray, hot_counts: np.ndarray) -> pa.Tabl
     """A shard: all messages to it in, an answer to each out."""
     blocks = table.column("block").to_pylist()
     messages = [unpack(x) for x in table.column("message").to_pylist()]
-    words = np.concatenate([m[0].astype(K.U) for m in messages])
-    known, back = np.unique(words, return_inverse=True)
+    known, back = np.unique(np.concatenate([m[0].astype(K.U) for m in messages]), return_inverse=True)
     count = np.bincount(back, np.concatenate([m[1] for m in messages]), len(known)).astype(np.int64)
     # Contexts: the hot ones of the whole corpus, then the shard's own words.
     contexts = len(hot) + len(known)
@@ -177,7 +190,9 @@ def _answer(table: pa.Table, hot: np.ndarray, hot_counts: np.ndarray) -> pa.Tabl
         n += [m[4].astype(np.int64), m[7].astype(np.int64)]
         sizes += [len(m[3]), len(m[6])]
     pair, pair_back = np.unique(np.concatenate(keys), return_inverse=True)
+    pair_back = pair_back.astype(np.int32 if len(pair_back) < 1 << 31 else np.int64)
     seen = np.bincount(pair_back, np.concatenate(n), len(pair)).astype(np.int64)
+    del keys, n
     kept = seen >= LEAST
     context = (pair[kept] >> K.U(32)).astype(np.int64)
     share = (seen[kept] - DISCOUNT) / np.maximum(total[context], 1)
@@ -238,5 +253,5 @@ def score(docs: DataFrame) -> DataFrame:
     hot_counts = np.array([frequent[int(x)] for x in hot], np.int64)
     sent = send(blocks, hot, shards)
     answers = sent.groupBy("shard").applyInArrow(lambda t: _answer(t, hot, hot_counts), "block long, shard long, answer binary")
-    needed = blocks.select("block", "doc_ids", "held", "sizes", "words", "tokens")
+    needed = blocks.select("block", "doc_ids", "held", "sizes", "words", "totals", "tokens")
     return needed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, hot, hot_counts, shards), SCORES)
