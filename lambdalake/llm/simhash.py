@@ -21,9 +21,9 @@ from xxhash import xxh64_intdigest
 
 from . import kernels as K
 from .components import components
-from .tables import materialize
+from .tables import materialize, partitions
 
-SHINGLE, SEED = 3, 42
+SHINGLE, SEED, WIDE = 3, 42, 8
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -81,21 +81,53 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
 
 
-def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id that links lead to."""
+def wide_links(fps: DataFrame, radius: int = WIDE) -> DataFrame:
+    """Links (u, v) of fingerprints within a larger radius, by ball hashing their halves.
+
+    A fingerprint has four quarters of 16 bits and so six halves of two quarters. Two fingerprints within five bits
+    agree on some half but for two bits, and meet at a variant of it; those farther apart do so often (of pairs
+    at 8 bits about two thirds). Buckets (half, variant) are range-sorted, so that a large one spreads over
+    partitions, and neighbours in a bucket are verified at the full width; as each fingerprint is in 198 buckets,
+    neighbours in one or another join a class."""
+    spark = fps.sparkSession
+    quarter = lambda k: F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
+    halves = F.array(*[F.lit(n << 32).bitwiseOR(F.shiftleft(quarter(a), 16)).bitwiseOR(quarter(b)) for n, (a, b) in enumerate((a, b) for a in range(4) for b in range(a))])
+    masks = F.array(*[F.lit(x).cast("long") for x in [0, *[1 << k for k in range(32)]]])
+    rows = fps.select("fp", F.explode(halves).alias("half")).select("fp", F.explode(F.transform(masks, lambda m: F.col("half").bitwiseXOR(m))).alias("bucket"))
+    rows = rows.repartitionByRange(partitions(spark), "bucket", "fp").sortWithinPartitions("bucket", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros((2, 0), np.int64)
+        for batch in batches:
+            fp, bucket = np.concatenate([last, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])], axis=1)
+            last = np.stack([fp[-1:], bucket[-1:]])
+            near = np.flatnonzero((bucket[1:] == bucket[:-1]) & (np.bitwise_count((fp[1:] ^ fp[:-1]).view(K.U)) <= radius))
+            pairs = np.unique(np.stack([fp[near + 1], fp[near]], axis=1), axis=0)
+            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+def classes(docs: DataFrame, size: int = SHINGLE, wide: bool = False) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id that links lead to; ``wide`` adds the
+    links of ``wide_links`` to those within two bits."""
     fps = materialize(fingerprints(docs, size), "fingerprints")
     ids = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = materialize(components(links(ids.select("fp"))), "roots").select(F.col("node").alias("fp"), "root")
-    ids = ids.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    known = materialize(ids, "fingerprint-ids")
+    found = links(known.select("fp"))
+    if wide:
+        found = found.union(wide_links(known.select("fp")))
+    roots = materialize(components(found), "roots").select(F.col("node").alias("fp"), "root")
+    ids = known.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = materialize(ids, "classes")
     best = ids.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = ids.join(best, "root").select("fp", "component_id")
     return fps.join(ids.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def dedup(docs: DataFrame, size: int = SHINGLE, wide: bool = False) -> DataFrame:
     """The documents without all but the first (smallest doc_id) of each class; of rows that share this doc_id all stay."""
-    drop = classes(docs, size).where("doc_id != component_id").select("doc_id").distinct()
+    drop = classes(docs, size, wide).where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
 
 
