@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 U = np.uint64
 #: Odd multipliers of the two polynomial hashes, and the rounds of the 64-bit finaliser of MurmurHash3 (fixed values).
 P1, P2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
