@@ -53,7 +53,7 @@ def enrichment(rows: DataFrame, features: list[str], by: str = "cluster") -> Dat
 
 def soft_rows(rows: DataFrame, share: str) -> DataFrame:
     """Each row twice, as a positive weighted by its share and a negative by the rest; empty weights go."""
-    both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col(share).alias("weight")), F.struct(F.lit(0.0), 1 - F.col(share))))
+    both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col(share).alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col(share)).alias("weight"))))
     return rows.withColumn("__b", both).select(*rows.columns, F.col("__b.label").alias("label"), F.col("__b.weight").alias("weight")).where("weight > 0")
 
 
