@@ -71,7 +71,10 @@ def _masks() -> Column:
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (u, v) that join every two fingerprints within two bits, directly or over a common neighbour."""
-    variants = fps.select("fp", F.explode(_masks()).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "mask")
+    # Nearly all variants are different before the shuffle, so that pre-aggregating them would only take memory.
+    n = partitions(fps.sparkSession)
+    variants = fps.repartition(n, "fp").select("fp", F.explode(_masks()).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "mask")
+    variants = variants.repartition(n, "variant")
     met = variants.groupBy("variant").agg(F.bit_or("mask").alias("flips"), F.max(F.col("mask") == 0).alias("own"))
     met = met.where(F.bit_count("flips") + F.col("own").cast("int") >= 2)
     flipped = F.filter(_masks(), lambda m: (m != 0) & (F.col("flips").bitwiseAND(m) != 0))
@@ -93,7 +96,7 @@ def wide_links(fps: DataFrame, radius: int = WIDE) -> DataFrame:
     quarter = lambda k: F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
     halves = F.array(*[F.lit(n << 32).bitwiseOR(F.shiftleft(quarter(a), 16)).bitwiseOR(quarter(b)) for n, (a, b) in enumerate((a, b) for a in range(4) for b in range(a))])
     masks = F.array(*[F.lit(x).cast("long") for x in [0, *[1 << k for k in range(32)]]])
-    rows = fps.select("fp", F.explode(halves).alias("half")).select("fp", F.explode(F.transform(masks, lambda m: F.col("half").bitwiseXOR(m))).alias("bucket"))
+    rows = fps.repartition(partitions(spark), "fp").select("fp", F.explode(halves).alias("half")).select("fp", F.explode(F.transform(masks, lambda m: F.col("half").bitwiseXOR(m))).alias("bucket"))
     rows = rows.repartitionByRange(partitions(spark), "bucket", "fp").sortWithinPartitions("bucket", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
