@@ -89,24 +89,36 @@ def wide_links(fps: DataFrame, radius: int = WIDE) -> DataFrame:
 
     A fingerprint has four quarters of 16 bits and so six halves of two quarters. Two fingerprints within five bits
     agree on some half but for two bits, and meet at a variant of it; those farther apart do so often (of pairs
-    at 8 bits about two thirds). Buckets (half, variant) are range-sorted, so that a large one spreads over
-    partitions, and neighbours in a bucket are verified at the full width; as each fingerprint is in 198 buckets,
-    neighbours in one or another join a class."""
+    at 8 bits about two thirds). Buckets (half, variant) are whole in a partition, and all pairs of a bucket are
+    verified at the full width, so a crowded one costs the square of its size. No query uses these links."""
     spark = fps.sparkSession
     quarter = lambda k: F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
     halves = F.array(*[F.lit(n << 32).bitwiseOR(F.shiftleft(quarter(a), 16)).bitwiseOR(quarter(b)) for n, (a, b) in enumerate((a, b) for a in range(4) for b in range(a))])
     masks = F.array(*[F.lit(x).cast("long") for x in [0, *[1 << k for k in range(32)]]])
     rows = fps.repartition(partitions(spark), "fp").select("fp", F.explode(halves).alias("half")).select("fp", F.explode(F.transform(masks, lambda m: F.col("half").bitwiseXOR(m))).alias("bucket"))
-    rows = rows.repartitionByRange(partitions(spark), "bucket", "fp").sortWithinPartitions("bucket", "fp")
+    rows = rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "fp")
+
+    def near(fp: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, step = np.arange(len(fp)), 0
+        while len(at):
+            step += 1
+            at = at[at + step < len(fp)]
+            at = at[bucket[at + step] == bucket[at]]
+            met = at[np.bitwise_count((fp[at + step] ^ fp[at]).view(K.U)) <= radius]
+            yield pa.record_batch([pa.array(fp[met + step]), pa.array(fp[met])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.zeros((2, 0), np.int64)
+        rest = [np.zeros((2, 0), np.int64)]
         for batch in batches:
-            fp, bucket = np.concatenate([last, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])], axis=1)
-            last = np.stack([fp[-1:], bucket[-1:]])
-            near = np.flatnonzero((bucket[1:] == bucket[:-1]) & (np.bitwise_count((fp[1:] ^ fp[:-1]).view(K.U)) <= radius))
-            pairs = np.unique(np.stack([fp[near + 1], fp[near]], axis=1), axis=0)
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
+            cut = int(np.searchsorted(rows[1], rows[1, -1]))
+            if cut or (rest[-1].size and rest[-1][1, -1] != rows[1, -1]):
+                yield from near(*np.concatenate([*rest, rows[:, :cut]], axis=1))
+                rest = []
+            rest.append(rows[:, cut:])
+        yield from near(*np.concatenate(rest, axis=1))
 
     return rows.mapInArrow(run, "u long, v long").distinct()
 
