@@ -123,16 +123,12 @@ def wide_links(fps: DataFrame, radius: int = WIDE) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long").distinct()
 
 
-def classes(docs: DataFrame, size: int = SHINGLE, wide: bool = False) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id that links lead to; ``wide`` adds the
-    links of ``wide_links`` to those within two bits."""
+def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id that links lead to."""
     fps = materialize(fingerprints(docs, size), "fingerprints")
     ids = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     known = materialize(ids, "fingerprint-ids")
-    found = links(known.select("fp"))
-    if wide:
-        found = found.union(wide_links(known.select("fp")))
-    roots = materialize(components(found), "roots").select(F.col("node").alias("fp"), "root")
+    roots = materialize(components(links(known.select("fp"))), "roots").select(F.col("node").alias("fp"), "root")
     ids = known.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = materialize(ids, "classes")
     best = ids.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -140,9 +136,9 @@ def classes(docs: DataFrame, size: int = SHINGLE, wide: bool = False) -> DataFra
     return fps.join(ids.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, size: int = SHINGLE, wide: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """The documents without all but the first (smallest doc_id) of each class; of rows that share this doc_id all stay."""
-    drop = classes(docs, size, wide).where("doc_id != component_id").select("doc_id").distinct()
+    drop = classes(docs, size).where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
 
 
