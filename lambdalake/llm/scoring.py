@@ -4,7 +4,7 @@ Texts are cut into blocks of whole documents. A block knows its different words
 each and each pair of neighbours occurs in training documents, and its tokens as numbers into these. Each
 block sends its words and pairs to the shards that own them (a pair goes with its first word, the
 context; successors of very frequent contexts are spread over 64 places). A shard adds up the counts,
-builds a trie of the pairs seen ``LEAST`` times or more with absolutely discounted probabilities, and sends
+builds a trie of the pairs seen ``least`` times or more (the query: all) with absolutely discounted probabilities, and sends
 each block the counts of its words, the quantised backoff weights of its contexts and the quantised
 probabilities of its pairs. The block then adds up the logarithms of each of its documents:
 
@@ -172,7 +172,7 @@ def send(blocks: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
     return blocks.select(columns).mapInArrow(run, "shard long, block long, message binary")
 
 
-def _answer(table: pa.Table, hot: np.ndarray, hot_counts: np.ndarray) -> pa.Table:
+def _answer(table: pa.Table, hot: np.ndarray, hot_counts: np.ndarray, least: int) -> pa.Table:
     """A shard: all messages to it in, an answer to each out."""
     blocks = table.column("block").to_pylist()
     messages = [unpack(x) for x in table.column("message").to_pylist()]
@@ -193,7 +193,7 @@ def _answer(table: pa.Table, hot: np.ndarray, hot_counts: np.ndarray) -> pa.Tabl
     pair_back = pair_back.astype(np.int32 if len(pair_back) < 1 << 31 else np.int64)
     seen = np.bincount(pair_back, np.concatenate(n), len(pair)).astype(np.int64)
     del keys, n
-    kept = seen >= LEAST
+    kept = seen >= max(1, least)
     context = (pair[kept] >> K.U(32)).astype(np.int64)
     share = (seen[kept] - DISCOUNT) / np.maximum(total[context], 1)
     sums, members = np.bincount(context, seen[kept], contexts).astype(np.int64), np.bincount(context, minlength=contexts)
@@ -244,14 +244,15 @@ def _score(left: pa.Table, right: pa.Table, hot: np.ndarray, hot_counts: np.ndar
     return pa.table(columns, [c.split()[0] for c in SCORES.split(", ")])
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """Per document: held_out, n_tokens, n_known, train_tokens, base_score (unigrams) and score (the model)."""
+def score(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """Per document: held_out, n_tokens, n_known, train_tokens, base_score (unigrams) and score (the model); pairs
+    seen less than ``least`` times in training are pruned, which the query (1) does not."""
     shards = partitions(docs.sparkSession)
     blocks = materialize(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_blocks, BLOCK), "lm-blocks")
     frequent = frequent_words(blocks, shards)
     hot = np.array(sorted(frequent), K.U)
     hot_counts = np.array([frequent[int(x)] for x in hot], np.int64)
     sent = send(blocks, hot, shards)
-    answers = sent.groupBy("shard").applyInArrow(lambda t: _answer(t, hot, hot_counts), "block long, shard long, answer binary")
+    answers = sent.groupBy("shard").applyInArrow(lambda t: _answer(t, hot, hot_counts, least), "block long, shard long, answer binary")
     needed = blocks.select("block", "doc_ids", "held", "sizes", "words", "totals", "tokens")
     return needed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, hot, hot_counts, shards), SCORES)

@@ -1,0 +1,29 @@
+"""op8's query scores with every training pair, also those seen once."""
+
+import math
+import zlib
+from collections import Counter
+
+import pytest
+
+from lambdalake.llm import queries
+
+
+def test_pairs_seen_once_count(spark, tmp_path):
+    texts = {i: " ".join(f"w{(i * k + k) % 23}" for k in range(12)) for i in range(40)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tokens = {i: [None, *t.split(), None] for i, t in texts.items()}
+    single, pair = Counter(), Counter()
+    for i, t in tokens.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            single.update(t[1:])
+            pair.update(zip(t, t[1:]))
+    assert 1 in pair.values()
+    n, v, kept = sum(single.values()), len(single), Counter()
+    for (c, _), m in pair.items():
+        kept[c] += m - 0.5
+    for r in queries.op8_scoring(spark, str(tmp_path)).collect():
+        t, want = tokens[r.doc_id], 0.0
+        for c, w in zip(t, t[1:]):
+            want += math.log10(max(0, pair[c, w] - 0.5) / max(1, single[c]) + (1 - kept[c] / max(1, single[c])) * (single[w] + 1) / (n + v + 1))
+        assert r.score == pytest.approx(want, abs=0.04 * (len(t) - 1))
