@@ -12,10 +12,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 SLICE_BYTES = 1 << 20
 U = np.uint64
-#: Odd multipliers of the two polynomial hashes, and the rounds of the 64-bit finaliser of MurmurHash3 (fixed values).
+#: Spans longer than this are hashed one by one.
+LONG = 256
+#: Odd multipliers of the polynomial hashes, and the rounds of the 64-bit finaliser of MurmurHash3 (fixed values).
 P1, P2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 M1, M2 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 
@@ -76,6 +79,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
+def chunks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place, as a number; zeros follow the end. No copy for each place is made."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+
+
+def span_hashes(view: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span: its bytes in chunks of eight, each mixed into what came before."""
+    size = end - start
+    out = mix((view[start] & MASKS[np.minimum(size, 8)]) + size.astype(U) * U(P1))
+    live, done = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(live):
+        chunk = view[start[live] + done] & MASKS[np.minimum(size[live] - done, 8)]
+        out[live] = mix((out[live] ^ chunk) * U(P2) + U(P1))
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxh3_64_intdigest(data[start[i] : end[i]])
+    return out
+
+
+def _same(view: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span has the bytes of the span number ``other`` of it."""
+    size, at = end - start, start[other]
+    if (size != size[other]).any() or ((view[start] ^ view[at]) & MASKS[np.minimum(size, 8)]).any():
+        return False
+    live, done = np.flatnonzero((size > 8) & (size <= LONG) & (at != start)), 8
+    while len(live):
+        if ((view[start[live] + done] ^ view[at[live] + done]) & MASKS[np.minimum(size[live] - done, 8)]).any():
+            return False
+        done += 8
+        live = live[size[live] > done]
+    return all(np.array_equal(data[start[i] : end[i]], data[at[i] : at[i] + size[i]]) for i in np.flatnonzero((size > LONG) & (at != start)).tolist())
+
+
+def identify(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group of each span, a span of each group, hash of each group): spans are in one group if and only if their
+    bytes are equal. Groups are found by hash and compared byte by byte; should two contents share a hash, a
+    dictionary of the bytes takes over."""
+    view = chunks(data)
+    hashes, first, group = np.unique(span_hashes(view, data, start, end), return_index=True, return_inverse=True)
+    if not _same(view, data, start, end, first[group]):
+        known: dict[bytes, int] = {}
+        group = np.fromiter((known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.int64, len(start))
+        _, first = np.unique(group, return_index=True)
+        hashes = span_hashes(view, data, start[first], end[first])
+    return group, first, hashes
+
+
 class Powers:
     """Powers of an odd number and of its inverse modulo 2**64, grown as needed."""
 
@@ -99,7 +154,8 @@ POWERS = {P1: Powers(P1), P2: Powers(P2)}
 
 
 class Rolling:
-    """Polynomial hashes of any span of a byte array, modulo 2**64, then mixed."""
+    """Polynomial hashes of any span of a byte array, modulo 2**64, then mixed. Different spans can share one, above all
+    long ones of a repetitive make: good for grouping candidates, never to decide that bytes are equal."""
 
     def __init__(self, data: np.ndarray, base: int = P1):
         up, self.down = POWERS[base].get(len(data) + 1)

@@ -51,7 +51,7 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(read(spark, sf_dir, "documents"), least=1)
+    return scoring.score(read(spark, sf_dir, "documents"), stable=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

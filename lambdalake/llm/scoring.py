@@ -1,23 +1,29 @@
-"""Operator 8: language-model scoring by a bigram model in Elias-Fano tries.
+"""Operator 8: language-model scoring by a trigram model in Elias-Fano tries.
 
-Texts are cut into blocks of whole documents. A block knows its different words (64-bit hashes), how often
-each and each pair of neighbours occurs in training documents, and its tokens as numbers into these. Each
-block sends its words and pairs to the shards that own them (a pair goes with its first word, the
-context; successors of very frequent contexts are spread over 64 places). A shard adds up the counts,
-builds a trie of the pairs seen ``least`` times or more (the query: all) with absolutely discounted probabilities, and sends
-each block the counts of its words, the quantised backoff weights of its contexts and the quantised
-probabilities of its pairs. The block then adds up the logarithms of each of its documents:
+Texts are taken in blocks of whole documents. A block knows its different words, pairs and triples of
+neighbours and how often each occurs in training documents. It sends them to the shards of the model as one
+small message each, nested as in a trie: words, under each the words that follow, under each of these pairs
+the third words. A shard adds the counts of its messages up and builds three levels of Elias-Fano sequences with
+monotone pointers, memory-mapped, that hold what occurs in training and nothing else. Each message is then
+looked up by successor search within contexts, and answered with counts and quantised probabilities; strangers
+(all that only held-out documents have) are not found. The block adds the logarithms of its documents up:
 
-    P(w | c) = (n(c, w) - D) / n(c) + backoff(c) * P(w),    P(w) = (n(w) + 1) / (N + V + 1)
+    P(c | a b) = (1 - l(n(a b))) n(a b c) / n(a b) + l(n(a b)) P(c | b),   likewise P(c | b) over P(c),
+    P(c) = (n(c) + 1) / (N + V + 1),   l(n) = n ** -FALL / 2,   l(0) = 1
 
-where what the discount and pruned pairs leave goes to the backoff. Counts are exact and over all
-documents; nothing of the corpus is broadcast but its very frequent words (4 for each shard at most).
+Counts are exact and over all documents; no pair or triple is pruned. Words are told apart by 80 bits of XXH3 between
+blocks (bytes within one), second words by 32 bits and third words by 24 within their contexts.
 
-Null and empty texts are one end token. Repeated doc_ids are scored row by row.
+Contexts that are very frequent (more than a quarter of a shard's share of all tokens; four for each shard at most, found
+in one document of ``EVERY``, which only decides the layout) are dealt over SPREAD places by their successors, and their
+totals are counted ahead. Messages are as many as the segments of any shuffle from blocks to shards.
+
+Null and empty texts are one end token. Repeated doc_ids are scored row by row. A text of any length is in one block.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,234 +31,428 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from . import kernels as K
 from .tables import materialize, partitions
-from .trie import Trie, quantise, restore
+from .trie import EliasFano, Level, Store, quantise, restore
+
+MOD, HELD, SPREAD, EVERY, BLOCK_BYTES = 7, 2, 64, 16, 8 << 20
+#: Falls of the backoff weight with the count of a word and of a pair as a context.
+FALL = (0.3, 0.8)
+
+
+def zstd(data: bytes | np.ndarray) -> bytes:
+    return pa.compress(data, "zstd", asbytes=True)
+
 
-MOD, HELD, LEAST, DISCOUNT, SPREAD, BLOCK_BYTES = 7, 2, 2, 0.5, 64, 6 << 20
-END = K.U(0x9AE16A3B2F90404F)
-BLOCK = "block long, doc_ids binary, held binary, sizes binary, words binary, totals binary, train binary, tokens binary"
+def unzstd(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, size, "zstd", asbytes=True)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Unsigned arrays on end, each in the least width that holds it."""
-    out = [bytes([len(arrays)])]
-    for a in arrays:
+def weight(n: np.ndarray, fall: float) -> np.ndarray:
+    """Share of a context's probability that goes to the shorter context."""
+    return np.where(n > 0, 0.5 * np.maximum(n, 1).astype(np.float64) ** -fall, 1.0)
+
+
+def share(n: np.ndarray, total: np.ndarray, fall: float) -> np.ndarray:
+    """Quantised own part of n out of a context's total; 0 where n is 0."""
+    part = (1 - weight(total, fall)) * n / np.maximum(total, 1)
+    return np.where(n > 0, quantise(np.log10(np.where(n > 0, part, 1))), 0).astype(np.uint8)
+
+
+def pack(hashes: list[tuple[np.ndarray, int]], small: list[np.ndarray]) -> bytes:
+    """Arrays on end: ``hashes`` in a given number of bytes each, ``small`` numbers in the least width, compressed."""
+    head, raw, rest = [len(hashes), len(small)], [], []
+    for a, width in hashes:
+        head += [width, len(a)]
+        raw.append(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
+    for a in small:
         top = int(a.max(initial=0))
-        kind = next(k for k in ("u1", "u2", "u4", "u8") if top < 1 << 8 * int(k[1]))
-        out += [kind.encode(), len(a).to_bytes(8, "little"), a.astype(f"<{kind}").tobytes()]
-    return b"".join(out)
+        width = next(k for k in (1, 2, 4, 8) if top < 1 << 8 * k)
+        head += [width, len(a)]
+        rest.append(a.astype(f"<u{width}").tobytes())
+    packed = zstd(b"".join(rest))
+    return b"".join([len(head).to_bytes(2, "little"), np.array(head, "<u4").tobytes(), *raw, packed])
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    out, at = [], 1
-    for _ in range(blob[0]):
-        kind, n = blob[at : at + 2].decode(), int.from_bytes(blob[at + 2 : at + 10], "little")
-        out.append(np.frombuffer(blob, f"<{kind}", n, at + 10))
-        at += 10 + n * int(kind[1])
+    n = int.from_bytes(blob[:2], "little")
+    head, at, out = np.frombuffer(blob, "<u4", n, 2).tolist(), 2 + 4 * n, []
+    sizes = [(head[i], head[i + 1]) for i in range(2, n, 2)]
+    for width, count in sizes[: head[0]]:
+        wide = np.zeros((count, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(blob, np.uint8, count * width, at).reshape(-1, width)
+        out.append(wide.view("<u8").ravel())
+        at += count * width
+    rest = unzstd(blob[at:], sum(w * c for w, c in sizes[head[0] :]))
+    at = 0
+    for width, count in sizes[head[0] :]:
+        out.append(np.frombuffer(rest, f"<u{width}", count, at))
+        at += count * width
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        for part, data, offsets in K.slices(batch, most=BLOCK_BYTES):
-            data = K.lower_ascii(data)
-            start, end = K.words(data, offsets)
-            first = np.searchsorted(start, offsets, "left")
-            n = np.diff(first) + 1
-            tokens = np.full(int(n.sum()), END, K.U)
-            tokens[np.arange(len(start)) + np.repeat(np.arange(len(n)), n - 1)] = K.Rolling(data).spans(start, end)
-            ids = K.int_column(part, "doc_id")
-            held = K.crc_mod(ids, MOD) == HELD
-            words, index = np.unique(tokens, return_inverse=True)
-            training = np.repeat(~held, n)
-            counts = [np.bincount(index, minlength=len(words)), np.bincount(index[training], minlength=len(words))]
-            row = [ids.astype("<i8"), held, n.astype("<i8"), words, *(c.astype("<u4") for c in counts), _planes(index, counts[0])]
-            yield pa.record_batch([pa.array([block]), *(pa.array([x.tobytes()], pa.binary()) for x in row)], ["block", "doc_ids", "held", "sizes", "words", "totals", "train", "tokens"])
-            block += 1
+class Tokens:
+    """The words of a block, sorted by hash, and its tokens as places in them; END is the hash of nothing."""
 
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        start, end = K.words(data, offsets)
+        group, first, _ = K.identify(data, start, end)
+        view = memoryview(np.ascontiguousarray(data))
+        digests = [xxh3_128_digest(view[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        wide = np.frombuffer(b"".join([*digests, xxh3_128_digest(b"")]), ">u8").reshape(-1, 2)
+        hashes, tags = wide[:, 0].astype(K.U), (wide[:, 1] & K.U(0xFFFF)).astype(np.int64)
+        order = np.lexsort((tags, hashes))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.words, self.tags, self.end = hashes[order], tags[order], int(rank[-1])
+        self.sizes = np.diff(np.searchsorted(start, offsets, "left")) + 1
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.tokens = np.full(int(self.sizes.sum()), self.end, np.int64)
+        self.tokens[np.arange(len(start)) + np.repeat(np.arange(len(self.sizes)), self.sizes - 1)] = rank[group]
+        self.before = np.empty_like(self.tokens)
+        self.before[1:] = self.tokens[:-1]
+        self.before[self.begin] = self.end
 
-def _planes(index: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """Numbers of words as their ranks by frequency, all lowest bytes first: most of the others are zero, so that
-    files and shuffles compress well."""
-    rank = np.empty(len(totals), np.int64)
-    rank[np.argsort(-totals, kind="stable")] = np.arange(len(totals))
-    return np.ascontiguousarray(rank[index].astype("<u4").view(np.uint8).reshape(-1, 4).T)
 
+def training(ids: np.ndarray) -> np.ndarray:
+    return K.crc_mod(ids, MOD) != HELD
 
-def _from_planes(blob: bytes, totals: np.ndarray) -> np.ndarray:
-    ranks = np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-    return np.argsort(-totals.astype(np.int64), kind="stable")[ranks]
 
+# Very frequent contexts.
 
-def _array(row: dict, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(row[name], kind)
 
+class Frequent:
+    """Very frequent words (hash, tag) and pairs of such words (places in them, as a * words + b), with exact training counts."""
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+    def __init__(self, words: list[tuple[int, int]], pairs: list[tuple[int, int]]):
+        wide = sorted(words)
+        self.words, self.tags = np.array([w & (1 << 64) - 1 for w, _ in wide], K.U), np.array([t for _, t in wide], np.int64)
+        order = np.lexsort((self.tags, self.words))
+        self.words, self.tags = self.words[order], self.tags[order]
+        at = {int(w): i for i, w in enumerate(self.words)}
+        self.pairs = np.array(sorted({at[a & (1 << 64) - 1] * len(at) + at[b & (1 << 64) - 1] for a, b in pairs if a & (1 << 64) - 1 in at and b & (1 << 64) - 1 in at}), np.int64)
+        self.counts, self.pair_counts, self.total = np.zeros(len(self.words), np.int64), np.zeros(len(self.pairs), np.int64), 0
 
+    def of_words(self, words: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(words), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where((self.words[at] == words) & (self.tags[at] == tags), at, -1)
 
-def frequent_words(blocks: DataFrame, shards: int) -> dict[int, int]:
-    """Words that make up over 1/(4 * shards) of all tokens, with their exact training counts."""
+    def of_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """From places of words, -1 where there is none."""
+        if not len(self.pairs):
+            return np.full(len(a), -1, np.int64)
+        key = np.where((a >= 0) & (b >= 0), a * len(self.words) + b, -1)
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, at, -1)
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            words, totals = _array(row, "words", "<u8"), _array(row, "totals", "<u4").astype(np.int64)
-            often = totals * 4 * shards > totals.sum()
-            yield pa.record_batch([pa.array(np.append(words[often], END).view(np.int64)), pa.array(np.append(totals[often], 0)), pa.array(np.append(np.zeros(often.sum(), np.int64), totals.sum()))], ["word", "n", "all"])
 
-    sums = blocks.select("words", "totals").mapInArrow(local, "word long, n long, all long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
-    total = sums.agg(F.sum("all")).first()[0] or 0
-    got = sums.where(F.col("n") * (4 * shards) > total).select("word").collect()
-    hot = np.sort(np.array([r.word for r in got], np.int64).view(K.U))
+TALLY = "kind int, a long, b long, n long"
+
+
+def _tally(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    signed = lambda x: pa.array(np.ascontiguousarray(x).astype(K.U).view(np.int64))
+    return pa.record_batch([pa.array(np.full(len(n), kind, np.int32)), signed(a), signed(b), pa.array(n.astype(np.int64))], ["kind", "a", "b", "n"])
+
+
+def find_frequent(docs: DataFrame, shards: int) -> Frequent:
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in K.slices(batch, most=BLOCK_BYTES):
+                t = Tokens(K.lower_ascii(data), offsets)
+                counts = np.bincount(t.tokens, minlength=len(t.words))
+                often = counts * 4 * shards > len(t.tokens)
+                own = np.flatnonzero(often)
+                yield _tally(0, np.zeros(1, K.U), np.zeros(1, K.U), np.array([len(t.tokens)]))
+                yield _tally(1, t.words[own], t.tags[own], counts[own])
+                both = np.flatnonzero(often[t.before] & often[t.tokens])
+                pair, n = np.unique(t.before[both] * len(t.words) + t.tokens[both], return_counts=True)
+                pair, n = pair[n * 4 * shards > len(t.tokens)], n[n * 4 * shards > len(t.tokens)]
+                yield _tally(2, t.words[pair // len(t.words)], t.words[pair % len(t.words)], n)
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(EVERY)) == 0)
+    sums = some.mapInArrow(local, TALLY).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    sums = materialize(sums, "lm-frequent")
+    total = sums.where("kind = 0").agg(F.sum("n")).first()[0] or 0
+    got = sums.where(f"kind > 0 and n * {4 * shards} > {total}").collect()
+    out = Frequent([(r.a, r.b) for r in got if r.kind == 1], [(r.a, r.b) for r in got if r.kind == 2])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            words, train = _array(row, "words", "<u8"), _array(row, "train", "<u4").astype(np.int64)
-            own = np.flatnonzero(np.isin(words, hot))
-            yield pa.record_batch([pa.array(words[own].view(np.int64)), pa.array(train[own])], ["word", "n"])
+        words, pairs, whole = np.zeros(len(out.words), np.int64), np.zeros(len(out.pairs), np.int64), 0
+        for batch in batches:
+            for part, data, offsets in K.slices(batch, most=BLOCK_BYTES):
+                t = Tokens(K.lower_ascii(data), offsets)
+                train = np.repeat(training(K.int_column(part, "doc_id")), t.sizes)
+                at = out.of_words(t.words, t.tags)
+                whole += int(train.sum())
+                now = at[t.tokens]
+                words += np.bincount(now[train & (now >= 0)], minlength=len(words))
+                pair = out.of_pairs(at[t.before], now)
+                pairs += np.bincount(pair[train & (pair >= 0)], minlength=len(pairs))
+        yield _tally(0, np.zeros(1, K.U), np.zeros(1, K.U), np.array([whole]))
+        for kind, n in ((1, words), (2, pairs)):
+            yield _tally(kind, np.arange(len(n)), np.zeros(len(n), K.U), n)
+
+    for r in docs.mapInArrow(exact, TALLY).groupBy("kind", "a").agg(F.sum("n").alias("n")).collect():
+        if r.kind == 0:
+            out.total = r.n
+        else:
+            (out.counts if r.kind == 1 else out.pair_counts)[r.a] = r.n
+    return out
 
-    counted = blocks.select("words", "train").mapInArrow(exact, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {r.word & (1 << 64) - 1: r.n for r in counted}
+
+# Blocks and their messages.
 
 
 def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> K.U(32)) * K.U(shards) >> K.U(32)).astype(np.int64)
 
 
-class Pairs:
-    """The pairs of neighbours of a block, by context and successor, and where they go."""
-
-    def __init__(self, row: dict, hot: np.ndarray, shards: int):
-        self.words = _array(row, "words", "<u8")
-        self.tokens = _from_planes(row["tokens"], _array(row, "totals", "<u4"))
-        self.sizes = _array(row, "sizes", "<i8")
-        first = np.cumsum(self.sizes) - self.sizes
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[first] = np.searchsorted(self.words, END)
-        keys, self.back = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
-        self.context, successor = keys // max(1, len(self.words)), keys % max(1, len(self.words))
-        training = np.repeat(~_array(row, "held", bool), self.sizes)
-        self.n = np.bincount(self.back[training], minlength=len(keys))
-        self.successor = self.words[successor] >> K.U(32)
-        self.word_shard = _shard(self.words, shards)
-        at = np.searchsorted(hot, self.words)
-        self.hot_at = np.where(hot[np.minimum(at, len(hot) - 1)] == self.words, at, -1) if len(hot) else np.full(len(self.words), -1)
-        is_hot = self.hot_at[self.context] >= 0
-        self.cold, self.warm = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
-        spread = K.mix(self.words[self.context[self.warm]] + (self.successor[self.warm] * K.U(SPREAD) >> K.U(32)) + K.U(1))
-        self.warm = self.warm[np.argsort(_shard(spread, shards), kind="stable")]
-        self.warm_shard = np.sort(_shard(spread, shards))
-
-
-def send(blocks: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
-    """(shard, block, message): of words their hashes, training counts and number of pairs; of pairs successors and counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            pairs, train = Pairs(row, hot, shards), _array(row, "train", "<u4")
-            many = np.bincount(pairs.context[pairs.cold], minlength=len(pairs.words))
-            word_cut = np.searchsorted(pairs.word_shard, np.arange(shards + 1))
-            pair_cut = np.concatenate([[0], np.cumsum(many)])[word_cut]
-            warm_cut = np.searchsorted(pairs.warm_shard, np.arange(shards + 1))
-            out = []
-            for s in range(shards):
-                w, c, h = (slice(cut[s], cut[s + 1]) for cut in (word_cut, pair_cut, warm_cut))
-                cold, warm = pairs.cold[c], pairs.warm[h]
-                out.append(pack(pairs.words[w], train[w], many[w], pairs.successor[cold], pairs.n[cold], pairs.hot_at[pairs.context[warm]], pairs.successor[warm], pairs.n[warm]))
-            yield pa.record_batch([pa.array(np.arange(shards)), pa.array(np.full(shards, row["block"])), pa.array(out, pa.binary())], ["shard", "block", "message"])
-
-    columns = ["block", "held", "sizes", "words", "totals", "train", "tokens"]
-    return blocks.select(columns).mapInArrow(run, "shard long, block long, message binary")
-
-
-def _answer(table: pa.Table, hot: np.ndarray, hot_counts: np.ndarray, least: int) -> pa.Table:
+class Block(Tokens):
+    """Pairs (a, b) as entries under their first word, triples as children of their entry, and where they go.
+
+    An entry is cold (its first word is the shard's own) or warm (its first word is very frequent). Children of a very frequent
+    pair go by their own last word ("loose"). Entries stand in order of (a, b), children in order of (entry, c)."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, hot: Frequent, shards: int):
+        super().__init__(K.lower_ascii(data), offsets)
+        width = len(self.words)
+        self.train = training(ids)
+        train = np.repeat(self.train, self.sizes)
+        entries, entry = np.unique(np.append(self.before * width + self.tokens, self.end * width + self.end), return_inverse=True)
+        self.entry = entry[:-1]
+        self.context = np.empty_like(self.entry)
+        self.context[1:] = self.entry[:-1]
+        self.context[self.begin] = entry[-1]
+        children, self.child = np.unique(self.context * width + self.tokens, return_inverse=True)
+        self.n2, self.n3 = np.bincount(self.entry[train], minlength=len(entries)), np.bincount(self.child[train], minlength=len(children))
+        self.a, b = entries // width, entries % width
+        parent, c = children // width, children % width
+        self.second, self.third = self.words[b] & K.U(0xFFFFFFFF), self.words[c] & K.U(0xFFFFFFFF)
+        self.hot_word = hot.of_words(self.words, self.tags)
+        self.hot_entry = hot.of_pairs(self.hot_word[self.a], self.hot_word[b])
+        many = np.bincount(parent, minlength=len(entries))
+        first = np.cumsum(many) - many
+        self.many = np.where(self.hot_entry >= 0, 0, many)
+        salt = lambda key, by: _shard(K.mix(key + (by * K.U(SPREAD) >> K.U(32)) + K.U(1)), shards)
+        word_shard = _shard(self.words, shards)
+        is_warm = self.hot_word[self.a] >= 0
+        cold, warm = np.flatnonzero(~is_warm), np.flatnonzero(is_warm)
+        place = salt(self.words[self.a[warm]], self.second[warm])
+        warm, place = warm[np.argsort(place, kind="stable")], np.sort(place)
+        loose = np.flatnonzero(self.hot_entry[parent] >= 0)
+        of = self.hot_entry[parent[loose]]
+        loose_place = salt(K.mix(of.astype(K.U) + K.U(K.P1)), self.third[loose])
+        order = np.argsort(loose_place, kind="stable")
+        self.loose, self.loose_of, loose_place = loose[order], of[order], loose_place[order]
+        edges = np.arange(shards + 1)
+        self.word_cut = np.searchsorted(word_shard, edges)
+        self.per_word = np.bincount(self.a[cold], minlength=width)
+        sides = []
+        for own, at in ((cold, word_shard[self.a[cold]]), (warm, place)):
+            cut = np.searchsorted(at, edges)
+            sides.append((own, cut, K.ragged(first[own], self.many[own]), np.concatenate([[0], np.cumsum(self.many[own])])[cut]))
+        self.cold, self.warm = sides
+        self.loose_cut = np.searchsorted(loose_place, edges)
+
+    def message(self, s: int) -> bytes:
+        w = slice(self.word_cut[s], self.word_cut[s + 1])
+        hashes, small = [(self.words[w], 8), (self.tags[w], 2)], [self.per_word[w]]
+        for kind, (own, cut, kids, kid_cut) in enumerate((self.cold, self.warm)):
+            e, c = own[cut[s] : cut[s + 1]], kids[kid_cut[s] : kid_cut[s + 1]]
+            hashes += [(self.second[e], 4), (self.third[c], 3)]
+            small += [self.n2[e], self.many[e], self.n3[c]] + ([self.hot_word[self.a[e]]] if kind else [])
+        x = slice(self.loose_cut[s], self.loose_cut[s + 1])
+        return pack([*hashes, (self.third[self.loose[x]], 4)], [*small, self.loose_of[x], self.n3[self.loose[x]]])
+
+
+class Message:
+    """What a message says; ``a`` is not known yet for cold entries (``per_word`` of each word)."""
+
+    def __init__(self, blob: bytes):
+        got = unpack(blob)
+        self.words, self.tags = got[0], got[1].astype(np.int64)
+        self.second, self.third, self.loose = (got[2], got[4]), (got[3], got[5]), got[6]
+        small = [x.astype(np.int64) for x in got[7:]]
+        self.per_word = small[0]
+        self.n2, self.many, self.n3 = (small[1], small[4]), (small[2], small[5]), (small[3], small[6])
+        self.hot_word, self.loose_of, self.loose_n = small[7], small[8], small[9]
+
+
+# Shards.
+
+
+class Shard:
+    """A shard's levels: words, their successors and those of pairs, in memory-mapped files. Very frequent words are contexts
+    0, 1, ...; the shard's own words follow. Only what occurs in training has a place."""
+
+    def __init__(self, messages: list[Message], hot: Frequent):
+        self.store = Store()
+        keep, n_hot = self.store.keep, len(hot.words)
+        cat = lambda arrays: np.concatenate([*arrays, np.zeros(0, np.int64)]).astype(np.int64)
+        words, back = np.unique(np.concatenate([*(m.words for m in messages), np.zeros(0, K.U)]), return_inverse=True)
+        key = back << 16 | cat(m.tags for m in messages)
+        key, back = np.unique(key, return_inverse=True)
+        cut = np.concatenate([[0], np.cumsum([len(m.words) for m in messages])]).astype(np.int64)
+        context, second, n2, many, third, n3 = [], [], [], [], [], []
+        for i, m in enumerate(messages):
+            context += [np.repeat(back[cut[i] : cut[i + 1]] + n_hot, m.per_word), m.hot_word]
+            for k in range(2):
+                second.append(m.second[k])
+                third.append(m.third[k])
+                n2.append(m.n2[k])
+                many.append(m.many[k])
+                n3.append(m.n3[k])
+        pairs, at = np.unique(cat(context).astype(K.U) << K.U(32) | np.concatenate([*second, np.zeros(0, K.U)]), return_inverse=True)
+        count2 = np.bincount(at, cat(n2), len(pairs)).astype(np.int64)
+        triples, own = np.unique(np.repeat(at, cat(many)).astype(K.U) << K.U(24) | np.concatenate([*third, np.zeros(0, K.U)]), return_inverse=True)
+        count3 = np.bincount(own, cat(n3), len(triples)).astype(np.int64)
+        triples, count3 = triples[count3 > 0], count3[count3 > 0]
+        parent = (triples >> K.U(24)).astype(np.int64)
+        total3 = np.bincount(parent, count3, len(pairs)).astype(np.int64)
+        kept = np.flatnonzero((count2 > 0) | (total3 > 0))
+        number = np.cumsum((count2 > 0) | (total3 > 0)) - 1
+        pairs, count2, total3 = pairs[kept], count2[kept], total3[kept]
+        parent = number[parent]
+        context = (pairs >> K.U(32)).astype(np.int64)
+        # Words without a pair in training lose their places.
+        real = np.unique(context[context >= n_hot]) - n_hot
+        key, context = key[real], np.where(context >= n_hot, n_hot + np.searchsorted(real, context - n_hot), context)
+        self.n_hot, self.contexts = n_hot, n_hot + len(key)
+        of = np.unique(key >> 16)
+        self.words = EliasFano(words[of], keep)
+        self.tags = Level(len(of), np.searchsorted(of, key >> 16).astype(K.U) << K.U(16) | (key & 0xFFFF).astype(K.U), 16, keep)
+        total = np.bincount(context, count2, self.contexts).astype(np.int64)
+        self.distinct = int(np.count_nonzero(total[n_hot:]))
+        self.totals = keep(total)
+        self.level2 = Level(self.contexts, context.astype(K.U) << K.U(32) | pairs & K.U(0xFFFFFFFF), 32, keep)
+        self.level3 = Level(len(pairs), parent.astype(K.U) << K.U(24) | triples & K.U(0xFFFFFF), 24, keep)
+        # Under very frequent words counts stand as they are, since their totals are not this shard's.
+        warm = int(np.searchsorted(context, n_hot))
+        self.code2 = keep(np.concatenate([count2[:warm], share(count2[warm:], total[context[warm:]], FALL[0])]).astype(np.int64) if warm else share(count2, total[context], FALL[0]))
+        self.back3 = keep(quantise(np.log10(weight(total3, FALL[1]))))
+        self.code3 = keep(share(count3, total3[parent], FALL[1]))
+        loose, at = np.unique(cat(m.loose_of for m in messages).astype(K.U) << K.U(32) | np.concatenate([*(m.loose for m in messages), np.zeros(0, K.U)]), return_inverse=True)
+        n = np.bincount(at, cat(m.loose_n for m in messages), len(loose)).astype(np.int64)
+        self.loose, self.loose_n = Level(len(hot.pairs), loose[n > 0], 32, keep), keep(n[n > 0])
+
+    def word(self, words: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        """Contexts of the shard's own words, -1 for strangers."""
+        at = self.words.successor(words)
+        inside = np.flatnonzero(at < self.words.n)
+        same = inside[self.words.get(at[inside]) == words[inside]]
+        out = np.full(len(words), -1, np.int64)
+        out[same] = at[same]
+        out = self.tags.find(out, tags)
+        return np.where(out >= 0, out + self.n_hot, -1)
+
+    def answer(self, m: Message) -> bytes:
+        pick = lambda values, at, none: np.where(at >= 0, values[np.maximum(at, 0)] if len(values) else none, none)
+        word = self.word(m.words, m.tags)
+        out = [np.array([self.distinct]), pick(self.totals, word, 0)]
+        for k, context in enumerate((np.repeat(word, m.per_word), m.hot_word)):
+            at = self.level2.find(context, m.second[k])
+            kids = self.level3.find(np.repeat(at, m.many[k]), m.third[k])
+            out += [pick(self.code2, at, 0), pick(self.back3, at, 255)[m.many[k] > 0], pick(self.code3, kids, 0)]
+        return pack([], [*out, pick(self.loose_n, self.loose.find(m.loose_of, m.loose), 0)])
+
+
+def _answers(table: pa.Table, hot: Frequent) -> pa.Table:
     """A shard: all messages to it in, an answer to each out."""
-    blocks = table.column("block").to_pylist()
-    messages = [unpack(x) for x in table.column("message").to_pylist()]
-    known, back = np.unique(np.concatenate([m[0].astype(K.U) for m in messages]), return_inverse=True)
-    count = np.bincount(back, np.concatenate([m[1] for m in messages]), len(known)).astype(np.int64)
-    # Contexts: the hot ones of the whole corpus, then the shard's own words.
-    contexts = len(hot) + len(known)
-    total = np.concatenate([hot_counts, count])
-    lengths = [len(m[0]) for m in messages]
-    cut = np.concatenate([[0], np.cumsum(lengths)])
-    keys, n, sizes = [], [], []
-    for i, m in enumerate(messages):
-        own = back[cut[i] : cut[i + 1]] + len(hot)
-        keys += [np.repeat(own, m[2]).astype(K.U) << K.U(32) | m[3].astype(K.U), m[5].astype(K.U) << K.U(32) | m[6].astype(K.U)]
-        n += [m[4].astype(np.int64), m[7].astype(np.int64)]
-        sizes += [len(m[3]), len(m[6])]
-    pair, pair_back = np.unique(np.concatenate(keys), return_inverse=True)
-    pair_back = pair_back.astype(np.int32 if len(pair_back) < 1 << 31 else np.int64)
-    seen = np.bincount(pair_back, np.concatenate(n), len(pair)).astype(np.int64)
-    del keys, n
-    kept = seen >= max(1, least)
-    context = (pair[kept] >> K.U(32)).astype(np.int64)
-    share = (seen[kept] - DISCOUNT) / np.maximum(total[context], 1)
-    sums, members = np.bincount(context, seen[kept], contexts).astype(np.int64), np.bincount(context, minlength=contexts)
-    backoff = quantise(np.log10(np.clip(1 - (sums - DISCOUNT * members) / np.maximum(total, 1), 1e-12, 1)))
-    trie = Trie(contexts, pair[kept], quantise(np.log10(share)), backoff)
-    code = trie.find(pair)[pair_back]
-    weights = np.array(trie.backoff[len(hot) :]) if contexts else backoff
-    trie.close()
-    at, out = np.concatenate([[0], np.cumsum(sizes)]), []
-    whole = [np.array([np.count_nonzero(count)]), np.array([count.sum()]), sums[: len(hot)], members[: len(hot)]]
-    for i in range(len(messages)):
-        own = back[cut[i] : cut[i + 1]]
-        out.append(pack(count[own], weights[own], code[at[2 * i] : at[2 * i + 1]], code[at[2 * i + 1] : at[2 * i + 2]], *whole))
-    return pa.table([pa.array(blocks, pa.int64()), table.column("shard"), pa.array(out, pa.binary())], ["block", "shard", "answer"])
+    blobs = table.column("message").to_pylist()
+    shard = Shard([Message(x) for x in blobs], hot)
+    out = [shard.answer(Message(x)) for x in blobs]
+    shard.store.close()
+    return pa.table([table.column("block"), table.column("shard"), pa.array(out, pa.binary())], ["block", "shard", "answer"])
+
 
+# Scores.
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(left: pa.Table, right: pa.Table, hot: np.ndarray, hot_counts: np.ndarray, shards: int) -> pa.Table:
+def _score(left: pa.Table, right: pa.Table, hot: Frequent, shards: int) -> pa.Table:
     row = left.to_pylist()[0]
-    pairs = Pairs(row, hot, shards)
-    answers = [unpack(x) for _, x in sorted(zip(right.column("shard").to_pylist(), right.column("answer").to_pylist(), strict=True))]
-    count = np.concatenate([a[0] for a in answers]).astype(np.float64)
-    backoff = restore(np.concatenate([a[1] for a in answers]))
-    code = np.zeros(len(pairs.n), np.uint8)
-    code[pairs.cold] = np.concatenate([a[2] for a in answers])
-    code[pairs.warm] = np.concatenate([a[3] for a in answers])
-    distinct, tokens = sum(int(a[4][0]) for a in answers), sum(int(a[5][0]) for a in answers)
-    if len(hot):
-        kept = sum(a[6].astype(np.float64) for a in answers) - DISCOUNT * sum(a[7].astype(np.float64) for a in answers)
-        weight = np.clip(1 - kept / np.maximum(hot_counts, 1), 1e-12, 1)
-        is_hot = pairs.hot_at >= 0
-        backoff[is_hot] = weight[pairs.hot_at[is_hot]]
-    single = (count + 1) / (tokens + distinct + 1)
-    base = np.log10(single)[pairs.tokens]
-    joint = np.log10(restore(code)[pairs.back] + backoff[pairs.context[pairs.back]] * single[pairs.tokens])
-    first = np.cumsum(pairs.sizes) - pairs.sizes
+    ids, offsets = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["offsets"], "<i8")
+    data = np.frombuffer(unzstd(row["text"], int(offsets[-1])), np.uint8)
+    b = Block(data, offsets, ids, hot, shards)
+    if any(x != row["crc"] for x in right.column("crc").to_pylist()):
+        raise RuntimeError("the rows of docs came in another order when they were read again; pass stable=False")
+    got = [unpack(x) for _, x in sorted(zip(right.column("shard").to_pylist(), right.column("answer").to_pylist(), strict=True))]
+    column = lambda k: np.concatenate([x[k] for x in got])
+    distinct, count = sum(int(x[0][0]) for x in got) + int(np.count_nonzero(hot.counts)), column(1).astype(np.int64)
+    own = np.flatnonzero(b.hot_word >= 0)
+    count[own] = hot.counts[b.hot_word[own]]
+    code2, back3, code3 = np.zeros(len(b.n2), np.uint8), np.full(len(b.n2), 255, np.uint8), np.zeros(len(b.n3), np.uint8)
+    for k, (entries, _, kids, _) in enumerate((b.cold, b.warm)):
+        code2[entries] = share(column(5).astype(np.int64), count[b.a[entries]], FALL[0]) if k else column(2)
+        back3[entries[b.many[entries] > 0]] = column(3 + 3 * k)
+        code3[kids] = column(4 + 3 * k)
+    loose = np.flatnonzero(b.hot_entry >= 0)
+    totals = hot.pair_counts.copy()
+    ends = hot.of_words(b.words[b.end : b.end + 1], b.tags[b.end : b.end + 1])
+    if (both := int(hot.of_pairs(ends, ends)[0])) >= 0:
+        totals[both] = hot.counts[ends[0]]  # every document begins there
+    back3[loose] = quantise(np.log10(weight(totals[b.hot_entry[loose]], FALL[1])))
+    code3[b.loose] = share(column(8).astype(np.int64), totals[b.loose_of], FALL[1])
+    single = (count + 1) / (hot.total + distinct + 1)
+    one = single[b.tokens]
+    two = restore(code2)[b.entry] + weight(count, FALL[0])[b.before] * one
+    three = restore(code3)[b.child] + restore(back3)[b.context] * two
     columns = [
-        pa.array(_array(row, "doc_ids", "<i8")),
-        pa.array(_array(row, "held", bool)),
-        pa.array(pairs.sizes),
-        pa.array(np.add.reduceat((count > 0)[pairs.tokens].astype(np.int64), first)),
-        pa.array(np.full(len(first), tokens)),
-        pa.array(np.add.reduceat(base, first)),
-        pa.array(np.add.reduceat(joint, first)),
+        pa.array(ids),
+        pa.array(~b.train),
+        pa.array(b.sizes),
+        pa.array(np.add.reduceat((count > 0)[b.tokens].astype(np.int64), b.begin)),
+        pa.array(np.full(len(ids), hot.total)),
+        pa.array(np.add.reduceat(np.log10(single)[b.tokens], b.begin)),
+        pa.array(np.add.reduceat(np.log10(three), b.begin)),
     ]
     return pa.table(columns, [c.split()[0] for c in SCORES.split(", ")])
 
 
-def score(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """Per document: held_out, n_tokens, n_known, train_tokens, base_score (unigrams) and score (the model); pairs
-    seen less than ``least`` times in training are pruned, which the query (1) does not."""
-    shards = partitions(docs.sparkSession)
-    blocks = materialize(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_blocks, BLOCK), "lm-blocks")
-    frequent = frequent_words(blocks, shards)
-    hot = np.array(sorted(frequent), K.U)
-    hot_counts = np.array([frequent[int(x)] for x in hot], np.int64)
-    sent = send(blocks, hot, shards)
-    answers = sent.groupBy("shard").applyInArrow(lambda t: _answer(t, hot, hot_counts, least), "block long, shard long, answer binary")
-    needed = blocks.select("block", "doc_ids", "held", "sizes", "words", "totals", "tokens")
-    return needed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, hot, hot_counts, shards), SCORES)
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(block, doc_ids, bytes, offsets, checksum) of a partition's blocks."""
+    block = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for part, data, offsets in K.slices(batch, most=BLOCK_BYTES):
+            ids = K.int_column(part, "doc_id")
+            yield block, ids, data, offsets, zlib.crc32(data, zlib.crc32(offsets.tobytes(), zlib.crc32(ids.astype("<i8").tobytes())))
+            block += 1
+
+
+def score(docs: DataFrame, stable: bool = False) -> DataFrame:
+    """Per document: held_out, n_tokens, n_known, train_tokens, base_score (words alone) and score (the model).
+
+    ``docs`` is read again for the scores; a plan that need not give its rows in one order each time is written out first,
+    unless ``stable`` says that it does (a table in files)."""
+    spark = docs.sparkSession
+    shards = partitions(spark)
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    if not stable:
+        docs = materialize(docs, "lm-documents")
+    hot = find_frequent(docs, shards)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, data, offsets, crc in _slices(batches):
+            own = Block(data, offsets, ids, hot, shards)
+            for lo in range(0, shards, 64):
+                to = np.arange(lo, min(shards, lo + 64))
+                yield pa.record_batch([pa.array(to), pa.array(np.full(len(to), block)), pa.array(np.full(len(to), crc)), pa.array([own.message(s) for s in to.tolist()], pa.binary())], ["shard", "block", "crc", "message"])
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, data, offsets, crc in _slices(batches):
+            row = [ids.astype("<i8").tobytes(), offsets.astype("<i8").tobytes(), zstd(K.lower_ascii(data))]
+            yield pa.record_batch([pa.array([block]), pa.array([crc]), *(pa.array([x], pa.binary()) for x in row)], ["block", "crc", "ids", "offsets", "text"])
+
+    sent = docs.mapInArrow(send, "shard long, block long, crc long, message binary")
+
+    def reply(table: pa.Table) -> pa.Table:
+        return _answers(table, hot).append_column("crc", table.column("crc"))
+
+    answers = sent.groupBy("shard").applyInArrow(reply, "block long, shard long, answer binary, crc long")
+    blocks = docs.mapInArrow(texts, "block long, crc long, ids binary, offsets binary, text binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, hot, shards), SCORES)

@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and the two-level n-gram trie built from them, in memory-mapped files."""
+"""Elias-Fano sequences and the levels of an n-gram trie made of them, in memory-mapped files."""
 
 from __future__ import annotations
 
@@ -19,7 +19,10 @@ def quantise(log10: np.ndarray) -> np.ndarray:
 
 def restore(code: np.ndarray) -> np.ndarray:
     """Probabilities; 0 for none."""
-    return np.where(code == 0, 0.0, 10.0 ** (LOWEST * (1 - (code.astype(np.float64) - 1) / LEVELS)))
+    return RESTORED[code]
+
+
+RESTORED = np.where(np.arange(256) == 0, 0.0, 10.0 ** (LOWEST * (1 - (np.arange(256) - 1.0) / LEVELS)))
 
 
 def _select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -34,11 +37,14 @@ def _select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
     return at
 
 
+Keep = Callable[[np.ndarray], np.ndarray]
+
+
 class EliasFano:
     """A non-decreasing sequence of integers: low bits packed, high bits in unary, with a directory of
     zeros for selection. ``keep`` places each array (for example in a memory-mapped file)."""
 
-    def __init__(self, values: np.ndarray, keep: Callable[[np.ndarray], np.ndarray] = lambda a: a):
+    def __init__(self, values: np.ndarray, keep: Keep = lambda a: a):
         n = len(values)
         values = values.astype(U)
         top = int(values[-1]) if n else 0
@@ -49,7 +55,7 @@ class EliasFano:
         bits = np.zeros(-(-(n + self.highs + 1) // 64) * 64, np.uint8)
         bits[place] = 1
         high = np.packbits(bits, bitorder="little").view(U)
-        zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(high).astype(np.int64))])
+        ones = np.bitwise_count(high).astype(np.int64)
         packed = np.zeros(-(-n * self.low_bits // 64) + 2, U)
         if self.low_bits and n:
             value = values & ((U(1) << low) - U(1))
@@ -58,7 +64,8 @@ class EliasFano:
             np.bitwise_or.at(packed, word, value << shift)
             spill = np.flatnonzero((at & 63) + self.low_bits > 64)
             np.bitwise_or.at(packed, word[spill] + 1, value[spill] >> (U(64) - shift[spill]))
-        self.high, self.zeros, self.low = keep(high), keep(zeros), keep(packed)
+        self.high, self.low = keep(high), keep(packed)
+        self.zeros, self.ones = (keep(np.concatenate([[0], np.cumsum(x)])) for x in (64 - ones, ones))
 
     def low_of(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -93,44 +100,47 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The elements at some indices."""
-        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.high).astype(np.int64))])
-        word = np.searchsorted(ones, i, "right") - 1
-        place = word * 64 + _select(self.high[word], i - ones[word])
+        word = np.searchsorted(self.ones, i, "right") - 1
+        place = word * 64 + _select(self.high[word], i - self.ones[word])
         return (place - i).astype(U) << U(self.low_bits) | self.low_of(i)
 
 
-class Trie:
-    """Contexts and their successors. A context is a number; its successors are 32-bit numbers, kept as
-    ``context << 32 | successor`` in one Elias-Fano sequence, with the context's range found by monotone
-    pointers. Each successor has a quantised probability, each context a quantised weight of its backoff."""
+class Level:
+    """A level of a trie: the successors of numbered contexts, ``bits`` wide, kept as ``context << bits | successor`` in one
+    Elias-Fano sequence, with each context's range by monotone pointers."""
 
-    def __init__(self, contexts: int, keys: np.ndarray, codes: np.ndarray, backoff: np.ndarray):
-        self.folder = tempfile.TemporaryDirectory()
-        self.pointers = EliasFano(np.searchsorted(keys, np.arange(contexts + 1, dtype=U) << U(32)), self._keep)
-        self.keys, self.codes, self.backoff = EliasFano(keys, self._keep), self._keep(codes), self._keep(backoff)
+    def __init__(self, contexts: int, keys: np.ndarray, bits: int, keep: Keep = lambda a: a):
+        self.bits = bits
+        self.pointers = EliasFano(np.searchsorted(keys, np.arange(contexts + 1, dtype=U) << U(bits)), keep)
+        self.keys = EliasFano(keys, keep)
+
+    def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Place of each successor in its context's range, -1 for strangers and for contexts below 0."""
+        out = np.full(len(context), -1, np.int64)
+        known = np.flatnonzero(context >= 0)
+        if not self.keys.n or not len(known):
+            return out
+        keys = context[known].astype(U) << U(self.bits) | successor[known].astype(U)
+        at = self.keys.successor(keys)
+        inside = np.flatnonzero(at < self.pointers.get(context[known].astype(np.int64) + 1).astype(np.int64))
+        same = inside[self.keys.get(at[inside]) == keys[inside]]
+        out[known[same]] = at[same]
+        return out
 
-    def _keep(self, array: np.ndarray) -> np.ndarray:
+
+class Store:
+    """A task's own folder of memory-mapped arrays."""
+
+    def __init__(self) -> None:
+        self.folder, self.n = tempfile.TemporaryDirectory(), 0
+
+    def keep(self, array: np.ndarray) -> np.ndarray:
         if not array.size:
             return array
-        path = os.path.join(self.folder.name, str(len(os.listdir(self.folder.name))))
+        self.n += 1
+        path = os.path.join(self.folder.name, str(self.n))
         array.tofile(path)
         return np.memmap(path, array.dtype, "r", shape=array.shape)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Codes of ``context << 32 | successor``; 0 for strangers. The search is within the context's range."""
-        out = np.zeros(len(keys), np.uint8)
-        if not self.keys.n or not len(keys):
-            return out
-        at = self.keys.successor(keys)
-        context = (keys >> U(32)).astype(np.int64)
-        inside = np.flatnonzero((at < self.pointers.get(context + 1).astype(np.int64)) & (at < self.keys.n))
-        low = keys[inside] & ((U(1) << U(self.keys.low_bits)) - U(1))
-        same = inside[self.keys.low_of(at[inside]) == low]
-        # Equal low parts need equal high parts too: the successor's high part is the key's if it lies before the next one.
-        high = (keys[same] >> U(self.keys.low_bits)).astype(np.int64)
-        same = same[at[same] < self.keys.ones_before(high + 1)]
-        out[same] = self.codes[at[same]]
-        return out
-
     def close(self) -> None:
         self.folder.cleanup()

@@ -310,28 +310,65 @@ def test_jpeg_with_other_coefficients():
 # 8
 
 
-def test_scoring(docs, texts):
+def lm_scores(texts):
+    """(held, n_tokens, n_known, train_tokens, base, score) of each text, from plain counts."""
     tokens = {i: [*WORD.findall((t or "").encode().translate(LOWER)), None] for i, t in texts.items()}
+    single, pair, triple, context = (collections.Counter() for _ in range(4))
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    single, pair = collections.Counter(), collections.Counter()
     for i, t in tokens.items():
         if not held[i]:
             single.update(t)
             pair.update(zip([None, *t[:-1]], t, strict=True))
-    n, v = sum(single.values()), len(single)
-    kept = collections.Counter()
-    for (c, _), m in pair.items():
-        kept[c] += m - 0.5 if m >= 2 else 0
-    got = by_id(scoring.score(docs))
+            triple.update(zip([None, None, *t[:-2]][: len(t)], [None, *t[:-1]], t, strict=True))
+            context.update(zip([None, None, *t[:-2]][: len(t)], [None, *t[:-1]], strict=True))
+    n, v, out = sum(single.values()), len(single), {}
+    weight = lambda m, fall: 0.5 * m**-fall if m else 1.0
     for i, t in tokens.items():
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(single[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10((single[w] + 1) / (n + v + 1)) for w in t))
-        want = 0.0
-        for c, w in zip([None, *t[:-1]], t, strict=True):
-            m = pair[c, w]
-            want += math.log10((m - 0.5) / single[c] * (m >= 2) + (1 - kept[c] / max(1, single[c])) * (single[w] + 1) / (n + v + 1)) if single[c] else math.log10((single[w] + 1) / (n + v + 1))
-        assert abs(r.score - want) <= 0.04 * len(t)
+        base = score = 0.0
+        for a, b, c in zip([None, None, *t[:-2]][: len(t)], [None, *t[:-1]], t, strict=True):
+            one = (single[c] + 1) / (n + v + 1)
+            w2, w3 = weight(single[b], scoring.FALL[0]), weight(context[a, b], scoring.FALL[1])
+            two = (1 - w2) * pair[b, c] / max(1, single[b]) + w2 * one
+            score += math.log10((1 - w3) * triple[a, b, c] / max(1, context[a, b]) + w3 * two)
+            base += math.log10(one)
+        out[i] = held[i], len(t), sum(single[w] > 0 for w in t), n, base, score
+    return out
+
+
+def same_scores(rows, want):
+    for r in rows:
+        held, size, known, n, base, score = want[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, size, known, n)
+        assert r.base_score == pytest.approx(base) and abs(r.score - score) <= 0.04 * size
+
+
+@pytest.mark.parametrize("every", [1, 1 << 30])
+def test_scoring(spark, texts, monkeypatch, every):
+    monkeypatch.setattr(scoring, "EVERY", every)  # with 1, words and pairs are found that are dealt over places
+    rng = random.Random(1)
+    many = texts | {100 + i: " ".join(rng.choice(["of the", "of the", "The", f"x{rng.randint(0, 300)}"]) for _ in range(150)) for i in range(60)}
+    docs = spark.createDataFrame(list(many.items()), "doc_id long, text string").repartition(3).cache()
+    hot = scoring.find_frequent(docs, 4)
+    assert (len(hot.words) >= 2, len(hot.pairs) >= 1) == (every == 1,) * 2
+    rows = scoring.score(docs).collect()
+    assert len(rows) == len(many)
+    same_scores(rows, lm_scores(many))
+
+
+def test_scoring_pairs_seen_once(spark):
+    texts = {i: " ".join(f"w{(i * k + k) % 23}" for k in range(12)) for i in range(40)}
+    same_scores(scoring.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), lm_scores(texts))
+
+
+def test_scoring_layout(spark, docs, texts):
+    """Any number of shards gives the same scores."""
+    want = {r.doc_id: r for r in scoring.score(docs).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        got = scoring.score(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all(r.score == pytest.approx(want[r.doc_id].score) and r.base_score == pytest.approx(want[r.doc_id].base_score) for r in got)
 
 
 def test_elias_fano():
@@ -343,15 +380,31 @@ def test_elias_fano():
         assert np.array_equal(ef.successor(asked), np.searchsorted(values, asked, "left"))
 
 
-def test_trie():
+def test_trie_level():
     keys = np.array([0 << 32 | 5, 0 << 32 | 9, 3 << 32 | 1, 3 << 32 | 7], np.uint64)
-    t = trie.Trie(5, keys, np.array([1, 2, 3, 4], np.uint8), np.arange(5, dtype=np.uint8))
-    asked = np.array([5, 6, 9, 1 << 32 | 5, 3 << 32 | 1, 3 << 32 | 7, 3 << 32 | 8, 4 << 32], np.uint64)
-    assert t.find(asked).tolist() == [1, 0, 2, 0, 3, 4, 0, 0]
-    t.close()
+    store = trie.Store()
+    level = trie.Level(5, keys, 32, store.keep)
+    context, successor = np.array([0, 0, 0, 1, 3, 3, 3, 4, -1]), np.array([5, 6, 9, 5, 1, 7, 8, 0, 5])
+    assert level.find(context, successor).tolist() == [0, -1, 1, -1, 2, 3, -1, -1, -1]
+    store.close()
     assert np.abs(np.log10(trie.restore(trie.quantise(np.array([-0.1, -3.3])))) - [-0.1, -3.3]).max() < 0.02 and trie.restore(np.zeros(1, np.uint8))[0] == 0
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_identify_is_exact(monkeypatch):
+    one = thue_morse(2048)
+    spans = [b"", b"a", b"a\0", b"ab" * 200, one[:1024].encode(), one[1024:].encode(), b"ab" * 200, b"a", b"12345678", b"123456789", "é".encode() * 300, b""]
+    data, ends = np.frombuffer(b"".join(spans), np.uint8), np.cumsum([len(x) for x in spans])
+    for hashes in (K.span_hashes, lambda v, d, s, e: np.zeros(len(s), np.uint64), lambda v, d, s, e: (e - s).astype(np.uint64) % np.uint64(3)):
+        monkeypatch.setattr(K, "span_hashes", hashes)
+        group, first, _ = K.identify(data, ends - [len(x) for x in spans], ends)
+        assert all((group[i] == group[j]) == (a == b) for i, a in enumerate(spans) for j, b in enumerate(spans))
+        assert [spans[first[g]] for g in group] == spans
+
+
 # 9
 
 
