@@ -47,6 +47,21 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         lo = hi
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches laid together until they have ``most`` bytes of a column."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += len(as_bytes(batch.column(batch.schema.get_field_index(column)))[0])
+        if held and size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def doc_of(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Row number of each byte position (rows without bytes own none)."""
     return np.searchsorted(offsets, at, "right") - 1

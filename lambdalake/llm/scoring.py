@@ -160,7 +160,7 @@ def _tally(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordB
 
 def find_frequent(docs: DataFrame, shards: int) -> Frequent:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.gathered(batches, most=BLOCK_BYTES):
             for _, data, offsets in K.slices(batch, most=BLOCK_BYTES):
                 t = Tokens(K.lower_ascii(data), offsets)
                 counts = np.bincount(t.tokens, minlength=len(t.words))
@@ -182,7 +182,7 @@ def find_frequent(docs: DataFrame, shards: int) -> Frequent:
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs, whole = np.zeros(len(out.words), np.int64), np.zeros(len(out.pairs), np.int64), 0
-        for batch in batches:
+        for batch in K.gathered(batches, most=BLOCK_BYTES):
             for part, data, offsets in K.slices(batch, most=BLOCK_BYTES):
                 t = Tokens(K.lower_ascii(data), offsets)
                 train = np.repeat(training(K.int_column(part, "doc_id")), t.sizes)
@@ -363,8 +363,9 @@ class Shard:
 def _answers(table: pa.Table, hot: Frequent) -> pa.Table:
     """A shard: all messages to it in, an answer to each out."""
     blobs = table.column("message").to_pylist()
-    shard = Shard([Message(x) for x in blobs], hot)
-    out = [shard.answer(Message(x)) for x in blobs]
+    messages = [Message(x) for x in blobs]
+    shard = Shard(messages, hot)
+    out = [shard.answer(x) for x in messages]
     shard.store.close()
     return pa.table([table.column("block"), table.column("shard"), pa.array(out, pa.binary())], ["block", "shard", "answer"])
 
@@ -417,7 +418,7 @@ def _score(left: pa.Table, right: pa.Table, hot: Frequent, shards: int) -> pa.Ta
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
     """(block, doc_ids, bytes, offsets, checksum) of a partition's blocks."""
     block = TaskContext.get().partitionId() << 32
-    for batch in batches:
+    for batch in K.gathered(batches, most=BLOCK_BYTES):
         for part, data, offsets in K.slices(batch, most=BLOCK_BYTES):
             ids = K.int_column(part, "doc_id")
             yield block, ids, data, offsets, zlib.crc32(data, zlib.crc32(offsets.tobytes(), zlib.crc32(ids.astype("<i8").tobytes())))

@@ -25,24 +25,12 @@ def restore(code: np.ndarray) -> np.ndarray:
 RESTORED = np.where(np.arange(256) == 0, 0.0, 10.0 ** (LOWEST * (1 - (np.arange(256) - 1.0) / LEVELS)))
 
 
-def _select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th one (from 0) in each 64-bit word, by halving."""
-    x, k, at = words.copy(), k.astype(np.int64), np.zeros(len(words), np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        count = np.bitwise_count(x & ((U(1) << U(width)) - U(1))).astype(np.int64)
-        over = k >= count
-        k -= np.where(over, count, 0)
-        at += np.where(over, width, 0)
-        x = np.where(over, x >> U(width), x)
-    return at
-
-
 Keep = Callable[[np.ndarray], np.ndarray]
 
 
 class EliasFano:
-    """A non-decreasing sequence of integers: low bits packed, high bits in unary, with a directory of
-    zeros for selection. ``keep`` places each array (for example in a memory-mapped file)."""
+    """A non-decreasing sequence of integers: low bits packed, high bits in unary. ``keep`` places each array (for example in a
+    memory-mapped file). The places of the unary part's zeros and ones are unpacked when it is first asked."""
 
     def __init__(self, values: np.ndarray, keep: Keep = lambda a: a):
         n = len(values)
@@ -54,8 +42,6 @@ class EliasFano:
         self.highs = (top >> self.low_bits) + 1
         bits = np.zeros(-(-(n + self.highs + 1) // 64) * 64, np.uint8)
         bits[place] = 1
-        high = np.packbits(bits, bitorder="little").view(U)
-        ones = np.bitwise_count(high).astype(np.int64)
         packed = np.zeros(-(-n * self.low_bits // 64) + 2, U)
         if self.low_bits and n:
             value = values & ((U(1) << low) - U(1))
@@ -64,8 +50,17 @@ class EliasFano:
             np.bitwise_or.at(packed, word, value << shift)
             spill = np.flatnonzero((at & 63) + self.low_bits > 64)
             np.bitwise_or.at(packed, word[spill] + 1, value[spill] >> (U(64) - shift[spill]))
-        self.high, self.low = keep(high), keep(packed)
-        self.zeros, self.ones = (keep(np.concatenate([[0], np.cumsum(x)])) for x in (64 - ones, ones))
+        self.unary, self.low = keep(np.packbits(bits, bitorder="little")), keep(packed)
+        self.before: np.ndarray | None = None
+
+    def _open(self) -> None:
+        if self.before is None:
+            bits = np.unpackbits(self.unary, bitorder="little")
+            zeros, ones = np.flatnonzero(bits == 0)[: self.highs], np.flatnonzero(bits)
+            kind = np.int32 if len(bits) < 1 << 31 else np.int64
+            #: How many values have a high part below each; the high part of each value.
+            self.before = np.concatenate([[0], zeros - np.arange(len(zeros))]).astype(kind)
+            self.high = (ones - np.arange(len(ones))).astype(kind)
 
     def low_of(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -76,21 +71,15 @@ class EliasFano:
         value |= np.where(shift > 0, self.low[word + 1] << ((U(64) - shift) & U(63)), U(0))
         return value & ((U(1) << U(self.low_bits)) - U(1))
 
-    def ones_before(self, high: np.ndarray) -> np.ndarray:
-        """How many values have a high part below ``high``."""
-        out = np.zeros(len(high), np.int64)
-        some = np.flatnonzero(high > 0)
-        k = np.minimum(high[some], self.highs) - 1
-        word = np.searchsorted(self.zeros, k, "right") - 1
-        out[some] = word * 64 + _select(~self.high[word], k - self.zeros[word]) - k
-        return np.minimum(out, self.n)
-
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """Index of the first element that is not below each value (n if there is none)."""
+    def successor(self, values: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """Index of the first element that is not below each value (n if there is none), within [first, last) if given."""
+        self._open()
         values = values.astype(U)
-        high = (values >> U(self.low_bits)).astype(np.int64)
+        high = np.minimum(values >> U(self.low_bits), U(self.highs)).astype(np.int64)
         low = values & ((U(1) << U(self.low_bits)) - U(1))
-        a, b = self.ones_before(high), self.ones_before(high + 1)
+        a, b = self.before[high].astype(np.int64), self.before[np.minimum(high + 1, self.highs)].astype(np.int64)
+        if first is not None:
+            a, b = np.maximum(a, first), np.minimum(b, last)
         while len(live := np.flatnonzero(a < b)):
             middle = (a[live] + b[live]) >> 1
             below = self.low_of(middle) < low[live]
@@ -100,9 +89,8 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The elements at some indices."""
-        word = np.searchsorted(self.ones, i, "right") - 1
-        place = word * 64 + _select(self.high[word], i - self.ones[word])
-        return (place - i).astype(U) << U(self.low_bits) | self.low_of(i)
+        self._open()
+        return self.high[i].astype(U) << U(self.low_bits) | self.low_of(i)
 
 
 class Level:
@@ -120,9 +108,11 @@ class Level:
         known = np.flatnonzero(context >= 0)
         if not self.keys.n or not len(known):
             return out
-        keys = context[known].astype(U) << U(self.bits) | successor[known].astype(U)
-        at = self.keys.successor(keys)
-        inside = np.flatnonzero(at < self.pointers.get(context[known].astype(np.int64) + 1).astype(np.int64))
+        context = context[known].astype(np.int64)
+        keys = context.astype(U) << U(self.bits) | successor[known].astype(U)
+        last = self.pointers.get(context + 1).astype(np.int64)
+        at = self.keys.successor(keys, self.pointers.get(context).astype(np.int64), last)
+        inside = np.flatnonzero(at < last)
         same = inside[self.keys.get(at[inside]) == keys[inside]]
         out[known[same]] = at[same]
         return out
