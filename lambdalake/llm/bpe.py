@@ -3,7 +3,8 @@
 Two tiers. Pre-tokens that are vocabulary entries are resolved by a minimal perfect hash (hash and
 displace) probed with whole arrays; each other pre-token is merged by a heap over its linked bytes.
 Pre-tokens are found on the byte array from character classes and are merged once per distinct form of a
-slice; heaps of short pre-tokens are rows of one array and are popped together, long ones use heapq.
+slice. Heaps of short pre-tokens are complete trees in the rows of one array, popped and sifted together; long ones
+use heapq. Hashes only find candidates: forms and entries are compared byte by byte.
 
 Null and empty texts have no tokens. Repeated rows give repeated results. Text of any length is one unit.
 """
@@ -145,7 +146,7 @@ class PerfectHash:
 class Vocabulary:
     """Ranks of byte strings, with the merges that they imply."""
 
-    #: Pre-tokens of up to these many bytes are merged many at a time, each with its heap as a row of an array.
+    #: Pre-tokens of up to these many bytes are merged many at a time.
     WIDTHS = (4, 8, 12, 16, 24, 32, 64)
     NONE = np.int64(1) << 40
 
@@ -161,7 +162,8 @@ class Vocabulary:
         self.lengths = np.fromiter(map(len, self.tokens), np.int64, size)
         self.starts = np.cumsum(self.lengths) - self.lengths
         ids = np.fromiter(ranks.values(), np.int64, len(ranks))
-        self.perfect = PerfectHash(K.Rolling(self.blob).spans(self.starts[ids], self.starts[ids] + self.lengths[ids]), ids)
+        self.view = K.chunks(self.blob)
+        self.perfect = PerfectHash(K.span_hashes(self.view, self.blob, self.starts[ids], self.starts[ids] + self.lengths[ids]), ids)
         digits = [b"%d " % i for i in range(size)]
         self.digits = np.frombuffer(b"".join(digits), np.uint8)
         self.digit_lengths = np.fromiter(map(len, digits), np.int64, size)
@@ -180,6 +182,16 @@ class Vocabulary:
         got = self.pair_hash.get(K.mix((a << 20 | b).astype(K.U)))
         return np.where(got < 0, self.NONE, got)
 
+    def entries(self, hashes: np.ndarray, view: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Ids of spans that are entries, -1 for others."""
+        out = self.perfect.get(hashes)
+        own = np.flatnonzero(out >= 0)
+        own = own[self.lengths[out[own]] == size[own]]
+        own = own[K.equal(view, start[own], self.view, self.starts[out[own]], size[own])]
+        same = np.full(len(out), -1, np.int64)
+        same[own] = out[own]
+        return same
+
     def merge(self, piece: bytes) -> list[int]:
         """Heap over linked bytes: always the pair of lowest rank, the leftmost of equals."""
         pairs = self.pairs
@@ -208,43 +220,45 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
     def merge_many(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same for many short pieces: row i of ``heap`` holds the rank and place of the pair that begins
-        at byte i of every piece; the tops of all heaps are popped together, and their links and the
-        entries of the neighbouring pairs renewed. Returns ids on end, and how many each piece has."""
+        """The same for many short pieces at once, a column each. Rows 1, 2, ... of ``heap`` are a complete binary tree over
+        the pairs, each node not above its children: row 1 is the pair of lowest rank, the leftmost of equals. A merge renews
+        the entries of the pairs around it, which are sifted up to the top. Returns ids on end, and how many each piece has."""
         n = len(start)
-        column = np.arange(n)
         ids = np.full((width + 1, n), -1, np.int64)
         for i in range(width):
             own = np.flatnonzero(size > i)
             ids[i, own] = self.byte[data[start[own] + i]]
-        after = np.repeat(np.arange(1, width + 2)[:, None], n, 1).astype(np.int8 if width < 100 else np.int64)
-        before = after - 2
-        heap = np.full((width + 1, n), self.NONE << 7, np.int64)
+        after = np.repeat(np.arange(1, width + 2, dtype=np.int8)[:, None], n, 1)
+        before = after - np.int8(2)
+        leaves, none = 1 << (width - 1).bit_length(), self.NONE << 7
+        heap = np.full((2 * leaves, n), none, np.int64)
         for i in range(width - 1):
             own = np.flatnonzero(size > i + 1)
-            heap[i, own] = self.rank(ids[i, own], ids[i + 1, own]) << 7 | i
-        live = column
-        while len(live):
-            top = (heap if len(live) == n else heap[:, live]).min(0)
-            go = top < self.NONE << 7
-            live, top = live[go], top[go]
+            heap[leaves + i, own] = self.rank(ids[i, own], ids[i + 1, own]) << 7 | i
+        for node in range(leaves - 1, 0, -1):
+            np.minimum(heap[2 * node], heap[2 * node + 1], out=heap[node])
+        flat, live = heap.ravel(), np.arange(n)
+        while True:
+            top = heap[1, live]
+            live, top = live[top < none], top[top < none]
             if not len(live):
                 break
             i, r = top & 127, top >> 7
-            j = after[i, live]
-            k = after[j, live]
-            ids[i, live], ids[j, live] = r, -1
-            after[i, live] = k
-            heap[j, live] = self.NONE << 7
-            h = before[i, live]
-            heap[i, live] = self.NONE << 7
-            right = np.flatnonzero(k < size[live])
-            at, col = i[right], live[right]
-            before[k[right], col] = at
-            heap[at, col] = self.rank(r[right], ids[k[right], col]) << 7 | at
-            left = np.flatnonzero(h >= 0)
-            at, col = h[left].astype(np.int64), live[left]
-            heap[at, col] = self.rank(ids[at, col], r[left]) << 7 | at
+            j = after[i, live].astype(np.int64)
+            k = after[j, live].astype(np.int64)
+            h = before[i, live].astype(np.int64)
+            ids[i, live], ids[j, live], after[i, live] = r, -1, k
+            heap[leaves + i, live] = heap[leaves + j, live] = none
+            right, left = np.flatnonzero(k < size[live]), np.flatnonzero(h >= 0)
+            col = live[right]
+            before[k[right], col] = i[right]
+            heap[leaves + i[right], col] = self.rank(r[right], ids[k[right], col]) << 7 | i[right]
+            col = live[left]
+            heap[leaves + h[left], col] = self.rank(ids[h[left], col], r[left]) << 7 | h[left]
+            node, col = leaves + np.concatenate([i, j, h[left]]), np.concatenate([live, live, col])
+            for _ in range(leaves.bit_length() - 1):
+                node >>= 1
+                flat[node * n + col] = np.minimum(flat[2 * node * n + col], flat[(2 * node + 1) * n + col])
         out = ids.T
         kept = out >= 0
         return out[kept], kept.sum(1)
@@ -277,9 +291,9 @@ class Vocabulary:
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
         end = np.append(start[1:], len(data))
-        forms, index, back = np.unique(K.Rolling(data).spans(start, end), return_index=True, return_inverse=True)
-        table = self.perfect.get(forms)
-        counts = np.ones(len(forms), np.int64)
+        back, index, hashes = K.identify(data, start, end)
+        table = self.entries(hashes, K.chunks(data), start[index], (end - start)[index])
+        counts = np.ones(len(index), np.int64)
         missed = np.flatnonzero(table < 0)
         if len(missed):
             own = start[index[missed]]

@@ -118,18 +118,25 @@ def span_hashes(view: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.n
     return out
 
 
+def equal(view: np.ndarray, start: np.ndarray, other: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes from ``start`` of one array are those from ``at`` of another (both as ``chunks``)."""
+    out = ((view[start] ^ other[at]) & MASKS[np.minimum(size, 8)]) == 0
+    live, done = np.flatnonzero(out & (size > 8)), 8
+    while len(live):
+        same = ((view[start[live] + done] ^ other[at[live] + done]) & MASKS[np.minimum(size[live] - done, 8)]) == 0
+        out[live[~same]] = False
+        done += 8
+        live = live[same & (size[live] > done)]
+    return out
+
+
 def _same(view: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> bool:
     """Whether each span has the bytes of the span number ``other`` of it."""
     size, at = end - start, start[other]
-    if (size != size[other]).any() or ((view[start] ^ view[at]) & MASKS[np.minimum(size, 8)]).any():
+    short = size <= LONG
+    if (size != size[other]).any() or not equal(view, start[short], view, at[short], size[short]).all():
         return False
-    live, done = np.flatnonzero((size > 8) & (size <= LONG) & (at != start)), 8
-    while len(live):
-        if ((view[start[live] + done] ^ view[at[live] + done]) & MASKS[np.minimum(size[live] - done, 8)]).any():
-            return False
-        done += 8
-        live = live[size[live] > done]
-    return all(np.array_equal(data[start[i] : end[i]], data[at[i] : at[i] + size[i]]) for i in np.flatnonzero((size > LONG) & (at != start)).tolist())
+    return all(np.array_equal(data[start[i] : end[i]], data[at[i] : at[i] + size[i]]) for i in np.flatnonzero(~short & (at != start)).tolist())
 
 
 def identify(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-SAMPLE, MOST_LABELS, SHARE = 2000, 200_000, 0.5
+SAMPLE, SHARE = 2000, 0.5
 FEATURES = [
     "bias", "symbols>1%", "symbols>5%", "capitals>25%", "capitals>60%", "exclamations>3%", "bars>2%", "digits>20%",
     "same word again>20%", "repeated windows>30%", "line seen before", "words<3", "words>=8", "ends in a stop", "mean word>14 bytes",
@@ -58,8 +58,7 @@ def analyse(data: np.ndarray, offsets: np.ndarray) -> Lines:
     n = len(offsets) - 1
     start, end = K.words(data, offsets)
     doc = K.doc_of(offsets, start)
-    hashes = K.Rolling(data)
-    word = hashes.spans(start, end)
+    word, _, _ = K.identify(data, start, end)
     size = end - start
 
     def upto(mask: np.ndarray) -> np.ndarray:
@@ -72,12 +71,13 @@ def analyse(data: np.ndarray, offsets: np.ndarray) -> Lines:
     is_symbol = np.isin(data, np.frombuffer(b"#*$%&|<>", np.uint8))
     symbol = upto(is_symbol)
     # Words in windows of three that the document has twice or more.
-    salt = K.mix(doc.astype(K.U) + K.U(1))
     repeat = np.zeros(len(word), bool)
     if len(word) > 2:
-        inside = np.flatnonzero(doc[2:] == doc[:-2])
-        key = K.mix(word[inside] * K.U(3) + word[inside + 1] * K.U(K.P1) + word[inside + 2] * K.U(K.P2) + salt[inside])
-        twice = inside[_again(key)[0]]
+        inside, many = np.flatnonzero(doc[2:] == doc[:-2]), int(word.max()) + 1
+        number = lambda key: np.unique(key, return_inverse=True)[1]
+        pair = number(doc[inside] * many + word[inside])
+        pair = number(pair * many + word[inside + 1])
+        twice = inside[_again(pair * many + word[inside + 2])[0]]
         for k in range(3):
             repeat[twice + k] = True
     # Lines with a word, by the line feeds before their words.
@@ -91,7 +91,7 @@ def analyse(data: np.ndarray, offsets: np.ndarray) -> Lines:
     begin = np.maximum(offsets[line_doc], np.append(feeds, 0)[line - 1] + 1 if len(feeds) else 0)
     begin = np.where(line > 0, begin, offsets[line_doc])
     until = np.minimum(offsets[line_doc + 1], np.append(feeds, len(data))[line])
-    _, seen = _again(K.mix(hashes.spans(begin, until) + salt[at])) if len(at) else (np.zeros(0, bool),) * 2
+    _, seen = _again(K.identify(data, begin, until)[0] * n + line_doc)
 
     def per_line(values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
