@@ -6,17 +6,19 @@ anchors at equal places, so only windows of one anchor need comparing; neighbour
 form a segment. Then, without any group in one task:
 
 1. anchors are counted (pre-aggregated); those that occur once are done;
-2. segments of one content that occur twice are removed whole, wherever they stand (joined on their hash);
+2. segments of one content (128 bits of XXH3 under their anchor) that occur twice are removed whole, wherever they stand;
 3. segments that occur once, and one of each repeated content, are compared with the other segments of
    their anchor: their bytes are laid on end per shard and their suffixes bucketed by 8-byte strings; buckets
-   of two and more are refined by sorting on bucket numbers of later offsets (8, 16, ... bytes on), which are
-   themselves refined, until buckets stand for ``LENGTH`` bytes;
+   of two and more are refined by sorting on the bucket numbers of later offsets (8, 16, ... bytes on), which the
+   buckets after them use at once, until they stand for ``LENGTH`` bytes; neighbours in this order are compared byte by byte;
 4. segments of anchors with more than ``CROWD`` different ones are cut into blocks of ``STEP`` windows, which
    go through the same steps anchored on the 193 bytes that their windows share; blocks of anchors that are
    crowded again are compared window by window, by counting 128-bit hashes, which splits evenly.
 
-Null and empty texts have no bytes. Texts are whole; positions are bytes of UTF-8. Repeated doc_ids count as
-one text each only if their texts are equal in ``removals`` (rows are told apart by doc_id there), see ``strip``.
+Anchors and contents that have a large part of all rows are joined by a broadcast of these few keys, all others by a shuffle.
+
+Null and empty texts have no bytes. Texts are whole, of any length; positions are bytes of UTF-8. Rows are told apart by a number
+of their own, so repeated doc_ids and repeated rows are texts like any others. Other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -28,20 +30,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from . import kernels as K
-from .tables import materialize, partitions
+from .tables import materialize, partitions, unused
 
 LENGTH, GRAM, CROWD, STEP, BLOCK_BYTES = 200, 32, 256, 8, 1 << 20
 PLACE_BITS = 24
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(doc, start, windows, anchor place, anchor hash, segment hash) of all segments; starts are places in ``data``."""
+    """(doc, start, windows, anchor place, anchor hash) of all segments; starts are places in ``data``."""
     n, span = len(data), length - gram + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none, none.view(K.U), none.view(K.U)
+        return none, none, none, none, none.view(K.U)
     rolling = K.Rolling(data)
     hashes = rolling.grams(gram)
     place_bits = max(PLACE_BITS, n.bit_length())
@@ -66,168 +69,208 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     new[1:] = (anchor[1:] != anchor[:-1]) | ~whole[:-1]
     at = np.flatnonzero(new & whole)
     if not len(at):
-        return none, none, none, none, none.view(K.U), none.view(K.U)
+        return none, none, none, none, none.view(K.U)
     stops = np.append(np.flatnonzero(new | ~whole), windows)
     count = stops[np.searchsorted(stops, at, "right")] - at
-    content = rolling.spans(at, at + count + length - 1)
-    return K.doc_of(offsets, at), at, count, anchor[at], hashes[anchor[at]], content
+    return K.doc_of(offsets, at), at, count, anchor[at], hashes[anchor[at]]
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each span, in two halves."""
+    view = memoryview(np.ascontiguousarray(data))
+    wide = np.frombuffer(b"".join([xxh3_128_digest(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]), "<i8").reshape(-1, 2)
+    return np.ascontiguousarray(wide[:, 0]), np.ascontiguousarray(wide[:, 1])
 
 
 def find_segments(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, windows, place, anchor, content): start and place count from the document's first byte."""
+    """(row, start, windows, place, anchor, content, more): start counts from the text's first byte, place from the segment's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in K.slices(batch, most=BLOCK_BYTES):
-                doc, start, windows, place, anchor, content = segments(data, offsets)
+                doc, start, windows, place, anchor = segments(data, offsets)
+                content, more = digests(data, start, start + windows + LENGTH - 1)
                 yield pa.record_batch(
                     [
                         part.column(0).take(pa.array(doc)),
                         pa.array((start - offsets[doc]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array((place - start).astype(np.int32)),
-                        pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)),
+                        pa.array(anchor.view(np.int64)), pa.array(content), pa.array(more),
                     ],
-                    ["doc_id", "start", "windows", "place", "anchor", "content"],
+                    ["row", "start", "windows", "place", "anchor", "content", "more"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start int, windows int, place int, anchor long, content long")
+    return docs.select("row", "text").mapInArrow(run, "row long, start int, windows int, place int, anchor long, content long, more long")
 
 
-def refine(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def refine(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int = LENGTH, parts: int = 4) -> np.ndarray:
     """For all windows of spans of ``data`` (a span has ``count`` windows and ``count + length - 1`` bytes):
     bucket numbers, equal if and only if the windows are equal.
 
-    Initial buckets are 8-byte strings. A pass sorts the places of unsettled buckets by (own bucket, bucket
-    of a later offset); doubling the offset doubles the bytes that buckets stand for, and places alone in a bucket
-    are settled: their number is unique and stays."""
+    Initial buckets are 8-byte strings, numbered by their order. A pass goes through the open buckets, some at a time, and sorts
+    their places by (own bucket, bucket of a later offset); the new numbers are what the following buckets of the same pass see.
+    Doubling the offset at least doubles the bytes that buckets stand for, and places alone in a bucket are settled. In the order
+    of the final buckets equal windows are neighbours, and neighbours are compared byte by byte."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    key = np.zeros(n, K.U)
-    for k in range(8):
-        key = key << K.U(8) | padded[k : n + k].astype(K.U)
+    key = np.ndarray((n,), ">u8", padded.data, 0, (1,)).astype(K.U)
     order = np.argsort(key, kind="stable")
     step = np.ones(n, bool)
     step[1:] = key[order][1:] != key[order][:-1]
     bucket = np.empty(n, np.int64)
     bucket[order] = np.maximum.accumulate(np.where(step, np.arange(n), 0))
-    depth = 8
     sizes = np.diff(np.append(np.flatnonzero(step), n))
-    open_places = order[np.repeat(sizes, sizes) > 1]
-    while depth < length and len(open_places):
-        by = min(depth, length - depth)
-        # Later offsets beyond the data count as a bucket of their own; spans keep windows clear of them.
-        ahead = open_places + by
-        second = np.where(ahead < n, bucket[np.minimum(ahead, n - 1)], -1)
-        order = np.lexsort((second, bucket[open_places]))
-        places, a, b = open_places[order], bucket[open_places][order], second[order]
-        head = np.ones(len(places), bool)
-        head[1:] = a[1:] != a[:-1]
-        step = head.copy()
-        step[1:] |= b[1:] != b[:-1]
-        index = np.arange(len(places))
-        within = index - np.maximum.accumulate(np.where(head, index, 0))
-        bucket[places] = a + np.maximum.accumulate(np.where(step, index, 0)) - (index - within)
-        sizes = np.diff(np.append(np.flatnonzero(step), len(places)))
-        open_places = places[np.repeat(sizes, sizes) > 1]
-        depth += by
-    return bucket[K.ragged(starts, counts)]
-
-
-def _covered(repeated: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
-    """Spans of bytes covered by the repeated windows of a segment."""
-    at = np.flatnonzero(repeated)
-    if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > length)
-    return list(zip(at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + length).tolist(), strict=True))
-
-
-SPANS = "doc_id long, start int, stop int"
-
-
-def _compare(rows: list[tuple]) -> list[tuple[int, int, int]]:
-    """Spans of the segments (doc_id, start, windows, alone, bytes) of whole anchors; only ``alone`` ones are reported."""
-    data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-    sizes = np.array([len(r[4]) for r in rows], np.int64)
-    begins, counts = np.cumsum(sizes) - sizes, np.array([r[2] for r in rows], np.int64)
-    bucket = refine(data, begins, counts)
-    order = np.argsort(bucket, kind="stable")
-    same = bucket[order][1:] == bucket[order][:-1]
-    twice = np.zeros(len(bucket), bool)
-    twice[order[1:][same]] = twice[order[:-1][same]] = True
-    at = np.concatenate([[0], np.cumsum(counts)])
-    out = []
-    for i, r in enumerate(rows):
-        if r[3]:
-            out += [(r[0], r[1] + a, r[1] + b) for a, b in _covered(twice[at[i] : at[i + 1]])]
+    places, depth = order[np.repeat(sizes, sizes) > 1], 8
+    while depth < length and len(places):
+        heads = np.flatnonzero(np.append(True, bucket[places[1:]] != bucket[places[:-1]]))
+        cuts = np.unique(np.append(heads[np.searchsorted(heads, np.arange(parts) * len(places) // parts, "right") - 1], len(places)))
+        left = []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            own = places[lo:hi]
+            # Offsets beyond the data count as a bucket of their own; spans keep windows clear of them.
+            second = np.where(own + depth < n, bucket[np.minimum(own + depth, n - 1)], -1)
+            order = np.lexsort((second, bucket[own]))
+            own, first, second = own[order], bucket[own][order], second[order]
+            head = np.append(True, first[1:] != first[:-1])
+            step = head.copy()
+            step[1:] |= second[1:] != second[:-1]
+            index = np.arange(len(own))
+            start = np.maximum.accumulate(np.where(head, index, 0))
+            bucket[own] = first + np.maximum.accumulate(np.where(step, index, 0)) - start
+            sizes = np.diff(np.append(np.flatnonzero(step), len(own)))
+            left.append(own[np.repeat(sizes, sizes) > 1])
+        places = np.concatenate(left)
+        depth *= 2
+    at = K.ragged(starts, counts)
+    order = np.argsort(bucket[at], kind="stable")
+    a, b = at[order][:-1], at[order][1:]
+    live = np.arange(len(a))
+    for k in (*range(0, length - 8, 8), max(0, length - 8)):
+        live = live[key[a[live] + k] == key[b[live] + k]]
+    new = np.ones(len(at), bool)
+    new[live + 1] = False
+    out = np.empty(len(at), np.int64)
+    out[order] = np.cumsum(new)
     return out
 
 
-def _spans_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    doc, start, stop = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.record_batch([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["doc_id", "start", "stop"])
+SPANS = "row long, start int, stop int"
+
+
+def _compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Spans of the segments (anchor, row, start, windows, alone, bytes) of whole anchors; only ``alone`` ones are reported."""
+    data, offsets = K.as_bytes(batch.column(5))
+    start, counts = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+    bucket = refine(data, offsets[:-1], counts)
+    twice = np.bincount(bucket)[bucket] > 1
+    segment = np.repeat(np.arange(len(counts)), counts)
+    found = np.flatnonzero(twice & batch.column(4).to_numpy(zero_copy_only=False)[segment])
+    segment = segment[found]
+    head = np.append(True, (found[1:] != found[:-1] + 1) | (segment[1:] != segment[:-1]))[: len(found)]
+    tail = np.append(head[1:], True)[: len(found)]
+    place = found - (np.cumsum(counts) - counts)[segment] + start[segment]
+    return pa.record_batch([batch.column(1).take(pa.array(segment[head])), pa.array(place[head].astype(np.int32)), pa.array((place[tail] + LENGTH).astype(np.int32))], ["row", "start", "stop"])
+
+
+def _compare_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition sorted by anchor, in blocks of whole anchors of about BLOCK_BYTES."""
+    rest = None
+    for batch in K.gathered(batches, "data", BLOCK_BYTES):
+        if rest is not None and rest.num_rows:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        anchor = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(anchor, anchor[-1]))
+        if cut:
+            yield _compare(batch.slice(0, cut))
+        rest = batch.slice(cut)
+    if rest is not None:
+        yield _compare(rest)
+
+
+def _matched(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` with the columns that ``table`` has for their keys (inner). Keys with more than a quarter of a partition's
+    share of the weight, four for each partition at most, are broadcast; the others meet by a shuffle."""
+    parts = 4 * partitions(rows.sparkSession)
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * parts > total
+    hot = F.broadcast(table.where(heavy))
+    out = rows.join(hot, keys).unionByName(rows.join(hot.select(keys), keys, "left_anti").join(table.where(~heavy).hint("merge"), keys))
+    return out.drop(weight)
 
 
 def _repeated(rows: DataFrame, name: str) -> DataFrame:
     """Rows whose anchor occurs twice or more, with whether all of its rows have one content."""
-    anchors = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
-    return materialize(rows.join(anchors.select("anchor", (F.col("low") == F.col("high")).alias("uniform")), "anchor"), name)
+    ends = [f(c).alias(f"{n}_{c}") for c in ("content", "more") for n, f in (("low", F.min), ("high", F.max))]
+    anchors = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1")
+    anchors = anchors.select("anchor", "n", F.expr("low_content = high_content and low_more = high_more").alias("uniform"))
+    return materialize(_matched(rows, materialize(anchors, f"{name}-anchors"), ["anchor"], "n"), name)
+
+
+CONTENT = ["anchor", "content", "more"]
 
 
 def _contents(mixed: DataFrame, name: str) -> DataFrame:
-    """(anchor, content, n, first): the different contents of anchors that have several."""
-    columns = [c for c in ("doc_id", "start", "windows", "place") if c in mixed.columns]
-    return materialize(mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*columns)).alias("first")), name)
+    """(anchor, content, more, n, first): the different contents of anchors that have several."""
+    columns = [c for c in ("row", "start", "windows", "place") if c in mixed.columns]
+    return materialize(mixed.groupBy(*CONTENT).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*columns)).alias("first")), name)
 
 
 def _whole(again: DataFrame, contents: DataFrame) -> DataFrame:
     """Spans of the rows whose content occurs twice or more."""
-    copies = contents.where("n > 1").select("anchor", "content").hint("merge")
-    rows = again.where("uniform").select("doc_id", "start", "windows").union(again.where("not uniform").join(copies, ["anchor", "content"]).select("doc_id", "start", "windows"))
-    return rows.select("doc_id", "start", (F.col("start") + F.col("windows") + (LENGTH - 1)).cast("int").alias("stop"))
+    copies = contents.where("n > 1").select(*CONTENT, "n")
+    spans = [x.select("row", "start", (F.col("start") + F.col("windows") + (LENGTH - 1)).cast("int").alias("stop")) for x in (again.where("uniform"), _matched(again.where("not uniform"), copies, CONTENT, "n"))]
+    return spans[0].union(spans[1])
+
+
+def _members(contents: DataFrame) -> DataFrame:
+    """``contents`` with ``members``, how many their anchor has."""
+    crowd = materialize(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("members")), "crowds")
+    return _matched(contents, crowd.withColumn("weight", F.col("members")), ["anchor"], "weight")
 
 
 def _sorted_spans(rows: DataFrame) -> DataFrame:
-    """Spans by suffix sorting of (anchor, doc_id, start, windows, alone, data), anchors of CROWD rows at most."""
-    columns = rows.select("anchor", "doc_id", "start", "windows", "alone", "data")
+    """Spans by suffix sorting of (anchor, row, start, windows, alone, data), anchors of CROWD rows at most."""
+    columns = rows.select("anchor", "row", "start", "windows", "alone", "data")
     return columns.repartition(partitions(rows.sparkSession), "anchor").sortWithinPartitions("anchor").mapInArrow(_compare_shard, SPANS)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number of each row that stays."""
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): the byte spans that go, unmerged, of the documents that lose any. doc_id must be unique."""
-    docs = docs.select("doc_id", "text")
-    again = _repeated(materialize(find_segments(docs), "segments"), "repeated-anchors")
+    """(row, spans): the byte spans that go, unmerged, of the rows (row, text) that lose any."""
+    docs = docs.select("row", "text")
+    again = _repeated(materialize(find_segments(docs), "segments"), "repeated")
     contents = _contents(again.where("not uniform"), "contents")
     # One of each content goes on, with its bytes.
-    crowd = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("members"))
-    wanted = contents.join(crowd, "anchor").select(
-        F.col("first.doc_id").alias("doc_id"),
+    wanted = _members(contents).select(
+        F.col("first.row").alias("row"),
         F.struct("anchor", "first.start", "first.windows", "first.place", (F.col("n") == 1).alias("alone"), (F.col("members") > CROWD).alias("crowded")).alias("want"),
     )
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list("want").alias("want"))
-    cut = materialize(docs.join(wanted.hint("merge"), "doc_id").mapInArrow(_cut, CUT), "cut-segments")
+    wanted = wanted.groupBy("row").agg(F.collect_list("want").alias("want"))
+    cut = materialize(docs.join(wanted.hint("merge"), "row").mapInArrow(_cut, CUT), "cut-segments")
     spans = _whole(again, contents).union(_sorted_spans(cut.where("content is null"))).union(_crowded(cut.where("content is not null")))
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def _crowded(blocks: DataFrame) -> DataFrame:
     """Spans of the blocks of crowded anchors: the same steps, anchored on the bytes that all windows of a
     block share; where a block's anchor is crowded again, its windows are counted one by one."""
     again = _repeated(blocks, "repeated-blocks")
-    alone = again.where("alone")
-    mixed = again.where("not uniform")
-    contents = _contents(mixed, "block-contents")
-    members = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("members"))
-    one = mixed.join(contents.select("anchor", "content", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start")), ["anchor", "content", "doc_id", "start"])
-    one = one.join(members, "anchor").withColumn("alone", F.col("alone") & (F.col("n") == 1))
-    one = materialize(one.select("anchor", "doc_id", "start", "windows", "alone", "data", "members"), "blocks-once")
-    windows = materialize(one.where(F.col("members") > CROWD).select("doc_id", "start", "windows", "alone", "data").mapInArrow(_windows, WINDOWS), "windows")
-    twice = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
-    many = windows.where("alone").join(twice.hint("merge"), ["a", "b"]).select("doc_id", "start", (F.col("start") + LENGTH).cast("int").alias("stop"))
-    return _whole(alone, contents).union(_sorted_spans(one.where(F.col("members") <= CROWD))).union(many)
+    contents = _contents(again.where("not uniform"), "block-contents")
+    # The bytes of one of each content: its first place is where the block stands itself, so this join finds one row each.
+    one = _members(contents).select("anchor", "members", "n", F.col("first.row").alias("row"), F.col("first.start").alias("start")).hint("merge")
+    one = again.where("not uniform").join(one, ["row", "start", "anchor"]).withColumn("alone", F.col("alone") & (F.col("n") == 1))
+    one = materialize(one.select("anchor", "row", "start", "windows", "alone", "data", "members"), "blocks-once")
+    windows = materialize(one.where(F.col("members") > CROWD).select("row", "start", "windows", "alone", "data").mapInArrow(_windows, WINDOWS), "windows")
+    twice = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    many = _matched(windows.where("alone"), materialize(twice, "repeated-windows"), ["a", "b"], "n").select("row", "start", (F.col("start") + LENGTH).cast("int").alias("stop"))
+    return _whole(again.where("alone"), contents).union(_sorted_spans(one.where(F.col("members") <= CROWD))).union(many)
 
 
-CUT = "anchor long, doc_id long, start int, windows int, alone boolean, data binary, content long"
-WINDOWS = "doc_id long, start int, alone boolean, a long, b long"
+CUT = "anchor long, row long, start int, windows int, alone boolean, data binary, content long, more long"
+WINDOWS = "row long, start int, alone boolean, a long, b long"
 
 
 def _binary(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -239,7 +282,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the wanted segments; those of crowded anchors in blocks of STEP windows, whose anchor is the
     hash of the bytes that all windows of the block share. Blocks are counted from the segment's anchor, so that
     equal windows are in blocks of one anchor."""
-    names = ["anchor", "doc_id", "start", "windows", "alone", "data", "content"]
+    names = ["anchor", "row", "start", "windows", "alone", "data", "content", "more"]
     for batch in batches:
         for part, data, offsets in K.slices(batch, most=BLOCK_BYTES):
             want = part.column(2)
@@ -252,7 +295,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             few, many = np.flatnonzero(~crowded), np.flatnonzero(crowded)
             rows = _binary(data, begin[few], count[few] + LENGTH - 1)
             yield pa.record_batch(
-                [pa.array(anchor[few]), pa.array(ids[few]), pa.array(start[few], pa.int32()), pa.array(count[few], pa.int32()), pa.array(alone[few]), rows, pa.nulls(len(few), pa.int64())], names
+                [pa.array(anchor[few]), pa.array(ids[few]), pa.array(start[few], pa.int32()), pa.array(count[few], pa.int32()), pa.array(alone[few]), rows, *(pa.nulls(len(few), pa.int64()) for _ in range(2))], names
             )
             if not len(many):
                 continue
@@ -265,44 +308,28 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, windows = at - top, top - bottom + 1
             rolling = K.Rolling(data)
             key = rolling.spans(at - block * STEP, at - block * STEP + LENGTH - STEP + 1)
-            content = rolling.spans(first, first + windows + LENGTH - 1)
+            content, more = digests(data, first, first + windows + LENGTH - 1)
             rows = _binary(data, first, windows + LENGTH - 1)
             yield pa.record_batch(
                 [
                     pa.array(K.mix(key + block.astype(K.U)).view(np.int64)), pa.array(ids[of]), pa.array(first - offsets[doc[of]], pa.int32()), pa.array(windows, pa.int32()),
-                    pa.array(alone[of]), rows, pa.array(content.view(np.int64)),
+                    pa.array(alone[of]), rows, pa.array(content), pa.array(more),
                 ],
                 names,
             )
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes of each window of (doc_id, start, windows, alone, data)."""
+    """128 bits of each window of (row, start, windows, alone, data)."""
     for batch in batches:
         data, offsets = K.as_bytes(batch.column(4))
         start, count = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
         row = np.repeat(np.arange(batch.num_rows), count)
         at = K.ragged(offsets[:-1], count)
-        a, b = (K.Rolling(data, base).spans(at, at + LENGTH).view(np.int64) for base in (K.P1, K.P2))
+        a, b = digests(data, at, at + LENGTH)
         place = (at - offsets[row] + start[row]).astype(np.int32)
         rows = pa.array(row)
-        yield pa.record_batch([batch.column(0).take(rows), pa.array(place), batch.column(3).take(rows), pa.array(a), pa.array(b)], ["doc_id", "start", "alone", "a", "b"])
-
-
-def _compare_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition sorted by anchor, in blocks of whole anchors of about BLOCK_BYTES."""
-    rows: list[tuple] = []
-    held, last = 0, None
-    for batch in batches:
-        for anchor, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if held >= BLOCK_BYTES and anchor != last:
-                yield _spans_batch(_compare(rows))
-                rows, held = [], 0
-            rows.append(tuple(row))
-            held += len(row[4])
-            last = anchor
-    if rows:
-        yield _spans_batch(_compare(rows))
+        yield pa.record_batch([batch.column(0).take(rows), pa.array(place), batch.column(3).take(rows), pa.array(a), pa.array(b)], ["row", "start", "alone", "a", "b"])
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -342,8 +369,8 @@ def report(docs: DataFrame) -> DataFrame:
                 columns = [np.diff(offsets), [sum(b - a for a, b in g) for g in gone], [len(g) for g in gone]]
                 yield pa.record_batch([part.column(0), *(pa.array(x, pa.int64()) for x in columns), pa.array(left, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = docs.join(removals(docs).hint("merge"), "doc_id", "left").select("doc_id", "text", "spans")
+    docs = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row")
+    marked = docs.join(removals(docs).hint("merge"), "row", "left").select("doc_id", "text", "spans")
     return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -370,8 +397,9 @@ def strip(docs: DataFrame) -> DataFrame:
             out.append(_kept(raw, gone).decode())
         return pd.Series(out, dtype=object)
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = removals(keyed).toDF("__span_id", "__spans")
-    out = docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col("__span_id"), "left")
-    out = out.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(left("text", "__spans")))
-    return out.where(F.col("__spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
+    row, spans = unused("row", docs.columns), unused("spans", docs.columns)
+    rows = numbered(docs, row)
+    gone = removals(rows.select(F.col(row).alias("row"), "text")).toDF(row, spans)
+    out = rows.join(gone.hint("merge"), row, "left")
+    out = out.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(left("text", spans)))
+    return out.where(F.col(spans).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)

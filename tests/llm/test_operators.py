@@ -109,6 +109,25 @@ def test_bpe_random_texts():
         assert vocab.merge(piece) == vocab.merged(one, np.array([0]), np.array([len(piece)]))[0].tolist()
 
 
+def test_bpe_words_that_share_a_polynomial_hash():
+    vocab = bpe.vocabulary(RANKS)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab.ranks, special_tokens={})
+    whole = thue_morse(2048)
+    text = f"{whole[:1024]}\n{whole[1024:]}"
+    for part, data, offsets in K.slices(pa.record_batch([pa.array([text, text[::-1], whole])], ["text"])):
+        ids, ends = vocab.encode(data, offsets)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [library.encode_ordinary(t) for t in part.column(0).to_pylist()]
+
+
+def test_bpe_heaps():
+    vocab, rng = bpe.vocabulary(RANKS), random.Random(9)
+    pieces = [bytes(rng.choices(b"etaoinshr lzq" if k % 2 else range(256), k=rng.randint(2, 64))) for k in range(800)]
+    size = np.array([len(p) for p in pieces])
+    ids, counts = vocab.merged(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size, size)
+    ends = np.cumsum(counts)
+    assert [ids[e - c : e].tolist() for e, c in zip(ends, counts)] == [vocab.merge(p) for p in pieces]
+
+
 def test_perfect_hash():
     keys = K.mix(np.arange(1, 5001, dtype=np.uint64))
     table = bpe.PerfectHash(keys, np.arange(5000))
@@ -185,6 +204,21 @@ def test_suffix(docs, texts, monkeypatch, crowd):
         assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
+@pytest.mark.parametrize("crowd", [256, 1])
+def test_suffix_rows_that_share_an_id(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffix, "CROWD", crowd)
+    common, polynomial = words(60, 2), thue_morse(2048)
+    texts = ["z" * 16, words(300, 5) + common + words(80, 6), common + words(90, 8), words(100, 9), words(100, 9), words(20, 4), polynomial[:1024] + "!" + polynomial[1024:]]
+    docs = spark.createDataFrame([(i % 3 if i < 6 else 9, t, i) for i, t in enumerate(texts)], "doc_id long, text string, row int").repartition(2)
+    raw = dict(enumerate(t.encode() for t in texts))
+    want = brute_spans(raw, suffix.LENGTH)
+    kept = {i: bytes(x for x, g in zip(b, want[i], strict=True) if not g) for i, b in raw.items()}
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix.report(docs).collect())
+    assert got == sorted((i % 3 if i < 6 else 9, len(b), sum(want[i]), hashlib.sha256(kept[i]).hexdigest()) for i, b in raw.items())
+    left = {r.row: r.text for r in suffix.strip(docs).collect()}
+    assert left == {i: b.decode() for i, b in kept.items() if b.strip()}
+
+
 def test_refine_buckets():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
