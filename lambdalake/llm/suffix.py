@@ -187,14 +187,16 @@ def _compare_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _matched(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """``rows`` with the columns that ``table`` has for their keys (inner). Keys with more than a quarter of a partition's
-    share of the weight, four for each partition at most, are broadcast; the others meet by a shuffle."""
-    parts = 4 * partitions(rows.sparkSession)
+    """``rows`` with the columns that ``table`` (written out, a row for each key) has for their keys (inner). Keys with more
+    than a partition's share of the weight, one for each partition at most, are broadcast; the others meet by a shuffle."""
     total = table.agg(F.sum(weight)).first()[0] or 0
-    heavy = F.col(weight) * parts > total
-    hot = F.broadcast(table.where(heavy))
-    out = rows.join(hot, keys).unionByName(rows.join(hot.select(keys), keys, "left_anti").join(table.where(~heavy).hint("merge"), keys))
-    return out.drop(weight)
+    heavy = table.where(F.col(weight) * partitions(rows.sparkSession) > total)
+    hot = [r[0] for r in heavy.select(F.xxhash64(*keys)).collect()]
+    table = table.drop(weight)
+    if not hot:
+        return rows.join(table.hint("merge"), keys)
+    is_hot = F.xxhash64(*keys).isin(hot)
+    return rows.where(~is_hot).join(table.where(~is_hot).hint("merge"), keys).unionByName(rows.where(is_hot).join(F.broadcast(table.where(is_hot)), keys))
 
 
 def _repeated(rows: DataFrame, name: str) -> DataFrame:
