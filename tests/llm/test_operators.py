@@ -315,17 +315,92 @@ def test_media(docs, texts):
     assert got[0].media_sha256 == got[1].media_sha256 and got[6].feature == got[7].feature
 
 
+def walk(jpeg):
+    """DC values of all blocks in the order of the scan, read bit by bit."""
+    bits, at, out = "", 0, []
+    parts = re.split(rb"\xff[\xd0-\xd7]", jpeg.scan)
+    codes = {k: {(n, c): s for n, c, s in media._codes(list(t[:16]), list(t[16:]))} for k, t in jpeg.tables.items()}
+    _, _, units, blocks = media._grid(jpeg)
+    for part in parts:
+        bits, at = "".join(f"{x:08b}" for x in part.replace(b"\xff\0", b"\xff")), 0
+        last = collections.Counter()
+
+        def take(table):
+            nonlocal at
+            n = next(n for n in range(1, 17) if (n, int(bits[at : at + n], 2)) in table)
+            symbol = table[n, int(bits[at : at + n], 2)]
+            at += n
+            size = symbol & 15
+            value = int(bits[at : at + size] or "0", 2)
+            at += size
+            return symbol, value if not size or value >> (size - 1) else value - (1 << size) + 1
+
+        for u in range(min(blocks - len(out), jpeg.restart * len(units) or blocks)):
+            c = jpeg.components[units[u % len(units)]]
+            last[c.ident] += take(codes[c.dc])[1]
+            out.append(last[c.ident])
+            k = 1
+            while k < 64:
+                symbol, _ = take(codes[16 | c.ac])
+                if symbol == 0:
+                    break
+                k += (symbol >> 4) + 1
+    return out
+
+
 def test_jpeg_decoders_agree():
     rng = np.random.default_rng(0)
     for n in (64, 640, 64 * 300):
         payload = rng.integers(0, 256, n, dtype=np.uint8).tobytes()
         jpeg = media.parse(media.write(payload))
-        walked = media._dc_walk(jpeg, jpeg.width // 8, jpeg.height // 8)
-        assert (walked.ravel() + 128).astype(np.uint8).tobytes() == payload == media.thumbnail(jpeg).tobytes()
-    long = bytes(rng.integers(0, 256, 64 * 8001, dtype=np.uint8))
-    assert media.describe(media.write(long))["samples"] == long
-    with pytest.raises(ValueError):
-        media.parse(b"not a jpeg")
+        assert (np.array(walk(jpeg)) + 128).astype(np.uint8).tobytes() == payload == media.thumbnail(jpeg).tobytes()
+    many = [bytes(rng.integers(0, 256, 64 * k, dtype=np.uint8)) for k in (8001, 1, 16000, 3)] + [b"\xff" * 64, bytes(64)]
+    assert [x["samples"] for x in media.read([media.write(x) for x in many])] == many
+    for bad in (b"not a jpeg", media.write(bytes(64))[:-2], media.write(bytes(128)).replace(b"\xff\xd0", b"")):
+        with pytest.raises(ValueError):
+            media.read([bad])
+
+
+@pytest.mark.parametrize("sampling", [[(1, 1)], [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1)]])
+def test_jpeg_of_any_make(sampling):
+    """Random tables, colour, coefficients and restarts: decoded side by side as bit by bit."""
+    rng = random.Random(len(sampling))
+    seg, found = media._segment, []
+    for restart in (0, 1, 3):
+        dc_table = bytes([0, 1, 1, 2, 3, 4] + [0] * 10 + rng.sample(range(12), 11))
+        ac_symbols = [0, 0xF0, *rng.sample([r << 4 | s for r in range(16) for s in range(1, 11)], 30)]
+        ac_table = bytes([0, 1, 2, 3, 4, 6, 8, 8] + [0] * 8 + ac_symbols)
+        dc, ac = ({s: (n, c) for n, c, s in media._codes(list(t[:16]), list(t[16:]))} for t in (dc_table, ac_table))
+        frame = seg(0xC0, bytes([8, 0, 50, 0, 90, len(sampling)]) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(sampling)))
+        scan_head = seg(0xDA, bytes([len(sampling)]) + b"".join(bytes([i + 1, 0]) for i in range(len(sampling))) + bytes([0, 63, 0]))
+        head = b"\xff\xd8" + seg(0xDB, bytes([0] + [5] * 64)) + seg(0xC4, b"\0" + dc_table) + seg(0xC4, b"\x10" + ac_table) + frame + (seg(0xDD, bytes([0, restart])) if restart else b"") + scan_head
+        shape = media._grid(media.parse(head + b"\xff\xd9"))
+        parts, per, left = [], len(shape[2]) * (restart or 10**6), shape[3]
+        while left:
+            bits = ""
+            for _ in range(min(per, left)):
+                s = rng.choice(sorted(dc))
+                bits += f"{dc[s][1]:0{dc[s][0]}b}" + "".join(rng.choice("01") for _ in range(s))
+                k = 1
+                while k < 64:
+                    s = rng.choice(ac_symbols)
+                    if s and k + (s >> 4) + 1 > 64:
+                        s = 0
+                    bits += f"{ac[s][1]:0{ac[s][0]}b}" + "".join(rng.choice("01") for _ in range(s & 15))
+                    k = 64 if not s else k + (s >> 4) + 1
+            bits += "1" * (-len(bits) % 8)
+            parts.append(int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0"))
+            left -= min(per, left)
+        found.append(media.parse(head + b"".join(p + (bytes([0xFF, 0xD0 + i % 8]) if i < len(parts) - 1 else b"") for i, p in enumerate(parts)) + b"\xff\xd9"))
+    for jpeg, thumb in zip(found, media.thumbnails(found), strict=True):
+        high, wide, units, _ = media._grid(jpeg)
+        h, v = sampling[0] if len(sampling) > 1 else (1, 1)
+        want, values = np.zeros((-(-high // v) * v, -(-wide // h) * h)), walk(jpeg)
+        for i, x in enumerate(values):
+            m, b = divmod(i, len(units))
+            if b < h * v:
+                want[m // (-(-wide // h)) * v + b // h, m % (-(-wide // h)) * h + b % h] = x
+        assert np.array_equal(thumb, np.clip(np.rint(want[:high, :wide] * 5 / 8 + 128), 0, 255))
 
 
 def test_jpeg_with_other_coefficients():
