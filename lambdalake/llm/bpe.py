@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
@@ -307,6 +308,28 @@ class Vocabulary:
         ends = np.concatenate([[0], np.cumsum(n)])
         return table[K.ragged(at[back], n)], ends[np.searchsorted(start, offsets, "left")]
 
+    def encode_around(self, data: np.ndarray, offsets: np.ndarray, added: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode``, but each place where a document has an added token's text (the first, then the longest) is that token."""
+        raw, found, at = data.tobytes(), [], 0
+        pattern = re.compile(b"|".join(re.escape(x) for x in sorted(added, key=len, reverse=True))) if added else None
+        while pattern and (m := pattern.search(raw, at)):
+            inside = np.searchsorted(offsets, m.start(), "right") == np.searchsorted(offsets, m.end() - 1, "right")
+            found += [m] if inside else []
+            at = m.end() if inside else m.start() + 1
+        if not found:
+            return self.encode(data, offsets)
+        start = np.array([m.start() for m in found])
+        cuts = np.unique(np.concatenate([offsets, start, [m.end() for m in found]]))
+        ids, ends = self.encode(data, cuts)
+        own = np.searchsorted(cuts, start)
+        counts = np.diff(ends)
+        keep = np.ones(len(ids), bool)
+        keep[K.ragged(ends[own], counts[own])] = False
+        keep[ends[own]] = True
+        ids[ends[own]] = [added[m[0]] for m in found]
+        counts[own] = 1
+        return ids[keep], np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(cuts, offsets)]
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of a sequence of ids."""
         return self.blob[K.ragged(self.starts[ids], self.lengths[ids])]
@@ -326,14 +349,14 @@ def vocabulary(path: str) -> Vocabulary:
     return _kept[path]
 
 
-def with_tokens(docs: DataFrame, path: str, schema: str, make: Callable[..., pa.RecordBatch]) -> DataFrame:
-    """Apply ``make(vocabulary, rows, bytes, ids, offsets)`` to slices of (doc_id, text)."""
+def with_tokens(docs: DataFrame, path: str, schema: str, make: Callable[..., pa.RecordBatch], added: dict[bytes, int] | None = None) -> DataFrame:
+    """Apply ``make(vocabulary, rows, ids, offsets)`` to slices of (doc_id, text); ``added`` tokens are matched in running text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
             for part, data, offsets in K.slices(batch):
-                yield make(vocab, part, *vocab.encode(data, offsets))
+                yield make(vocab, part, *vocab.encode_around(data, offsets, added or {}))
 
     return docs.mapInArrow(run, schema)
 

@@ -10,6 +10,7 @@ Null and empty texts are the end token alone. Repeated doc_ids are packed as the
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -69,22 +70,28 @@ def project(ids: np.ndarray, offsets: np.ndarray, dims: int = DIMENSIONS, bits:
     return ((unit + 1) / 2 * ((1 << bits) - 1)).round().astype(np.int64)
 
 
-def tokens(docs: DataFrame, ranks: str) -> DataFrame:
+def added_tokens(path: str) -> dict[bytes, int]:
+    """Texts and ids of the tokens that a tokenizer file adds to its vocabulary; its library matches them in running text."""
+    with open(path, encoding="utf-8") as f:
+        return {x["content"].encode(): x["id"] for x in json.load(f)["added_tokens"]}
+
+
+def tokens(docs: DataFrame, ranks: str, added: dict[bytes, int] | None = None) -> DataFrame:
     """doc_id, Hilbert key and the ids (with the end token) as little-endian unsigned 32-bit, or 16-bit where they fit."""
 
     def make(vocab: bpe.Vocabulary, part: pa.RecordBatch, ids: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         key = hilbert(project(ids, offsets), BITS)
         n = np.arange(len(offsets) - 1)
-        own = np.full(len(ids) + len(n), END, np.uint16 if len(vocab.tokens) <= 65536 else np.uint32)
+        own = np.full(len(ids) + len(n), END, np.uint16 if max(len(vocab.tokens), *(x + 1 for x in (added or {}).values()), 0) <= 65536 else np.uint32)
         own[np.arange(len(ids)) + np.repeat(n, np.diff(offsets))] = ids
         width = own.itemsize
         blob = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(((offsets + np.arange(len(offsets))) * width).astype(np.int32)), pa.py_buffer(own)])
         return pa.record_batch([part.column(0), pa.array(key), pa.array(np.full(len(n), width), pa.int32()), blob], ["doc_id", "key", "width", "ids"])
 
-    return bpe.with_tokens(docs.selectExpr("cast(doc_id as long) doc_id", "text"), ranks, "doc_id long, key long, width int, ids binary", make)
+    return bpe.with_tokens(docs.selectExpr("cast(doc_id as long) doc_id", "text"), ranks, "doc_id long, key long, width int, ids binary", make, added)
 
 
-def pack(docs: DataFrame, ranks: str, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, ranks: str, added: dict[bytes, int] | None = None, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with the ids themselves on demand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +127,7 @@ def pack(docs: DataFrame, ranks: str, length: int = LENGTH, keep_ids: bool = Fal
             at += len(ids)
 
     spark = docs.sparkSession
-    rows = materialize(tokens(docs, ranks), "packing-tokens")
+    rows = materialize(tokens(docs, ranks, added), "packing-tokens")
     order = rows.repartitionByRange(partitions(spark), "key", F.xxhash64("doc_id"), "doc_id").sortWithinPartitions("key", F.xxhash64("doc_id"), "doc_id")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * keep_ids
     return order.select("doc_id", "width", "ids").mapInArrow(run, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, html, language, lines, media, packing, quality, scoring, simhash, suffix
 from .tables import read
 
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+    added = packing.added_tokens(public_tokenizers.path(TOKENIZER))
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), added)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -560,9 +560,10 @@ def test_chain_learns():
 
 def test_packing(docs, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    texts = texts | {900: "a <|endoftext|> b", 901: "<|endoftext|>", 902: "x<|endoftext|><|endoftext|>\n<|endoftext", 903: "|>"}
+    docs = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame([(i, texts[i]) for i in range(900, 904)], "doc_id long, text string"))
     ids = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in texts.items()}
-    rows = sorted(packing.pack(docs, RANKS, keep_ids=True).collect(), key=lambda r: (r.sequence_id, r.offset))
+    rows = sorted(packing.pack(docs, RANKS, packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")), keep_ids=True).collect(), key=lambda r: (r.sequence_id, r.offset))
     at, filled = collections.Counter(), collections.Counter()
     for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
         piece = ids[r.doc_id][r.start : r.start + r.length].tobytes()
@@ -572,7 +573,7 @@ def test_packing(docs, texts):
         assert r.offset == filled[r.sequence_id]
         filled[r.sequence_id] += r.length
     assert at == {i: len(x) for i, x in ids.items()} and max(filled.values()) <= packing.LENGTH
-    assert sum(v < packing.LENGTH for v in filled.values()) <= 8
+    assert sum(v < packing.LENGTH for v in filled.values()) <= 8 and 50256 in ids[900]
 
 
 @pytest.mark.parametrize(("dims", "bits"), [(2, 4), (3, 3), (4, 2)])
