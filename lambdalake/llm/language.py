@@ -5,10 +5,12 @@ language; for an unseen word the longest character n-grams that are known (4, 3,
 word starts and ends told apart) are scored instead. The language of the highest sum wins, the
 alphabetically first of equals; the score is its share of the normalised likelihoods.
 
-The model is fitted on at most about ``SAMPLE`` labelled documents, whole texts, chosen by a hash of
-doc_id, and keeps the ``ENTRIES`` most frequent words and n-grams, so that what is broadcast is bounded.
+The model is fitted on at most about ``SAMPLE`` labelled documents of each language, whole texts, chosen by a hash of
+doc_id, and keeps for each language the ``ENTRIES`` most frequent words and as many n-grams of each length. What is broadcast is
+bounded by the number of languages, and a small language is learnt beside large ones.
 
-Null texts and texts without letters are ``und`` with score 0; so is every text if nothing is labelled.
+Null texts and texts without letters are ``und`` with score 0; so is every text if nothing is labelled. Repeated doc_ids are rows
+like any others. A text of any length is one unit.
 """
 
 from __future__ import annotations
@@ -19,13 +21,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .bpe import LETTER, PerfectHash, classes
 
-SAMPLE, ENTRIES, ORDERS, SMOOTH = 4000, 150_000, (4, 3, 2, 1), 0.5
+SAMPLE, ENTRIES, ORDERS, SMOOTH = 2000, 15_000, (4, 3, 2, 1), 0.5
 
 
 @dataclass
@@ -63,44 +65,56 @@ def find_words(part: pa.RecordBatch) -> tuple[Words, int]:
     ends = heads[np.searchsorted(heads, chars) + 1] if len(chars) else chars
     first = np.searchsorted(chars, start)
     hashes = K.Rolling(data)
-    return Words(K.doc_of(offsets, start), hashes.spans(start, end), first, np.searchsorted(chars, end) - first, chars, ends, hashes), len(offsets) - 1
+    return Words(K.doc_of(offsets, start), K.span_hashes(K.chunks(data), data, start, end), first, np.searchsorted(chars, end) - first, chars, ends, hashes), len(offsets) - 1
 
 
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
+@dataclass
+class Table:
+    """Log frequencies of the entries of one order: for entry i, how much languages that have it lie above their ``unseen``."""
+
+    places: PerfectHash
+    starts: np.ndarray
+    langs: np.ndarray
+    above: np.ndarray
+    unseen: np.ndarray
+
+    def add(self, total: np.ndarray, doc: np.ndarray, at: np.ndarray, weight: float) -> None:
+        """Add the scores of entries (-1: unseen) to their documents' rows."""
+        total += np.bincount(doc, minlength=len(total))[:, None] * self.unseen * weight
+        doc, at = doc[at >= 0], at[at >= 0]
+        many = self.starts[at + 1] - self.starts[at]
+        own = K.ragged(self.starts[at], many)
+        total += np.bincount(np.repeat(doc, many) * total.shape[1] + self.langs[own], self.above[own] * weight, total.size).reshape(total.shape)
+
+
 @dataclass
 class Model:
     languages: list[str]
-    prior: np.ndarray
-    tables: dict[int, tuple[PerfectHash, np.ndarray, np.ndarray]]  # by order, 0 for words: places, log frequencies, those of the unseen
+    tables: dict[int, Table]  # by order, 0 for words
 
     def predict(self, part: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
         words, n = find_words(part)
-        total = np.tile(self.prior, (n, 1)) if self.languages else np.zeros((n, 1))
-        any_word = np.bincount(words.doc, minlength=n) > 0
         if not self.languages:
             return ["und"] * n, np.zeros(n)
-        row = self.tables[0][0].get(words.key)
+        total = np.zeros((n, len(self.languages)))
+        any_word = np.bincount(words.doc, minlength=n) > 0
+        row = self.tables[0].places.get(words.key)
         left = np.flatnonzero(row < 0)
-        seen = np.flatnonzero(row >= 0)
-        for k in range(len(self.languages)):
-            total[:, k] += np.bincount(words.doc[seen], self.tables[0][1][row[seen], k], n)
+        self.tables[0].add(total, words.doc[row >= 0], row[row >= 0], 1)
         for order in ORDERS:
             if not len(left):
                 break
-            places, values, unseen = self.tables[order]
             of, key = words.grams(left, order)
-            at = places.get(key)
+            at = self.tables[order].places.get(key)
             known = np.bincount(of[at >= 0], minlength=len(left)) > 0
             if order == ORDERS[-1]:
                 known[:] = True
             use = known[of]
-            of, at = of[use], at[use]
-            for k in range(len(self.languages)):
-                got = np.where(at >= 0, values[at, k], unseen[k]) / order
-                total[:, k] += np.bincount(words.doc[left[of]], got, n)
+            self.tables[order].add(total, words.doc[left[of[use]]], at[use], 1 / order)
             left = left[~known]
         best = total.argmax(1)
         share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
@@ -110,18 +124,20 @@ class Model:
 def fit(labelled: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
     """From the text and lang of ``labelled`` (rows with a null of either teach nothing)."""
     known = labelled.where("text is not null and lang is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    part = min(1.0, sample / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 20)) < int(part * (1 << 20)))
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    names = sorted(sizes)
+    bound = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1 << 40, (sample << 40) // sizes[x]))) for x in names], F.lit(0))
+    chosen = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 40)) < bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, _ in K.slices(batch):
                 words, n = find_words(part)
-                names, lang = np.unique(np.array(part.column(1).to_pylist(), object).astype(str), return_inverse=True)
+                own, lang = np.unique(np.array(part.column(1).to_pylist(), object).astype(str), return_inverse=True)
                 every = np.arange(len(words.key))
                 for order in (0, *ORDERS):
                     of, key = (every, words.key) if not order else words.grams(every, order)
-                    for k, name in enumerate(names):
+                    for k, name in enumerate(own):
                         keys, counts = np.unique(key[lang[words.doc[of]] == k], return_counts=True)
                         yield pa.record_batch(
                             [pa.array([name] * len(keys), pa.string()), pa.array(np.full(len(keys), order, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)],
@@ -129,19 +145,20 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Mo
                         )
 
     counts = chosen.mapInArrow(run, "lang string, order int, key long, n long").groupBy("lang", "order", "key").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "order", "key", "lang").limit(entries).toArrow()
-    names = sorted(set(top.column("lang").to_pylist()))
+    place = F.row_number().over(Window.partitionBy("lang", "order").orderBy(F.desc("n"), "key"))
+    top = counts.withColumn("place", place).where(F.col("place") <= entries).toArrow()
     order, key, n = (top.column(c).to_numpy() for c in ("order", "key", "n"))
-    lang = np.searchsorted(np.array(names, object), np.array(top.column("lang").to_pylist(), object)) if names else np.zeros(0, np.int64)
+    lang = np.searchsorted(np.array(names, object), np.array(top.column("lang").to_pylist(), object)) if top.num_rows else np.zeros(0, np.int64)
     tables = {}
     for k in (0, *ORDERS):
-        own = order == k
-        keys, back = np.unique(key[own].view(K.U), return_inverse=True)
-        table = np.zeros((len(keys), max(1, len(names))))
-        np.add.at(table, (back, lang[own]), n[own])
-        total = table.sum(0) + SMOOTH * (len(keys) + 1)
-        tables[k] = (PerfectHash(keys, np.arange(len(keys))), np.log((table + SMOOTH) / total), np.log(SMOOTH / total))
-    return Model(names, np.zeros(max(1, len(names))), tables)
+        own = np.flatnonzero(order == k)
+        own = own[np.lexsort((lang[own], key[own].view(K.U)))]
+        keys, first = np.unique(key[own].view(K.U), return_index=True)
+        total = np.bincount(lang[own], n[own], max(1, len(names))) + SMOOTH * (len(keys) + 1)
+        unseen = np.log(SMOOTH / total)
+        above = np.log((n[own] + SMOOTH) / total[lang[own]]) - unseen[lang[own]]
+        tables[k] = Table(PerfectHash(keys, np.arange(len(keys))), np.append(first, len(own)), lang[own], above, unseen)
+    return Model(names, tables)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -177,6 +177,54 @@ def test_language(spark):
     assert nothing[1].lang_pred == "und"
 
 
+def plain_backoff(learn, texts):
+    """(language, score) of each text: words first, then 4, 3, 2 and 1 characters, from plain counts of (lang, text)."""
+    find = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    cut = lambda w, n: [(w[i : i + n], i == 0, i + n == len(w)) for i in range(len(w) - n + 1)]
+    names, counts = sorted({x for x, _ in learn}), collections.defaultdict(collections.Counter)
+    for lang, t in learn:
+        for w in find(t):
+            counts[0, lang][w] += 1
+            for n in (1, 2, 3, 4):
+                counts[n, lang].update(cut(w, n))
+    kinds = {n: len(set().union(*(counts[n, x] for x in names))) for n in range(5)}
+    size = {(n, x): sum(counts[n, x].values()) + 0.5 * (kinds[n] + 1) for n in range(5) for x in names}
+    known = {n: set().union(*(counts[n, x] for x in names)) for n in range(5)}
+    out = []
+    for t in texts:
+        sums = dict.fromkeys(names, 0.0)
+        for w in find(t):
+            order = 0 if w in known[0] else next((n for n in (4, 3, 2) if any(g in known[n] for g in cut(w, n))), 1)
+            for g in [w] if order == 0 else cut(w, order):
+                for x in names:
+                    sums[x] += math.log((counts[order, x][g] + 0.5) / size[order, x]) / max(1, order)
+        best = max(names, key=lambda x: (sums[x], [-ord(c) for c in x]))
+        out.append((best, 1 / sum(math.exp(v - sums[best]) for v in sums.values())) if find(t) else ("und", 0.0))
+    return out
+
+
+def test_language_of_twenty(spark):
+    """Small languages beside large ones; every prediction equals a plain recomputation; other columns and rows do not matter."""
+    rng, rows = random.Random(4), []
+    for k in range(20):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyzäöüßéñ", 9)
+        own = ["".join(rng.choices(letters, k=rng.randint(2, 8))) for _ in range(60)]
+        for i in range(4 if k in (3, 11) else 40):
+            new = "".join(rng.choices(letters, k=5))
+            rows.append((len(rows), " ".join([*rng.choices(own, k=12), new]), f"l{k:02}", "x", i))
+    rows += [rows[0], rows[0], (5000, "Ünseen wörds überall 漢字 x", None, "x", 1)]
+    schema = "doc_id long, text string, lang string, key string, unseen int"
+    got = language.report(spark.createDataFrame(rows, schema)).collect()
+    learn = [(r[2], r[1]) for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    want = sorted((r[0], *p) for r, p in zip(rows, plain_backoff(learn, [r[1] for r in rows]), strict=True))
+    assert len(got) == len(want)
+    for r, (i, lang, score) in zip(sorted(got, key=lambda r: r.doc_id), want, strict=True):
+        assert (r.doc_id, r.lang_pred) == (i, lang) and r.score == pytest.approx(score, abs=1e-9)
+    true = {r[0]: r[2] for r in rows}
+    for names in ({"l03", "l11"}, set(true.values()) - {"l03", "l11", None}):
+        assert np.mean([r.lang_pred == true[r.doc_id] for r in got if true[r.doc_id] in names]) > 0.9
+
+
 # 4
 
 
