@@ -1,12 +1,15 @@
 """Operator 2: HTML main-text extraction by minimum-cut labelling.
 
-A tolerant tag scan cuts a page into text blocks with their DOM places. A classifier gives each block a
-cost for either label (its elements and roles, class and id words, link share, length, punctuation); these
-are the terminal capacities. Blocks next to each other, and next to each other within one container, are
-tied by smoothness edges that weaken with their distance in the DOM. A maximum flow gives the cheapest
-labelling; blocks on the source's side are content. Equal cuts go to boilerplate.
+A tolerant tag scan cuts a page into text blocks with their DOM places. A classifier gives each block its log-odds of being
+content, which become terminal capacities: what its text looks like (length, last character, element, link share; weights
+fitted on a bounded sample of blocks that their place on the page labels) and where it stands (within an article, within
+navigation, under a class of adverts, notices or comments). Blocks next to each other, and next to each other within one
+container, are tied by smoothness edges that weaken with their distance in the DOM and are of the size of a text's
+log-odds. A maximum flow gives the cheapest labelling; blocks on the source's side are content. Equal cuts go to
+boilerplate.
 
-Null and empty pages have an empty text. A page of any length is one unit; nothing is capped.
+The sample is ``SAMPLE`` pages at most (by a hash of page_id). Null and empty pages have an empty text. A page of any length and
+depth is one unit; nothing is capped. Repeated rows are rows like any others; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -17,13 +20,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Elements whose content is never text of the page; those that end a block; those that have no end tag.
-SKIPPED = set("script style noscript template title textarea iframe svg math object audio video canvas noframes noembed".split())
+SKIPPED = set("script style noscript template title textarea iframe svg object audio video canvas noframes noembed".split())
 BLOCKS = set(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header"
     " hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -34,30 +39,31 @@ ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 ENDS |= {x: {"p"} for x in BLOCKS - set(ENDS) - {"head", "html", "body"}}
 HARD = set("nav footer aside form button select dialog menu head fieldset".split())
 HARD_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+#: Words of class and id names of what is not the article, how such words begin, and words that only say what a box is.
 HINTS = set(
     "ad ads adbox banner promo promotion popup modal overlay subscribe subscription signup login notice notification notifications gdpr consent menu nav navigation"
-    " topbar toolbar footer masthead respond reply replies discussion disqus share sharing social related recommended recommendations pagination pager search skip"
-    " legal copyright disclaimer outbrain taboola widget alert".split()
+    " topbar toolbar footer masthead discussion share sharing social related recommended recommendations pagination pager search skip"
+    " legal copyright disclaimer outbrain taboola alert comment comments commentlist disqus respond reply replies".split()
 )
-HINT_STARTS = ("advert", "cookie", "comment", "sidebar", "navbar", "newsletter", "breadcrumb", "sponsor")
-ARTICLE, NAVIGATION, HINTED = 1, 2, 4
+HINT_STARTS = ("advert", "cookie", "sidebar", "navbar", "newsletter", "breadcrumb", "sponsor")
+NEUTRAL = set("box block bar list links link wrapper wrap container area section item items panel pane group row widget form button buttons icons posts articles stories top bottom left right main site page global".split())
+ARTICLE, NAVIGATION, HINTED, SOFT = 1, 2, 4, 8
 
 
 @dataclass
-class Block:
-    text: str
-    flags: int
+class Element:
     tag: str
-    path: tuple[int, ...]
-    linked: int
+    flags: int
+    parent: Element | None
+    depth: int = 0
+    inner: int = 0  # open elements of the same name inside that are not on the stack
 
 
 @dataclass
-class Element:
-    tag: str
-    flags: int
-    path: tuple[int, ...]
-    children: int = 0
+class Block:
+    text: str
+    element: Element
+    linked: int
 
 
 @dataclass
@@ -70,33 +76,46 @@ class Page:
         if self.parts:
             text = " ".join(unescape("".join(self.parts)).split())
             if text:
-                self.blocks.append(Block(text, top.flags, top.tag, top.path, self.linked))
+                self.blocks.append(Block(text, top, self.linked))
             self.parts, self.linked = [], 0
 
 
+def _hint(names: str) -> int:
+    """HINTED if all words of a class or id are about something else than the article, SOFT if only some are."""
+    out = 0
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+        told = [w in HINTS or w.startswith(HINT_STARTS) for w in words]
+        if any(told):
+            out |= HINTED if all(t or w in NEUTRAL for t, w in zip(told, words, strict=True)) else SOFT
+    return out
+
+
 def _flags(tag: str, raw: str, above: int) -> int:
-    flags, words, attributes = above, (), {}
+    flags, hint, attributes = above, 0, {}
     if raw and not raw.isspace():
         attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)}
-        words = re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()) if "class" in attributes or "id" in attributes else ()
+        hint = _hint(f"{attributes.get('class', '')} {attributes.get('id', '')}")
     role = attributes.get("role", "").lower()
-    hinted = any(w in HINTS or w.startswith(HINT_STARTS) for w in words)
-    comment = any(w.startswith(("comment", "disqus")) for w in words)
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
         flags |= NAVIGATION
-    if tag in HARD or role in HARD_ROLES or comment or tag == "header" and not above & ARTICLE:
+    if tag in HARD or role in HARD_ROLES or tag == "header" and not above & ARTICLE:
         flags |= NAVIGATION
-    elif hinted and tag not in ("body", "html"):
-        flags |= HINTED
-    if (tag in ("article", "main") or role in ("main", "article") or attributes.get("itemprop") == "articleBody") and not (comment or hinted):
-        flags = (flags | ARTICLE) & ~HINTED
+    if tag not in ("body", "html"):
+        flags |= hint
+    if (tag in ("article", "main") or role in ("main", "article") or attributes.get("itemprop") == "articleBody") and not hint & HINTED:
+        flags |= ARTICLE
     return flags
 
 
 def blocks(html: str) -> list[Block]:
     """Text blocks in page order; character references decoded, white space runs made one blank."""
-    page, stack, at, ids = Page(), [Element("", 0, ())], 0, 0
+    page, stack, at = Page(), [Element("", 0, None)], 0
     links = 0
+
+    def push(tag: str, flags: int) -> None:
+        stack.append(Element(tag, flags, stack[-1], stack[-1].depth + 1))
+
     while True:
         m = TAG.search(html, at)
         text = html[at : m.start() if m else len(html)]
@@ -110,7 +129,7 @@ def blocks(html: str) -> list[Block]:
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        closing = bool(m[1] or m[4])
+        closing, raw, top = bool(m[1] or m[4]), m[3] or m[6] or "", stack[-1]
         if tag in SKIPPED and not closing:
             end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(html, at)
             at = end.end() if end else len(html)
@@ -122,15 +141,21 @@ def blocks(html: str) -> list[Block]:
             links = 0 if closing else 1
             continue
         if tag not in BLOCKS:
-            if not closing and tag not in VOID and ("class" in (m[3] or "") or "hidden" in (m[3] or "")) and _flags(tag, m[3], 0):
-                page.flush(stack[-1])
-                ids += 1
-                stack.append(Element(tag, _flags(tag, m[3], stack[-1].flags), (*stack[-1].path, ids)))
-            elif closing and stack[-1].tag == tag:
-                page.flush(stack[-1])
-                stack.pop()
+            if closing and top.tag == tag:
+                if top.inner:
+                    top.inner -= 1
+                else:
+                    page.flush(top)
+                    stack.pop()
+            elif not closing and tag not in VOID:
+                own = _flags(tag, raw, 0) if any(x in raw for x in ("class", "id", "hidden", "role", "style")) else 0
+                if own & (NAVIGATION | HINTED):
+                    page.flush(top)
+                    push(tag, top.flags | own)
+                elif top.tag == tag:
+                    top.inner += 1
             continue
-        page.flush(stack[-1])
+        page.flush(top)
         links = 0
         if closing:
             for k in range(len(stack) - 1, 0, -1):
@@ -140,54 +165,111 @@ def blocks(html: str) -> list[Block]:
         elif tag not in VOID:
             while len(stack) > 1 and stack[-1].tag in ENDS.get(tag, ()):
                 stack.pop()
-            ids += 1
-            stack.append(Element(tag, _flags(tag, m[3] or m[6] or "", stack[-1].flags), (*stack[-1].path, ids)))
+            push(tag, _flags(tag, raw, stack[-1].flags))
     page.flush(stack[-1])
     return page.blocks
 
 
-def cost(block: Block, has_article: bool) -> int:
-    """Above 0: so much dearer as boilerplate; below: as content. In hundredths."""
-    n = len(block.text)
-    score = min(n, 400) // 2
-    if block.text[-1] in ".!?…:;»”\"'":
-        score += 60
-    if block.tag in ("p", "blockquote", "pre"):
-        score += 80
-    elif block.tag in ("h1", "h2", "h3"):
-        score += 50
-    elif block.tag in ("li", "td", "option"):
-        score -= 40
-    if 2 * block.linked > n:
-        score -= 300
-    if block.flags & ARTICLE:
-        score += 500
+# Costs.
+
+FEATURES = ["bias", "under 25 characters", "80 and more", "200 and more", "ends in a stop", "paragraph", "heading", "list or cell", "mostly link", "some link"]
+#: Weights by hand, which the fit starts from and is drawn to; the weights of places; the most that a text counts.
+PRIOR = (0.0, -1.5, 1.0, 1.0, 1.0, 1.0, 0.5, -0.8, -3.0, -1.0)
+IN_ARTICLE, ELSEWHERE, IN_NAVIGATION, IN_HINTED, IN_SOFT, MOST = 4.0, -6.0, -13.0, -13.0, -1.0, 3.0
+#: Log-odds of a tie at distance 0; pages of the sample; blocks that a sample counts as, against the prior's one.
+TIE, SAMPLE, EVIDENCE = 3.0, 2000, 1000.0
+
+
+def features(block: Block) -> int:
+    """Bit set of FEATURES."""
+    n, tag = len(block.text), block.element.tag
+    on = (
+        True, n < 25, n >= 80, n >= 200, block.text[-1] in ".!?…:;»”\"'", tag in ("p", "blockquote", "pre"), tag in ("h1", "h2", "h3", "h4"),
+        tag in ("li", "td", "th", "dt", "dd", "option"), 2 * block.linked > n, 5 * block.linked > n,
+    )
+    return sum(1 << k for k, x in enumerate(on) if x)
+
+
+def place(block: Block) -> int | None:
+    """1 for content and 0 for boilerplate where the place of a block says so by itself."""
+    flags = block.element.flags
+    return 0 if flags & (NAVIGATION | HINTED) else 1 if flags & ARTICLE and not flags & SOFT else None
+
+
+def fit_weights(counts: dict[tuple[int, int], int]) -> tuple[float, ...]:
+    """Logistic weights for counts of (features, label), drawn to PRIOR, by Newton's steps."""
+    prior = np.array(PRIOR)
+    if not counts:
+        return PRIOR
+    on = np.array([[bits >> k & 1 for k in range(len(FEATURES))] for bits, _ in counts], float)
+    label, n = np.array([y for _, y in counts], float), np.array(list(counts.values()), float)
+    # Both kinds count the same, whatever their numbers.
+    for y in (0, 1):
+        n[label == y] *= EVIDENCE / 2 / max(1.0, n[label == y].sum())
+    w = prior.copy()
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(on @ w, -30, 30)))
+        gradient = on.T @ (n * (label - p)) - (w - prior)
+        step = np.linalg.solve(on.T @ (on * (n * p * (1 - p))[:, None]) + np.eye(len(w)), gradient)
+        w += step * min(1.0, 2 / max(1e-9, np.abs(step).max()))
+    return tuple(w.round(6).tolist())
+
+
+def fit(pages: DataFrame, sample: int = SAMPLE) -> tuple[float, ...]:
+    """Weights of FEATURES from the blocks of about ``sample`` pages at most."""
+    part = pages.where("html is not null").select("page_id", "html")
+    bound = min(1 << 40, (sample << 40) // max(1, part.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            for html in batch.column(1).to_pylist():
+                for block in blocks(html):
+                    if (y := place(block)) is not None:
+                        key = features(block), y
+                        counts[key] = counts.get(key, 0) + 1
+        yield pa.record_batch([pa.array([b for b, _ in counts], pa.int32()), pa.array([y for _, y in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["bits", "label", "n"])
+
+    chosen = part.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 40)) < bound)
+    got = chosen.mapInArrow(run, "bits int, label int, n long").groupBy("bits", "label").agg(F.sum("n").alias("n")).orderBy("bits", "label").collect()
+    return fit_weights({(r.bits, r.label): r.n for r in got})
+
+
+def cost(block: Block, has_article: bool, weights: tuple[float, ...] = PRIOR) -> int:
+    """Above 0: so much dearer as boilerplate; below: as content. Hundredths of log-odds."""
+    bits, flags = features(block), block.element.flags
+    score = max(-MOST, min(MOST, sum(w for k, w in enumerate(weights) if bits >> k & 1)))
+    if flags & ARTICLE:
+        score += IN_ARTICLE
     elif has_article:
-        score -= 600
-    if block.flags & NAVIGATION:
-        score -= 2000
-    if block.flags & HINTED:
-        score -= 1500
-    return score
+        score += ELSEWHERE
+    score += IN_NAVIGATION * bool(flags & NAVIGATION) + IN_HINTED * bool(flags & HINTED) + IN_SOFT * bool(flags & SOFT)
+    return round(100 * score)
+
+
+def _distance(a: Element, b: Element) -> int:
+    """Steps from one element to the other; over all neighbours of a page about as many as it has elements."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
 
 
 def edges(all_blocks: list[Block]) -> list[tuple[int, int, int]]:
     """(i, j, weight): neighbours on the page, and neighbours within one container."""
     out, last = [], {}
+    weight = lambda steps: round(100 * TIE / (1 + steps))
     for j, b in enumerate(all_blocks):
-        ties = {j - 1} if j else set()
-        box = b.path[:-1]
-        if box in last:
-            ties.add(last[box])
-        last[box] = j
-        for i in ties:
-            a = all_blocks[i]
-            shared = 0
-            for x, y in zip(a.path, b.path, strict=False):
-                if x != y:
-                    break
-                shared += 1
-            out.append((i, j, 120 // (1 + len(a.path) + len(b.path) - 2 * shared)))
+        if j:
+            out.append((j - 1, j, weight(_distance(all_blocks[j - 1].element, b.element))))
+        i = last.get(id(b.element.parent))
+        if i is not None and i != j - 1:
+            out.append((i, j, weight(0 if all_blocks[i].element is b.element else 2)))
+        last[id(b.element.parent)] = j
     return out
 
 
@@ -254,23 +336,23 @@ def minimum_cut(costs: list[int], ties: list[tuple[int, int, int]]) -> list[bool
             x = to[e]
 
 
-def main_text(html: str | None) -> str:
+def main_text(html: str | None, weights: tuple[float, ...] = PRIOR) -> str:
     if not html:
         return ""
     found = blocks(html)
-    has_article = any(b.flags & ARTICLE and not b.flags & (NAVIGATION | HINTED) for b in found)
-    keep = minimum_cut([cost(b, has_article) for b in found], edges(found))
+    has_article = any(place(b) == 1 for b in found)
+    keep = minimum_cut([cost(b, has_article, weights) for b in found], edges(found))
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, weights: tuple[float, ...] = PRIOR) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = [main_text(x) for x in part.column(2).to_pylist()]
+                texts = [main_text(x, weights) for x in part.column(2).to_pylist()]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

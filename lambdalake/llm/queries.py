@@ -44,7 +44,8 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(read(spark, sf_dir, "pages"))
+    pages = read(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages))
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

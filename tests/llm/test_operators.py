@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -151,6 +152,112 @@ def test_html(spark):
     assert [r.text for r in got[1:3]] == ["", ""] and got[3].text.startswith("Only this") and got[4].text.startswith("no tags")
 
 
+class Tree(HTMLParser):
+    """Blocks of a well-formed page with the open elements around each: an own reading, by the library's parser."""
+
+    def __init__(self, text):
+        super().__init__(convert_charrefs=True)
+        self.open, self.found, self.parts, self.count, self.linked = [("", {}, 0)], [], [], 0, 0
+        self.feed(text)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        text = " ".join("".join(self.parts).split())
+        if text:
+            self.found.append((text, list(self.open), self.linked))
+        self.parts, self.linked = [], 0
+
+    def breaks(self, tag, attrs):
+        return tag in html.BLOCKS or "class" in attrs
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        if self.breaks(tag, attrs):
+            self.flush()
+        self.count += 1
+        self.open.append((tag, attrs, self.count))
+
+    def handle_endtag(self, tag):
+        if self.breaks(*self.open[-1][:2]):
+            self.flush()
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.parts.append(data)
+        self.linked += len(data) * any(x[0] == "a" for x in self.open)
+
+
+def brute_text(page, weights):
+    """The cheapest labelling of all, the one with the least content of equals."""
+    kinds, costs, paths = [], [], []
+    found = Tree(page).found
+    for text, around, linked in found:
+        classes = [x[1].get("class", "") for x in around]
+        bad = any(x[0] in ("nav", "footer", "aside", "form") for x in around) + 2 * any(c in ("ad", "comments", "cookie-notice") for c in classes)
+        article = any(x[0] in ("article", "main") for x in around)
+        soft = "related-work" in classes
+        kinds.append(1 if article and not bad and not soft else 0)
+        boxes = [x for x in around if x[0] in html.BLOCKS or "class" in x[1] or not x[0]]
+        tag, n = boxes[-1][0], len(text)
+        on = [True, n < 25, n >= 80, n >= 200, text[-1] in ".!?", tag == "p", tag == "h1", tag == "li", 2 * linked > n, 5 * linked > n]
+        score = max(-html.MOST, min(html.MOST, sum(w for w, x in zip(weights, on) if x)))
+        costs.append((score, article, bad, soft))
+        paths.append([x[2] for x in boxes])
+    costs = [round(100 * (s + (html.IN_ARTICLE if a else html.ELSEWHERE if any(kinds) else 0) + html.IN_NAVIGATION * (b & 1) + html.IN_HINTED * (b >> 1) + html.IN_SOFT * q)) for s, a, b, q in costs]
+    ties = []
+    for j in range(len(found)):
+        near = {j - 1} if j else set()
+        near |= {max([i for i in range(j) if paths[i][:-1][-1:] == paths[j][:-1][-1:]], default=j - 1)} if j else set()
+        for i in near:
+            shared = sum(x == y for x, y in zip(paths[i], paths[j]))
+            ties.append((i, j, round(100 * html.TIE / (1 + len(paths[i]) + len(paths[j]) - 2 * shared))))
+    price = lambda keep: sum(max(c, 0) for c, k in zip(costs, keep) if not k) + sum(max(-c, 0) for c, k in zip(costs, keep) if k) + sum(w for a, b, w in ties if keep[a] != keep[b])
+    keep = min(([bool(m >> i & 1) for i in range(len(found))] for m in range(1 << len(found))), key=lambda k: (price(k), sum(k)))
+    return "\n".join(t for (t, _, _), k in zip(found, keep) if k), sum(k != (c > 0) for k, c in zip(keep, costs))
+
+
+def random_page(rng, depth=0):
+    out = ""
+    for _ in range(rng.randint(1, 3)):
+        text = words(rng.choice([1, 2, 9, 30, 60]), rng.randint(0, 99)) + rng.choice([".", "", " &amp; so on."])
+        kind = rng.choice(["p", "p", "p", "div", "h1", "li", "nav", "article", "main", "footer", "ad", "soft", "span", "a"])
+        inner = random_page(rng, depth + 1) if depth < 2 and kind in ("div", "article", "main", "ad") and rng.random() < 0.7 else text
+        out += {"ad": f'<div class="ad">{inner}</div>', "soft": f'<p class="related-work">{text}</p>', "a": f'<p>{text} <a href="x">more of it</a></p>',
+                "span": f'<p>{text} <span class="ad">Buy <span>now</span> or later</span> {text}</p>'}.get(kind, f"<{kind}>{inner}</{kind}>")
+    return out
+
+
+@pytest.mark.parametrize("weights", [html.PRIOR, (0.2, -2.5, 0.4, 0.3, 0.7, 1.1, 0.1, -0.5, -2.0, -0.7)])
+def test_html_is_cheapest_labelling(weights):
+    rng, changed = random.Random(11), 0
+    pages = [p for p in (random_page(rng) for _ in range(400)) if 0 < len(Tree(p).found) <= 11]
+    assert len(pages) > 200
+    for page in pages:
+        want, moved = brute_text(page, weights)
+        assert html.main_text(page, weights) == want, page
+        changed += moved
+    assert changed > 50  # labels that the cut gives against the sign of their cost
+
+
+def test_html_fit(spark):
+    good, bad = (f"<p>{words(40, i)}.</p>" for i in range(1)), "<li><a href=x>Home</a></li>"
+    rows = [(i, "u", f"<nav><ul>{bad * 4}</ul></nav><article><h1>Title {i}</h1>{''.join(good) or f'<p>{words(40, i)}.</p>'}<p>Short.</p></article><div class=ad>Buy now.</div>") for i in range(40)]
+    pages = spark.createDataFrame([*rows, rows[0], (99, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("x"))
+    weights = html.fit(pages)
+    assert weights != html.PRIOR and weights == html.fit(pages.repartition(3)) and html.fit(pages.limit(0)) == html.PRIOR
+    plain = rows[1][2].replace("article", "div").replace("nav>", "div>")
+    assert html.main_text(plain, weights).startswith("Title 1\n") and "Home" not in html.main_text(plain, weights)
+    assert len(html.extract(pages, weights).collect()) == 42
+
+
+def test_html_nesting():
+    page = '<main><p class="related-work">Related work.</p><div class="share-price">The share price rose.</div><p>And <math><mi>x</mi></math> <span class="ad">Buy <span>x</span> more text</span>too.</p></main>'
+    assert html.main_text(page) == "Related work.\nThe share price rose.\nAnd x\ntoo."
+    deep = "<div>" * 30_000 + "<p>Deep down here is a sentence that is long enough to be kept.</p>" * 3
+    assert html.main_text(deep).count("\n") == 2
+
+
 def test_minimum_cut_is_least():
     rng = random.Random(5)
     for _ in range(60):
