@@ -6,6 +6,7 @@ memory of a task depends on the longest document and not on the number of rows i
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,15 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are kept for later tasks, and several share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; the memory stays with the worker
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of whole rows of about ``most`` bytes: (rows, bytes, offsets)."""
     data, offsets = as_bytes(batch.column(batch.schema.get_field_index(column)))
@@ -45,6 +55,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
         yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    release()
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -60,6 +71,7 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", most: int
             held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    release()
 
 
 def doc_of(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -41,7 +41,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    FOLDERS.append(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.folder = path
+    return out
+
+
+#: Folders that ``materialize`` has written in this process and ``drop`` has not deleted.
+FOLDERS: list[str] = []
+
+
+def drop(spark: SparkSession, folders: list[str]) -> None:
+    """Delete written tables that nothing will read again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+        if folder in FOLDERS:
+            FOLDERS.remove(folder)
 
 
 def unused(name: str, columns: list[str]) -> str:
