@@ -52,13 +52,15 @@ FOLDERS: list[str] = []
 
 
 def drop(spark: SparkSession, folders: list[str]) -> None:
-    """Delete written tables that nothing will read again."""
+    """Delete written tables that nothing will read again, and let Spark do so with its shuffles."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in folders:
+    for folder in list(folders):
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
         if folder in FOLDERS:
             FOLDERS.remove(folder)
+    if folders:
+        jvm.System.gc()  # the driver's cleaner drops shuffles whose plans are gone
 
 
 def unused(name: str, columns: list[str]) -> str:
