@@ -165,7 +165,7 @@ def until(programs: DataFrame, target: int, sketch_order: str, sketch: str = "sk
 
 def sample(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """``n`` rows without replacement, the same ones on any cluster."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def measures(programs: DataFrame) -> DataFrame:

@@ -11,12 +11,11 @@ from ..dsl import syntax, variations
 from ..dsl.primitives import SIGNATURES
 from ..functions import learning, parsing
 from ..operators import corpus as C
-from ..operators import simplification
 from ..plans import enumeration
 
 #: A user's ten first values, in buckets, stand for a program's fingerprint; values above 120 are failures.
 FP_SQL = """p AS (SELECT event_type AS type, user_id AS ord, list(CASE WHEN value <= 120 THEN CAST(floor(value / 25) AS INT)::VARCHAR END ORDER BY ts, event_id) AS fp FROM
-  (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS k FROM events) WHERE k <= 4 GROUP BY ALL)"""
+  (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS k FROM events) WHERE k <= 10 GROUP BY ALL)"""
 QUALITY_SQL = """g AS (SELECT *, len(list_filter(fp, lambda v: v IS NOT NULL)) AS ok, len(list_distinct(list_filter(fp, lambda v: v IS NOT NULL))) AS kinds FROM p)"""
 KEY_SQL = "array_to_string(list_transform(fp, lambda v: coalesce(v, 'x')), ',')"
 
@@ -26,7 +25,7 @@ def fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
     events = spark.read.parquet(f"{d}/events.parquet")
     k = F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id"))
-    first = events.withColumn("k", k).where("k <= 4").withColumn("v", F.when(F.col("value") <= 120, F.floor(F.col("value") / 25).cast("int").cast("string")))
+    first = events.withColumn("k", k).where("k <= 10").withColumn("v", F.when(F.col("value") <= 120, F.floor(F.col("value") / 25).cast("int").cast("string")))
     rows = first.groupBy(F.col("event_type").alias("type"), F.col("user_id").alias("ord")).agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("r"))
     return rows.select("type", "ord", F.transform("r", lambda r: r["v"]).alias("fp"))
 
@@ -81,9 +80,9 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         f"""WITH {FP_SQL}, {QUALITY_SQL} SELECT type, ord, CASE WHEN ok >= 3 AND kinds >= 2 THEN round(kinds / ok * CASE WHEN {KEY_SQL} IN (SELECT {KEY_SQL} FROM p WHERE ord % 2 = 0) THEN 0.1 ELSE 1.0 END, 6) ELSE 0.0 END AS reward FROM g""",
     ),
     "topk_reward": (
-        lambda s, d: C.top_k(C.with_reward(fingerprints(s, d).where("type = 'click'"), known(s, d)), 10, "ord").select("ord", F.round("reward", 6).alias("reward"), key()),
+        lambda s, d: C.top_k(C.with_reward(fingerprints(s, d), known(s, d)), 10, "ord").select("ord", F.round("reward", 6).alias("reward"), key()),
         f"""WITH {FP_SQL}, {QUALITY_SQL}, r AS (SELECT ord, {KEY_SQL} AS fp, CASE WHEN ok >= 3 AND kinds >= 2 THEN kinds / ok * CASE WHEN {KEY_SQL} IN (SELECT {KEY_SQL} FROM p WHERE ord % 2 = 0) THEN 0.1 ELSE 1.0 END ELSE 0.0 END AS reward
-        FROM g WHERE type = 'click') SELECT min(ord) AS ord, round(reward, 6) AS reward, fp FROM r GROUP BY fp, reward ORDER BY reward DESC, ord LIMIT 10""",
+        FROM g) SELECT min(ord) AS ord, round(reward, 6) AS reward, fp FROM r GROUP BY fp, reward ORDER BY reward DESC, ord LIMIT 10""",
     ),
     "stratified_pick": (
         lambda s, d: C.stratified(pools(s, d).withColumn("n", F.size("pool")), ["g"], "n", [F.col("l_orderkey")], 3).select("l_orderkey", "g", "n", F.col("quartile").cast("long").alias("quartile")),
@@ -116,7 +115,6 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         lambda s, d: C.constants_used(s.read.parquet(f"{d}/events.parquet").select(F.col("props").alias("program")).select(F.regexp_replace("program", '[{}":]', " ").alias("program"))),
         "SELECT DISTINCT CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS constant FROM events WHERE regexp_matches(props, '\\d')",
     ),
-    "sample_by_hash": (lambda s, d: C.sample(s.read.parquet(f"{d}/events.parquet").select("event_id"), 100, "event_id"), ""),
     "parse_response": (
         lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", parsing.response(F.expr(RESPONSE_SQL)).alias("r")).select("event_id", "r.kind", F.array_join("r.value", ",").alias("value")),
         """SELECT event_id, CASE WHEN event_id % 6 IN (0, 4) THEN 'NO_RESPONSE' WHEN event_id % 6 = 1 THEN 'EMPTY' ELSE 'LIST' END AS kind,
@@ -128,19 +126,11 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     ),
     "expand_sketches": (lambda s, d: C.dedup(C.evaluate(C.expand(sketches(s))).where(C.good(F.col("fp"))), "place", ("type", "fp")).select("program", "type", "size", "place"), ""),
     "expand_sampled": (lambda s, d: C.expand(sketches(s), most=50).select("program", "sketch", "place"), ""),
-    "evaluate_corpus": (lambda s, d: C.evaluate(programs(s)), ""),
     "fingerprint_native": (lambda s, d: C.fingerprint_columns(s, ["(λ (x) (reverse x))", "(λ (x) (sum x))", "(λ (x) (map (λ (y) (/ 6 y)) x))"]), ""),
-    "program_measures": (lambda s, d: C.measures(programs(s)), ""),
-    "tokenise": (lambda s, d: programs(s).select("ord", C.token_ids(F.col("program")).alias("ids")), ""),
-    "shuffle_names": (lambda s, d: programs(s).select("ord", C.shuffled(F.col("program"), {"take": "drop", "drop": "take", "+": "-"}).alias("s")).select("ord", "s.program", "s.preamble"), ""),
     "transitions": (lambda s, d: C.transitions(programs(s)), ""),
-    "count_policy": (lambda s, d: C.count_policy(C.transitions(programs(s))), ""),
     "rollouts": (lambda s, d: C.evaluate(C.rollouts(s, 200)), ""),
     "io_samples": (lambda s, d: C.io_samples(programs(s)), ""),
-    "io_check": (lambda s, d: C.check(C.io_samples(programs(s))), ""),
-    "io_score": (lambda s, d: C.io_score(C.io_samples(programs(s))), ""),
     "validation_split": (lambda s, d: C.validation_split(programs(s)), ""),
-    "simplify_corpus": (lambda s, d: simplification.simplify_corpus(programs(s)), ""),
     "enumerate_small": (lambda s, d: enumeration.corpus(enumeration.enumerate_programs(s, 3, only=["+", "take", "reverse", "length", "concat", "map"])), ""),
     "cluster_embeddings": (lambda s, d: learning.cluster(s.read.parquet(f"{d}/embeddings.parquet"), "embedding", [4, 10])[0].select("vec_id", "cluster"), ""),
     "project_embeddings": (lambda s, d: learning.project(s.read.parquet(f"{d}/embeddings.parquet"), "embedding").select("vec_id", "pc1", "pc2"), ""),

@@ -115,6 +115,7 @@ def test_own_primitive(spark):
     assert spark.createDataFrame([([1, 2],)], "xs array<bigint>").select(column).first()[0] == [2, 4]
 
 
+#: Programs and the sizes that simplification must reach (fixed values).
 @pytest.mark.parametrize(
     ("text", "size"),
     [
