@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from . import kernels as K
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
+#: Forms are merged once in each slice, so larger ones repeat less work.
+SLICE_BYTES = 4 << 20
 #: Rust's \s, that is the property White_Space (fixed values).
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _class_of: dict[int, int] = {}
@@ -355,7 +357,7 @@ def with_tokens(docs: DataFrame, path: str, schema: str, make: Callable[..., pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            for part, data, offsets in K.slices(batch):
+            for part, data, offsets in K.slices(batch, most=SLICE_BYTES):
                 yield make(vocab, part, *vocab.encode_around(data, offsets, added or {}))
 
     return docs.mapInArrow(run, schema)

@@ -156,7 +156,13 @@ def identify(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     bytes are equal. Groups are found by hash and compared byte by byte; should two contents share a hash, a
     dictionary of the bytes takes over."""
     view = chunks(data)
-    hashes, first, group = np.unique(span_hashes(view, data, start, end), return_index=True, return_inverse=True)
+    hashes = span_hashes(view, data, start, end)
+    order = np.argsort(hashes)
+    head = np.append(True, hashes[order[1:]] != hashes[order[:-1]])[: len(order)]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(head) - 1
+    first = order[head]
+    hashes = hashes[first]
     if not _same(view, data, start, end, first[group]):
         known: dict[bytes, int] = {}
         group = np.fromiter((known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.int64, len(start))
