@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import stats
+from .order import numbered
 
 
 def _vectors(rows: DataFrame, column: str) -> DataFrame:
@@ -65,21 +66,35 @@ def folds(rows: DataFrame, label: str, key: str, n: int = 5, seed: int = 0) -> D
     return rows.withColumn("fold", (turn - 1) % n)
 
 
-def probe(rows: DataFrame, column: str, label: str, key: str, n: int = 5, c: float = 1.0, shuffle: int | None = None) -> DataFrame:
-    """AUROC of a logistic probe on each held-out fold; ``shuffle`` deals the labels out anew (the null)."""
+def probe(rows: DataFrame, column: str, label: str, key: str, n: int = 5, c: float = 1.0, shuffle: int | None = None, share: str | None = None) -> DataFrame:
+    """AUROC of a logistic probe on each held-out fold; ``shuffle`` deals the labels out anew (the null). With ``share``, a
+    row trains as a positive of this weight and a negative of the rest; it is held out with its own label."""
     v = _vectors(rows, column).withColumn("label", F.col(label).cast("double"))
     if shuffle is not None:
-        from pyspark.sql import Window
-
-        a = v.withColumn("__i", F.row_number().over(Window.orderBy(key)))
-        b = v.select("label", F.row_number().over(Window.orderBy(F.xxhash64(key, F.lit(shuffle)), key)).alias("__i"))
-        v = a.drop("label").join(b, "__i")
+        a = numbered(v.drop("label"), "__i", key)
+        v = a.join(numbered(v.select("label", key), "__i", F.xxhash64(key, F.lit(shuffle)), key).drop(key), "__i")
     v = folds(v, "label", key, n).cache()
     out = None
     for fold in range(n):
         train = v.where(F.col("fold") != fold)
+        train = train.withColumn("weight", F.lit(1.0)) if share is None else soft_rows(train.drop("label"), share)
         scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(train)
-        model = LogisticRegression(featuresCol="scaled", regParam=1.0 / (c * max(1, train.count())), elasticNetParam=0.0).fit(scaler.transform(train))
+        learner = LogisticRegression(featuresCol="scaled", weightCol="weight", regParam=1.0 / (c * max(1, train.count())), elasticNetParam=0.0)
+        model = learner.fit(scaler.transform(train))
         scored = model.transform(scaler.transform(v.where(F.col("fold") == fold))).select("fold", "label", vector_to_array("probability")[1].alias("score"))
         out = scored if out is None else out.unionByName(scored)
     return stats.auroc(out, ["fold"], "label", "score")
+
+
+def probe_null(rows: DataFrame, column: str, label: str, key: str, n_perm: int, n: int = 5, c: float = 1.0) -> DataFrame:
+    """(perm, fold, auroc): the probe under ``n_perm`` deals of the labels."""
+    out = None
+    for perm in range(n_perm):
+        one = probe(rows, column, label, key, n, c, shuffle=perm).withColumn("perm", F.lit(perm))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def conditional_auroc(rows: DataFrame, given: str, label: str, score: str, keys: list[str]) -> DataFrame:
+    """AUROC of a score among the rows where another feature holds, and among those where it does not (``given`` as a key)."""
+    return stats.auroc(rows.where(F.col(given).isNotNull()), [*keys, given], label, score)

@@ -60,6 +60,30 @@ def signed_rank(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.least(up, down).alias("statistic"), F.count(F.lit(1)).alias("n"))
 
 
+def signed_rank_test(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """The statistic with its two-sided p, as ``signed_rank_p``: ranks and sums are aggregated, p is found for each group."""
+    d = rows.withColumn("__d", F.col(x) - F.col(y)).where("__d != 0").withColumn("__size", F.abs("__d"))
+    counts = d.groupBy(*keys, "__size").agg(F.count(F.lit(1)).alias("__t")).groupBy(*keys).agg(F.sum(F.col("__t") ** 3 - F.col("__t")).alias("__ties"))
+
+    @F.pandas_udf(DoubleType())
+    def p(statistic: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([_signed_rank_tail(float(t), int(k), float(c)) for t, k, c in zip(statistic, n, ties, strict=True)], dtype=float)
+
+    return signed_rank(rows, keys, x, y).join(counts, keys).withColumn("p", p("statistic", "n", "__ties")).drop("__ties")
+
+
+def _signed_rank_tail(t: float, n: int, ties: float) -> float:
+    """Two-sided p of a rank sum: exact up to 50 without ties, else normal with the ties' correction."""
+    if n <= 50 and not ties:
+        ways = np.zeros(n * (n + 1) // 2 + 1)
+        ways[0] = 1
+        for r in range(1, n + 1):
+            ways[r:] = ways[r:] + ways[: len(ways) - r].copy()
+        return float(min(1.0, 2 * ways[: int(t) + 1].sum() / ways.sum()))
+    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - ties / 48
+    return float(math.erfc(abs(t - mean) / math.sqrt(var) / math.sqrt(2))) if var else 1.0
+
+
 def signed_rank_p(differences: np.ndarray) -> float:
     """Two-sided p of one sample of differences: exact by the distribution of rank sums up to 50 without ties, else normal."""
     d = np.asarray(differences, float)
@@ -72,14 +96,7 @@ def signed_rank_p(differences: np.ndarray) -> float:
     values, first, count = np.unique(size[order], return_index=True, return_counts=True)
     ranks[order] = np.repeat(first + (count + 1) / 2, count)
     t = min(ranks[d > 0].sum(), ranks[d < 0].sum())
-    if n <= 50 and (count == 1).all():
-        ways = np.zeros(n * (n + 1) // 2 + 1)
-        ways[0] = 1
-        for r in range(1, n + 1):
-            ways[r:] = ways[r:] + ways[: len(ways) - r].copy()
-        return float(min(1.0, 2 * ways[: int(t) + 1].sum() / ways.sum()))
-    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - (count**3 - count).sum() / 48
-    return float(math.erfc(abs(t - mean) / math.sqrt(var) / math.sqrt(2))) if var else 1.0
+    return _signed_rank_tail(t, n, float((count**3 - count).sum()))
 
 
 def bh_qvalues(rows: DataFrame, family: list[str], p: str = "p", tie: str | None = None) -> DataFrame:

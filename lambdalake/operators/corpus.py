@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..dsl import interpreter, syntax, types
 from ..dsl.compiler import column, compile_function
 from ..dsl.primitives import SIGNATURES, get_grammar
+from ..functions.order import numbered
 
 #: Test inputs, probe values and constants (fixed values).
 TEST_SUITE = [[], [0], [3, 1, 2], [1, 1, 1, 1], [5, 4, 3, 2, 1], [1, 2, 3, 4, 5, 6, 7, 8], [10, -3, 7, 7, 0], [2, 8, 3, 8, 2, 3], [0, 1, 0, 1, 0], [42]]
@@ -311,12 +312,13 @@ def histogram(rows: DataFrame, value: Column, low: float, high: float, bins: int
 
 
 def quartile_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Least, quartiles and greatest, where a quartile is the element at n // 4 of the sorted values (no interpolation)."""
-    n = F.count(value).over(Window.partitionBy(*keys))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1
-    at = lambda k: F.max(F.when(F.col("__i") == F.floor(F.col("__n") * k / 4), F.col(value)))
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("__n", n).withColumn("__i", place)
-    return ranked.groupBy(*keys).agg(F.min(value).alias("least"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"), F.max(value).alias("most"), F.avg(value).alias("mean"))
+    """Least, quartiles and greatest, where a quartile is the element at n // 4 of the sorted values (no interpolation).
+    Rows are numbered in one order of keys and values, so that a key's rows are sorted by many tasks."""
+    placed = numbered(rows.where(F.col(value).isNotNull()).select(*keys, value), "__i", *keys, value)
+    ends = placed.groupBy(*keys).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.min("__i").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    wanted = ends.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("__first") + F.floor(F.col("__n") * k / 4)).alias("__i")) for k in (1, 2, 3)])).alias("w")).select(*keys, "w.k", "w.__i")
+    found = placed.select("__i", value).join(wanted, "__i").groupBy(*keys).agg(*[F.max(F.when(F.col("k") == k, F.col(value))).alias(f"q{k}") for k in (1, 2, 3)])
+    return ends.join(found, keys).select(*keys, "least", "q1", "q2", "q3", "most", "mean")
 
 
 def constants_used(programs: DataFrame) -> DataFrame:

@@ -15,12 +15,13 @@ from __future__ import annotations
 import itertools
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dsl import types as T
 from ..dsl.compiler import column, spark_type
 from ..dsl.primitives import get_grammar
+from ..functions.order import numbered
 from ..operators.corpus import HOLE_PROBES, TEST_SUITE
 
 #: Functions that higher-order primitives are given, by type.
@@ -44,6 +45,8 @@ def _ddl(t: T.Type) -> str:
 def _materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster has to name the folder it shares in spark.checkpoint.dir")
     path = f"{(folder or '/tmp/checkpoints').rstrip('/')}/bank-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -103,6 +106,7 @@ def enumerate_programs(spark: SparkSession, most_size: int, grammar: str = "smal
     The order is: size, then primitive, its types, the sizes and the places of its arguments."""
     bodies = BODIES if bodies is None else bodies
     bank = {name: atoms(spark, T.read(name)) for name in T.UNIVERSE}
+    places = int(spark.conf.get("spark.sql.shuffle.partitions"))
     calls = [c for c in applications(grammar) if only is None or c[0] in only]
     for size in range(2, most_size + 1):
         found: dict[str, list[DataFrame]] = {}
@@ -118,10 +122,13 @@ def enumerate_programs(spark: SparkSession, most_size: int, grammar: str = "smal
                 for c, sizes in enumerate(compositions(size - 1 - len(wanted), len(live))):
                     rows = None
                     for i, s in zip(live, sizes, strict=True):
-                        own = bank[T.show(arguments[i])].where(F.col("size") == s).select(F.col("vectors").alias(f"v{i}"), F.col("holes").alias(f"h{i}"), F.col("program").alias(f"t{i}"), F.col("ord").alias(f"o{i}"), "size")
-                        # All combinations of rows of given sizes: an equi-join on the (constant) size class.
-                        own = own.withColumn("size", F.lit(size))
-                        rows = own if rows is None else rows.join(own, "size")
+                        own = bank[T.show(arguments[i])].where(F.col("size") == s).select(F.col("vectors").alias(f"v{i}"), F.col("holes").alias(f"h{i}"), F.col("program").alias(f"t{i}"), F.col("ord").alias(f"o{i}"))
+                        # All combinations are wanted: the rows so far are dealt over places, and each place gets all of the next bank.
+                        if rows is None:
+                            rows, first = own, f"o{i}"
+                        else:
+                            dealt = rows.withColumn("deal", F.pmod(F.xxhash64(first, F.lit(i)), F.lit(places)))
+                            rows = dealt.join(own.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(places - 1).cast("long")))), "deal").drop("deal")
                     text = F.concat(F.lit(f"({name}"), *[x for i in range(len(arguments)) for x in (F.lit(" "), F.lit(functions[i]) if i in functions else F.col(f"t{i}"))], F.lit(")"))
                     found.setdefault(kind, []).append(
                         rows.select(
@@ -136,7 +143,7 @@ def enumerate_programs(spark: SparkSession, most_size: int, grammar: str = "smal
             alive = F.size(F.filter(F.get("vectors", F.lit(0)), lambda v: v.isNotNull())) > 0
             first = level.where(alive).groupBy("vectors").agg(F.min(F.struct("place", "program", "holes")).alias("f")).select("vectors", "f.*")
             fresh = first.join(bank[kind].select("vectors"), "vectors", "left_anti")
-            fresh = fresh.withColumn("size", F.lit(size)).withColumn("ord", F.row_number().over(Window.partitionBy("size").orderBy("place")).cast("long") + size * 1_000_000_000)
+            fresh = numbered(fresh, "ord", "place").withColumn("size", F.lit(size)).withColumn("ord", F.col("ord") + (size << 48))
             bank[kind] = _materialize(bank[kind].select("vectors", "program", "holes", "size", "ord").unionByName(fresh.select("vectors", "program", "holes", "size", "ord")))
     return bank
 

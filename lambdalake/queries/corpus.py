@@ -80,9 +80,9 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         f"""WITH {FP_SQL}, {QUALITY_SQL} SELECT type, ord, CASE WHEN ok >= 3 AND kinds >= 2 THEN round(kinds / ok * CASE WHEN {KEY_SQL} IN (SELECT {KEY_SQL} FROM p WHERE ord % 2 = 0) THEN 0.1 ELSE 1.0 END, 6) ELSE 0.0 END AS reward FROM g""",
     ),
     "topk_reward": (
-        lambda s, d: C.top_k(C.with_reward(fingerprints(s, d), known(s, d)), 10, "ord").select("ord", F.round("reward", 6).alias("reward"), key()),
-        f"""WITH {FP_SQL}, {QUALITY_SQL}, r AS (SELECT ord, {KEY_SQL} AS fp, CASE WHEN ok >= 3 AND kinds >= 2 THEN kinds / ok * CASE WHEN {KEY_SQL} IN (SELECT {KEY_SQL} FROM p WHERE ord % 2 = 0) THEN 0.1 ELSE 1.0 END ELSE 0.0 END AS reward
-        FROM g) SELECT min(ord) AS ord, round(reward, 6) AS reward, fp FROM r GROUP BY fp, reward ORDER BY reward DESC, ord LIMIT 10""",
+        lambda s, d: C.top_k(C.with_reward(fingerprints(s, d), known(s, d)).withColumn("who", F.concat_ws(":", F.col("ord").cast("string"), F.col("type"))), 10, "who").select("who", F.round("reward", 6).alias("reward"), key()),
+        f"""WITH {FP_SQL}, {QUALITY_SQL}, r AS (SELECT ord || ':' || type AS who, {KEY_SQL} AS fp, CASE WHEN ok >= 3 AND kinds >= 2 THEN kinds / ok * CASE WHEN {KEY_SQL} IN (SELECT {KEY_SQL} FROM p WHERE ord % 2 = 0) THEN 0.1 ELSE 1.0 END ELSE 0.0 END AS reward
+        FROM g) SELECT min(who) AS who, round(reward, 6) AS reward, fp FROM r GROUP BY fp, reward ORDER BY reward DESC, who LIMIT 10""",
     ),
     "stratified_pick": (
         lambda s, d: C.stratified(pools(s, d).withColumn("n", F.size("pool")), ["g"], "n", [F.col("l_orderkey")], 3).select("l_orderkey", "g", "n", F.col("quartile").cast("long").alias("quartile")),

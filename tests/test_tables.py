@@ -157,6 +157,27 @@ def test_learning(spark):
     assert len(learning.project(df, "v").columns) == 6
     assert min(values(learning.probe(df, "v", "y", "id"), "auroc")) > 0.95
     assert learning.soft_rows(df.withColumn("s", F.lit(1.0)), "s").count() == 80
+    assert min(values(learning.probe(df.withColumn("s", F.lit(0.1) + F.col("y") * 0.8), "v", "y", "id", share="s"), "auroc")) > 0.95
+    null = learning.probe_null(df, "v", "y", "id", 2, n=2).collect()
+    assert len(null) == 4 and max(r.auroc for r in null) < 0.95
+    given = spark.createDataFrame([(i, i % 2, float(i if i % 3 else -i), i % 3 > 0) for i in range(30)], "id int, y int, s double, f boolean").withColumn("g", F.lit(1))
+    assert {r.f for r in learning.conditional_auroc(given, "f", "y", "s", ["g"]).collect()} == {True, False}
+
+
+def test_numbered(spark):
+    from lambdalake.functions.order import numbered
+
+    rows = spark.range(1000).select((F.xxhash64("id") % 50).alias("a"), "id")
+    got = sorted((r.i, r.a, r.id) for r in numbered(rows, "i", "a", "id").collect())
+    assert [g[0] for g in got] == list(range(1000)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
+    assert numbered(rows.limit(0), "i", "a").count() == 0
+
+
+def test_signed_rank_test(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, float(a), float(b)) for k, n in (("few", 12), ("many", 80), ("tied", 20)) for a, b in (rng.normal(0.4, 1, (n, 2)) if k != "tied" else rng.integers(0, 4, (n, 2)))]
+    got = {r.k: r.p for r in stats.signed_rank_test(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y").collect()}
+    assert got == {k: pytest.approx(stats.signed_rank_p(np.array([x - y for g, x, y in rows if g == k]))) for k in got} and len(got) == 3
 
 
 def test_stream(spark, tmp_path):
