@@ -6,7 +6,8 @@ are. A line that is spread over ``sites`` sites or more is boilerplate: the docu
 that has it keeps it, so that one copy of a copied document stays whole, and all others lose it.
 
 Lines are what lies between line feeds; lines without a visible character are never boilerplate. A null
-site counts as none. Null texts stay null, empty ones empty. Rows that share a doc_id count as one document.
+site counts as none. Null texts stay null, empty ones empty. Rows that share a doc_id count as one document: each keeps the lines
+that this id keeps and loses those it loses. Texts are whole, of any length; other columns are passed on.
 Line hashes are 96 bits (XXH64 and Murmur3).
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialize
+from .tables import materialize, unused
 
 SITES, LOG_K, KEPT = 10, 12, "__lines_kept"
 
@@ -42,7 +43,7 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     spread = spread.select("key", "first", F.hll_sketch_estimate("sketch").alias("about")).where(F.col("about") >= sites - band)
     spread = materialize(spread, "line-spread")
     near = spread.where(F.col("about") <= sites + band).select("key", "first")
-    exact = lines.select("key", "site").distinct().join(near, "key").groupBy("key").agg(F.count("site").alias("n"), F.first("first").alias("first"))
+    exact = lines.select("key", "site").join(near, "key").distinct().groupBy("key").agg(F.count("site").alias("n"), F.first("first").alias("first"))
     return spread.where(F.col("about") > sites + band).select("key", "first").union(exact.where(F.col("n") >= sites).select("key", "first"))
 
 
@@ -59,9 +60,10 @@ def _kept(gone: Column) -> Column:
 
 def with_kept(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
     """``docs`` with KEPT, the array of each document's remaining lines (null for a null text)."""
-    gone = removals(docs, site, sites).toDF("__line_id", "__line_gone")
-    out = docs.join(gone, docs["doc_id"].cast("long") == F.col("__line_id"), "left")
-    return out.withColumn(KEPT, _kept(F.col("__line_gone"))).drop("__line_id", "__line_gone")
+    ident, lost = (unused(x, docs.columns) for x in ("line_id", "line_gone"))
+    gone = removals(docs, site, sites).toDF(ident, lost)
+    out = docs.join(gone, docs["doc_id"].cast("long") == F.col(ident), "left")
+    return out.withColumn(KEPT, _kept(F.col(lost))).drop(ident, lost)
 
 
 def dedup(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:

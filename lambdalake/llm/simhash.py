@@ -6,7 +6,8 @@ set of the flipped bits, so a variant's group has 65 members at most, whatever t
 links to its least member, which are deduplicated and verified; components of the links are the classes.
 Exact copies share a fingerprint and never multiply links.
 
-Null and empty texts have the fingerprint zero and link like any other; repeated doc_ids count once each.
+Null and empty texts have the fingerprint zero and link like any other; repeated doc_ids are rows like any others, of which
+each gets the component of its own fingerprint. Texts are whole, of any length; other columns are not looked at.
 """
 
 from __future__ import annotations

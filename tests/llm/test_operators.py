@@ -79,6 +79,25 @@ def test_stages_keep_columns(docs, labels):
         assert out.columns == docs.columns and out.dtypes == docs.dtypes and out.count() > 0
 
 
+def test_repeated_ids_and_clashing_columns(spark, labels):
+    """Rows that share an id are told apart, equal rows give equal results, and columns of any name do not matter."""
+    texts = [words(70, 1), words(70, 2), words(70, 1), None, "", words(3000, 3), words(70, 1)]
+    ids = [1, 1, 1, 2, 2, 3, 4]
+    names = ["ids", "fp", "node", "block", "row", "media", "n", "key", "bits", "spans", "word", "data"]
+    docs = spark.createDataFrame([(i, t, "en", "s", *["x"] * len(names)) for i, t in zip(ids, texts)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{x} string" for x in names)).repartition(3)
+    alone = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    chain = quality.fit(docs, labels)
+    assert sorted(r.doc_id for r in simhash.report(docs).collect()) == sorted(ids) and sorted(r.doc_id for r in lines.report(docs).collect()) == sorted(ids)
+    for make in (lambda d: bpe.digests(d, RANKS), media.columns, lambda d: quality.judge(d, chain), lambda d: simhash.fingerprints(d)):
+        plain = lambda rows: sorted(str([r[c] for c in rows[0].asDict() if c != "doc_id"]) for r in rows)
+        got, want = make(docs).collect(), make(alone).collect()
+        assert sorted(r.doc_id for r in got) == sorted(ids) and plain(got) == plain(want)
+    assert sorted(r.doc_id for r in language.report(docs).collect()) == sorted(ids)
+    same_scores(scoring.score(docs).where("doc_id in (3, 4)").collect(), lm_scores_of(list(zip(ids, texts))))
+    pieces = packing.pack(docs, RANKS).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in pieces} == {i: sum(len(bpe.vocabulary(RANKS).encode(*K.as_bytes(pa.array([t or ""])))[0]) + 1 for j, t in zip(ids, texts) if i == j) for i in ids}
+
+
 # 1
 
 
@@ -575,11 +594,15 @@ def test_jpeg_with_other_coefficients():
 
 
 def lm_scores(texts):
-    """(held, n_tokens, n_known, train_tokens, base, score) of each text, from plain counts."""
-    tokens = {i: [*WORD.findall((t or "").encode().translate(LOWER)), None] for i, t in texts.items()}
+    return lm_scores_of(list(texts.items()))
+
+
+def lm_scores_of(rows):
+    """(held, n_tokens, n_known, train_tokens, base, score) of each id's (last) text, from plain counts."""
+    rows = [(i, [*WORD.findall((t or "").encode().translate(LOWER)), None]) for i, t in rows]
     single, pair, triple, context = (collections.Counter() for _ in range(4))
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    for i, t in tokens.items():
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    for i, t in rows:
         if not held[i]:
             single.update(t)
             pair.update(zip([None, *t[:-1]], t, strict=True))
@@ -587,7 +610,7 @@ def lm_scores(texts):
             context.update(zip([None, None, *t[:-2]][: len(t)], [None, *t[:-1]], strict=True))
     n, v, out = sum(single.values()), len(single), {}
     weight = lambda m, fall: 0.5 * m**-fall if m else 1.0
-    for i, t in tokens.items():
+    for i, t in rows:
         base = score = 0.0
         for a, b, c in zip([None, None, *t[:-2]][: len(t)], [None, *t[:-1]], t, strict=True):
             one = (single[c] + 1) / (n + v + 1)

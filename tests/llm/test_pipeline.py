@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lambdalake.llm import kernels as K
 from lambdalake.llm import quality, simhash, suffix
@@ -58,6 +59,19 @@ def test_stages(spark, folder):
     assert len(corpus_pipeline.run(spark, folder).collect()) == len(after)
 
 
+def test_stages_with_repeated_rows(spark, folder):
+    """Rows that share an id, repeated rows, nulls, no rows and columns of clashing names go through every stage."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({"row": F.lit(1), "spans": F.lit("s"), "line_id": F.lit(2), "key": F.lit("k")})
+    many = docs.union(docs.where("doc_id < 5")).union(docs.where("doc_id in (20, 60)").withColumn("doc_id", F.lit(3).cast("long"))).union(docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    for rows in (many, docs.limit(0)):
+        out = rows
+        for name, stage in corpus_pipeline.STAGES:
+            columns = out.columns
+            out = materialize(stage(spark, out, folder), "stage")
+            assert name == "packing" or out.columns == columns
+        assert (out.count() > 0) == (rows is many)
+
+
 def test_wide_links(spark):
     rng = random.Random(9)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
