@@ -93,27 +93,39 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-class Tokens:
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits and 16 more of each word's XXH3, and of nothing (END) as the last."""
+    view = memoryview(np.ascontiguousarray(data))
+    found = [xxh3_128_digest(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    wide = np.frombuffer(b"".join([*found, xxh3_128_digest(b"")]), ">u8").reshape(-1, 2)
+    return wide[:, 0].astype(K.U), (wide[:, 1] & K.U(0xFFFF)).astype(np.int64)
+
+
+class Sequence:
+    """Values of words with one for the end after each document's last, and what stands before each."""
+
+    def __init__(self, start: np.ndarray, offsets: np.ndarray, values: np.ndarray, end: int):
+        self.sizes = np.diff(np.searchsorted(start, offsets, "left")) + 1
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.tokens = np.full(int(self.sizes.sum()), end, np.int64)
+        self.tokens[np.arange(len(start)) + np.repeat(np.arange(len(self.sizes)), self.sizes - 1)] = values
+        self.before = np.empty_like(self.tokens)
+        self.before[1:] = self.tokens[:-1]
+        self.before[self.begin] = end
+
+
+class Tokens(Sequence):
     """The words of a block, sorted by hash, and its tokens as places in them; END is the hash of nothing."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         start, end = K.words(data, offsets)
-        group, first, _ = K.identify(data, start, end)
-        view = memoryview(np.ascontiguousarray(data))
-        digests = [xxh3_128_digest(view[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        wide = np.frombuffer(b"".join([*digests, xxh3_128_digest(b"")]), ">u8").reshape(-1, 2)
-        hashes, tags = wide[:, 0].astype(K.U), (wide[:, 1] & K.U(0xFFFF)).astype(np.int64)
+        group, first, spans = K.identify(data, start, end)
+        hashes, tags = digests(data, start[first], end[first])
         order = np.lexsort((tags, hashes))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.words, self.tags, self.end = hashes[order], tags[order], int(rank[-1])
-        self.sizes = np.diff(np.searchsorted(start, offsets, "left")) + 1
-        self.begin = np.cumsum(self.sizes) - self.sizes
-        self.tokens = np.full(int(self.sizes.sum()), self.end, np.int64)
-        self.tokens[np.arange(len(start)) + np.repeat(np.arange(len(self.sizes)), self.sizes - 1)] = rank[group]
-        self.before = np.empty_like(self.tokens)
-        self.before[1:] = self.tokens[:-1]
-        self.before[self.begin] = self.end
+        self.words, self.tags, self.spans, self.end = hashes[order], tags[order], np.append(spans, K.U(0))[order], int(rank[-1])
+        super().__init__(start, offsets, rank[group], self.end)
 
 
 def training(ids: np.ndarray) -> np.ndarray:
@@ -126,11 +138,9 @@ def training(ids: np.ndarray) -> np.ndarray:
 class Frequent:
     """Very frequent words (hash, tag) and pairs of such words (places in them, as a * words + b), with exact training counts."""
 
-    def __init__(self, words: list[tuple[int, int]], pairs: list[tuple[int, int]]):
-        wide = sorted(words)
-        self.words, self.tags = np.array([w & (1 << 64) - 1 for w, _ in wide], K.U), np.array([t for _, t in wide], np.int64)
-        order = np.lexsort((self.tags, self.words))
-        self.words, self.tags = self.words[order], self.tags[order]
+    def __init__(self, words: list[tuple[int, int, int]], pairs: list[tuple[int, int]]):
+        wide = sorted((w & (1 << 64) - 1, t, x & (1 << 64) - 1) for w, t, x in words)
+        self.words, self.tags, self.spans = np.array([x[0] for x in wide], K.U), np.array([x[1] for x in wide], np.int64), np.sort(np.array([x[2] for x in wide], K.U))
         at = {int(w): i for i, w in enumerate(self.words)}
         self.pairs = np.array(sorted({at[a & (1 << 64) - 1] * len(at) + at[b & (1 << 64) - 1] for a, b in pairs if a & (1 << 64) - 1 in at and b & (1 << 64) - 1 in at}), np.int64)
         self.counts, self.pair_counts, self.total = np.zeros(len(self.words), np.int64), np.zeros(len(self.pairs), np.int64), 0
@@ -150,12 +160,12 @@ class Frequent:
         return np.where(self.pairs[at] == key, at, -1)
 
 
-TALLY = "kind int, a long, b long, n long"
+TALLY = "kind int, a long, b long, c long, n long"
 
 
-def _tally(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    signed = lambda x: pa.array(np.ascontiguousarray(x).astype(K.U).view(np.int64))
-    return pa.record_batch([pa.array(np.full(len(n), kind, np.int32)), signed(a), signed(b), pa.array(n.astype(np.int64))], ["kind", "a", "b", "n"])
+def _tally(kind: int, n: np.ndarray, *keys: np.ndarray) -> pa.RecordBatch:
+    signed = [pa.array(np.ascontiguousarray(x).astype(K.U).view(np.int64)) for x in (*keys, *[np.zeros(len(n), K.U)] * (3 - len(keys)))]
+    return pa.record_batch([pa.array(np.full(len(n), kind, np.int32)), *signed, pa.array(n.astype(np.int64))], ["kind", "a", "b", "c", "n"])
 
 
 def find_frequent(docs: DataFrame, shards: int) -> Frequent:
@@ -166,35 +176,39 @@ def find_frequent(docs: DataFrame, shards: int) -> Frequent:
                 counts = np.bincount(t.tokens, minlength=len(t.words))
                 often = counts * 4 * shards > len(t.tokens)
                 own = np.flatnonzero(often)
-                yield _tally(0, np.zeros(1, K.U), np.zeros(1, K.U), np.array([len(t.tokens)]))
-                yield _tally(1, t.words[own], t.tags[own], counts[own])
+                yield _tally(0, np.array([len(t.tokens)]))
+                yield _tally(1, counts[own], t.words[own], t.tags[own], t.spans[own])
                 both = np.flatnonzero(often[t.before] & often[t.tokens])
                 pair, n = np.unique(t.before[both] * len(t.words) + t.tokens[both], return_counts=True)
                 pair, n = pair[n * 4 * shards > len(t.tokens)], n[n * 4 * shards > len(t.tokens)]
-                yield _tally(2, t.words[pair // len(t.words)], t.words[pair % len(t.words)], n)
+                yield _tally(2, n, t.words[pair // len(t.words)], t.words[pair % len(t.words)])
 
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(EVERY)) == 0)
-    sums = some.mapInArrow(local, TALLY).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    sums = some.mapInArrow(local, TALLY).groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n"))
     sums = materialize(sums, "lm-frequent")
     total = sums.where("kind = 0").agg(F.sum("n")).first()[0] or 0
     got = sums.where(f"kind > 0 and n * {4 * shards} > {total}").collect()
-    out = Frequent([(r.a, r.b) for r in got if r.kind == 1], [(r.a, r.b) for r in got if r.kind == 2])
+    out = Frequent([(r.a, r.b, r.c) for r in got if r.kind == 1], [(r.a, r.b) for r in got if r.kind == 2])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs, whole = np.zeros(len(out.words), np.int64), np.zeros(len(out.pairs), np.int64), 0
         for batch in K.gathered(batches, most=BLOCK_BYTES):
             for part, data, offsets in K.slices(batch, most=BLOCK_BYTES):
-                t = Tokens(K.lower_ascii(data), offsets)
+                data = K.lower_ascii(data)
+                start, end = K.words(data, offsets)
+                group, first, spans = K.identify(data, start, end)
+                at = np.full(len(first) + 1, -1, np.int64)
+                own = np.append(np.flatnonzero(np.isin(spans, out.spans)), len(first))  # only these can be, and END
+                at[own] = out.of_words(*digests(data, start[first[own[:-1]]], end[first[own[:-1]]]))
+                t = Sequence(start, offsets, at[group], at[-1])
                 train = np.repeat(training(K.int_column(part, "doc_id")), t.sizes)
-                at = out.of_words(t.words, t.tags)
                 whole += int(train.sum())
-                now = at[t.tokens]
-                words += np.bincount(now[train & (now >= 0)], minlength=len(words))
-                pair = out.of_pairs(at[t.before], now)
+                words += np.bincount(t.tokens[train & (t.tokens >= 0)], minlength=len(words))
+                pair = out.of_pairs(t.before, t.tokens)
                 pairs += np.bincount(pair[train & (pair >= 0)], minlength=len(pairs))
-        yield _tally(0, np.zeros(1, K.U), np.zeros(1, K.U), np.array([whole]))
+        yield _tally(0, np.array([whole]))
         for kind, n in ((1, words), (2, pairs)):
-            yield _tally(kind, np.arange(len(n)), np.zeros(len(n), K.U), n)
+            yield _tally(kind, n, np.arange(len(n)))
 
     for r in docs.mapInArrow(exact, TALLY).groupBy("kind", "a").agg(F.sum("n").alias("n")).collect():
         if r.kind == 0:
