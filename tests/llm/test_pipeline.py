@@ -3,12 +3,10 @@
 import random
 
 import corpus_pipeline
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lambdalake.llm import kernels as K
-from lambdalake.llm import quality, simhash, suffix
+from lambdalake.llm import quality, suffix
 from lambdalake.llm.tables import materialize
 
 
@@ -72,17 +70,6 @@ def test_stages_with_repeated_rows(spark, folder):
         assert (out.count() > 0) == (rows is many)
 
 
-def test_wide_links(spark):
-    rng = random.Random(9)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    base = [rng.getrandbits(64) for _ in range(40)]
-    near = [(b, b ^ sum(1 << k for k in rng.sample(range(64), 5))) for b in base]
-    fps = spark.createDataFrame([(signed(x),) for p in near for x in p], "fp long")
-    got = {(r.u, r.v) for r in simhash.wide_links(fps).collect()}
-    assert all((signed(a), signed(b)) in got or (signed(b), signed(a)) in got for a, b in near)
-    assert all(np.bitwise_count(np.array([u], np.int64).view(K.U) ^ np.array([v], np.int64).view(K.U))[0] <= simhash.WIDE for u, v in got)
-
-
 def test_prior_without_labels(spark, folder):
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     assert quality.fit(spark.read.parquet(f"{folder}/documents.parquet"), labels.where("quality = 1")) is quality.PRIOR
