@@ -1,5 +1,6 @@
 """Sources, parsing, statistics, trials and corpora on hand-made rows."""
 
+import datetime
 import json
 
 import numpy as np
@@ -187,7 +188,21 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(streams.SCHEMA).parquet(f"{tmp_path}/in")
     query = stream.writeStream.foreachBatch(streams.acquisition_writer(str(tmp_path / "out"))).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     query.awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/out/acquired").count() == 3
+    assert streams.acquired(spark, f"{tmp_path}/out").count() == 3
     windows = streams.windowed_accuracy(stream).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     windows.awaitTermination(120)
     assert spark.sql("SELECT sum(n) FROM w").first()[0] == 60
+
+
+def test_stream_keeps_first_trials(spark, tmp_path):
+    """Batches out of order, one of them twice, leave what all events at once give; only two versions stay."""
+    rng = np.random.default_rng(5)
+    at = [datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=int(m)) for m in rng.permutation(400)]
+    rows = [(i, t, int(rng.integers(0, 8)), "ab"[i % 2], float(rng.choice([10.0, 50.0, 60.0])), "{}") for i, t in enumerate(at)]
+    events = spark.createDataFrame(rows, streams.SCHEMA)
+    write, folder = streams.acquisition_writer(str(tmp_path)), str(tmp_path)
+    for number, k in enumerate([0, 1, 2, 2]):
+        write(events.where(F.col("event_id") % 3 == k), min(number, 2))
+    want = trials.acquisition(trials.from_events(events), ["method", "function"])
+    assert sorted(map(tuple, streams.acquired(spark, folder).collect())) == sorted(map(tuple, want.collect()))
+    assert streams.versions(spark, f"{folder}/first") == [1, 2] and spark.read.parquet(f"{folder}/first/version=2").count() <= 16 * trials.TRIALS
