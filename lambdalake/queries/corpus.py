@@ -38,9 +38,11 @@ def known(spark: SparkSession, d: str) -> DataFrame:
     return fingerprints(spark, d).where("ord % 2 = 0")
 
 
+SKETCHES = ["(λ (x) (take int_hole x))", "(λ (x) (slice int_hole int_hole x))", "(λ (x) (map (λ (y) (+ (* y int_hole) int_hole)) x))", "(λ (x) (reverse x))"]
+
+
 def sketches(spark: SparkSession) -> DataFrame:
-    texts = ["(λ (x) (take int_hole x))", "(λ (x) (slice int_hole int_hole x))", "(λ (x) (map (λ (y) (+ (* y int_hole) int_hole)) x))", "(λ (x) (reverse x))"]
-    return spark.createDataFrame([(t, "list[int]", syntax.size(syntax.parse(t))) for t in texts], "program string, type string, size int")
+    return spark.createDataFrame([(t, "list[int]", syntax.size(syntax.parse(t))) for t in SKETCHES], "program string, type string, size int")
 
 
 def programs(spark: SparkSession) -> DataFrame:
@@ -125,12 +127,16 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 1.0 WHEN 3 THEN user_id::DOUBLE ELSE 0.0 END::DOUBLE AS score FROM events",
     ),
     "expand_sketches": (lambda s, d: C.dedup(C.evaluate(C.expand(sketches(s))).where(C.good(F.col("fp"))), "place", ("type", "fp")).select("program", "type", "size", "place"), ""),
+    "expand_all": (
+        lambda s, d: C.expand(sketches(s)).select("program", "sketch", "place"),
+        f"""WITH f AS (SELECT unnest({SKETCHES}) AS sketch), c AS (SELECT unnest(range({len(C.SEED_CONSTANTS)})) AS v), h AS (SELECT sketch, len(regexp_extract_all(sketch, 'int_hole')) AS n FROM f)
+        SELECT sketch AS program, sketch, 0::BIGINT AS place FROM h WHERE n = 0 UNION ALL SELECT replace(sketch, 'int_hole', v::VARCHAR), sketch, v FROM h CROSS JOIN c WHERE n = 1
+        UNION ALL SELECT regexp_replace(regexp_replace(sketch, 'int_hole', a.v::VARCHAR), 'int_hole', b.v::VARCHAR), sketch, {len(C.SEED_CONSTANTS)} * a.v + b.v FROM h CROSS JOIN c a CROSS JOIN c b WHERE n = 2""",
+    ),
     "expand_sampled": (lambda s, d: C.expand(sketches(s), most=50).select("program", "sketch", "place"), ""),
-    "fingerprint_native": (lambda s, d: C.fingerprint_columns(s, ["(λ (x) (reverse x))", "(λ (x) (sum x))", "(λ (x) (map (λ (y) (/ 6 y)) x))"]), ""),
     "transitions": (lambda s, d: C.transitions(programs(s)), ""),
     "rollouts": (lambda s, d: C.evaluate(C.rollouts(s, 200)), ""),
     "io_samples": (lambda s, d: C.io_samples(programs(s)), ""),
-    "validation_split": (lambda s, d: C.validation_split(programs(s)), ""),
     "enumerate_small": (lambda s, d: enumeration.corpus(enumeration.enumerate_programs(s, 3, only=["+", "take", "reverse", "length", "concat", "map"])), ""),
     "cluster_embeddings": (lambda s, d: learning.cluster(s.read.parquet(f"{d}/embeddings.parquet"), "embedding", [4, 10])[0].select("vec_id", "cluster"), ""),
     "project_embeddings": (lambda s, d: learning.project(s.read.parquet(f"{d}/embeddings.parquet"), "embedding").select("vec_id", "pc1", "pc2"), ""),

@@ -145,6 +145,14 @@ VALUED = [
 SUITE_SQL = f"suite AS (SELECT unnest({C.TEST_SUITE}::BIGINT[][]) AS t, unnest(range({len(C.TEST_SUITE)})) AS i)"
 VALUED_SQL = f"""v AS (SELECT k, i, unnest([{', '.join(f"{{'program': replace({_quoted(text)}, '{{k}}', k::VARCHAR), 'value': {value}::VARCHAR}}" for _, text, value in VALUED)}]) AS p FROM k CROSS JOIN suite),
 e AS (SELECT k, p.program AS program, list(p.value ORDER BY i) AS fp FROM v GROUP BY ALL)"""
+#: The same for single programs, in native columns.
+NATIVE = [
+    ("(λ (x) (reverse x))", "to_json(list_reverse(t))"),
+    ("(λ (x) (sum x))", "coalesce(list_sum(t), 0)::BIGINT"),
+    ("(λ (x) (map (λ (y) (/ 6 y)) x))", "CASE WHEN NOT list_contains(t, 0) THEN to_json(list_transform(t, lambda v: floor(6 / v)::BIGINT)) END"),
+]
+NATIVE_SQL = f"""v AS (SELECT i, unnest([{', '.join(f"{{'program': {_quoted(text)}, 'value': {value}::VARCHAR}}" for text, value in NATIVE)}]) AS p FROM suite),
+e AS (SELECT p.program AS program, list(p.value ORDER BY i) AS fp FROM v GROUP BY ALL)"""
 FP_TEXT_SQL = "array_to_string(list_transform(fp, lambda v: coalesce(v, 'x')), ' ')"
 
 
@@ -190,6 +198,16 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         f"""WITH {QUANTITIES_SQL}, {SUITE_SQL}, {VALUED_SQL}, g AS (SELECT *, len(list_filter(fp, lambda v: v IS NOT NULL)) AS ok, len(list_distinct(list_filter(fp, lambda v: v IS NOT NULL))) AS kinds FROM e)
         SELECT min(program) AS program, {FP_TEXT_SQL} AS fp FROM g WHERE ok >= 3 AND kinds >= 2 AND kinds / ok >= 0.3 GROUP BY {FP_TEXT_SQL}""",
     ),
+    "fingerprint_native": (
+        lambda s, d: C.fingerprint_columns(s, [text for text, _ in NATIVE]).select("program", fp_text()),
+        f"WITH {SUITE_SQL}, {NATIVE_SQL} SELECT program, {FP_TEXT_SQL} AS fp FROM e",
+    ),
+    "validation_split": (
+        lambda s, d: C.validation_split(corpus(s, d, VALUED)).select("program", "type", F.col("size").cast("long").alias("size"), fp_text()),
+        f"""WITH {QUANTITIES_SQL}, {SUITE_SQL}, {VALUED_SQL}, c AS (SELECT *, list_filter(fp, lambda v: v IS NOT NULL) AS ok FROM e)
+        SELECT regexp_replace(regexp_replace(program, '\\by\\b', '_p1', 'g'), '\\bx\\b', '_p0', 'g') AS program, 'list[int]' AS type, {SIZE_SQL.format(p="program")} AS size, {FP_TEXT_SQL} AS fp
+        FROM c WHERE len(ok) > 0 AND list_bool_and(list_transform(ok, lambda v: v LIKE '[%'))""",
+    ),
     "io_check": (
         lambda s, d: C.check(pairs(s, d)),
         f"WITH {PAIRS_SQL} SELECT program, bool_and(list_transform(inp[1:n], lambda v: v % 100) = out) AS \"right\", count(*) AS pairs FROM p GROUP BY ALL",
