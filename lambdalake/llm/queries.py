@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, language, lines, media, packing, quality, scoring, simhash, suffix
+from . import bpe, html, language, lines, media, merkle, packing, quality, scoring, simhash, suffix
 from .tables import read
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -56,6 +56,10 @@ def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(read(spark, sf_dir, "documents"), stable=True)
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op8_scoring": op8_scoring,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_media": op7_media,
     "op5_simhash": op5_simhash,
     "op10_packing": op10_packing,
+    "op13_merkle": op13_merkle,
 }
 
-SQL: dict[str, str] = {"op6_lines": lines.REPORT_SQL}
+SQL: dict[str, str] = {"op6_lines": lines.REPORT_SQL, "op13_merkle": merkle.REPORT_SQL}
