@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialize, numbered, partitions
+from .tables import FOLDERS, materialize, numbered, partitions, settle
 
 #: Children of a node; levels of a block; leaves that the engine takes at a time; hex digits of a digest.
 FAN, LEVELS, BATCH, HEX = 3, 7, 1 << 15, 64
@@ -154,8 +154,10 @@ def report(docs: DataFrame) -> DataFrame:
     """Every document's proof, and whether it still holds after the line feeds of every second text have gone."""
     odd = F.crc32(F.col("doc_id").cast("long").cast("string")) % 2 == 0
     found = F.when(odd & F.contains("text", F.lit("\n")), leaf(text=F.translate("text", "\n", "")))
+    since = len(FOLDERS)
     proofs = manifest(docs, found=found).withColumn("folded_root", fold(F.coalesce("found", "leaf"), F.col("path")))
-    return proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+    proofs = proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root")
+    return settle(proofs.withColumn("verified", F.col("folded_root") == F.col("root")), "proofs", since)
 
 
 def _sql() -> str:

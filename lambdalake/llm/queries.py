@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, language, lines, media, merkle, packing, quality, resampling, scoring, simhash, suffix
+from . import bpe, html, language, lines, media, merkle, minhash, packing, quality, resampling, scoring, simhash, suffix
 from .tables import read
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -56,6 +56,10 @@ def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(read(spark, sf_dir, "documents"), stable=True)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(read(spark, sf_dir, "documents"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -75,8 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_media": op7_media,
     "op5_simhash": op5_simhash,
     "op10_packing": op10_packing,
+    "op11_minhash": op11_minhash,
     "op12_resampling": op12_resampling,
     "op13_merkle": op13_merkle,
 }
 
-SQL: dict[str, str] = {"op6_lines": lines.REPORT_SQL, "op12_resampling": resampling.REPORT_SQL, "op13_merkle": merkle.REPORT_SQL}
+SQL: dict[str, str] = {"op6_lines": lines.REPORT_SQL, "op11_minhash": minhash.REPORT_SQL, "op12_resampling": resampling.REPORT_SQL, "op13_merkle": merkle.REPORT_SQL}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import materialize, numbered
+from .tables import FOLDERS, materialize, numbered, settle
 
 BUCKETS, SHARE, LEAST_WORDS, SEED, LONG = 10_000, 25, 20, 7, 64
 #: Classes of bytes: 0 blank, 1 ink. Letters, digits and all bytes of characters beyond ASCII are ink.
@@ -149,7 +149,8 @@ def resample(docs: DataFrame, target: DataFrame, share: int = SHARE, least: int
 
 
 def report(docs: DataFrame, target: DataFrame) -> DataFrame:
-    return resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+    since = len(FOLDERS)
+    return settle(resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank"), "ranks", since)
 
 
 def _sql() -> str:

@@ -65,6 +65,13 @@ def drop(spark: SparkSession, folders: list[str]) -> None:
         jvm.System.gc()  # the driver's cleaner drops shuffles whose plans are gone
 
 
+def settle(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``df`` written; tables that were written after ``FOLDERS`` had ``since`` entries are deleted."""
+    out = materialize(df, name)
+    drop(df.sparkSession, FOLDERS[since:-1])
+    return out
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, longer where a column has it."""
     while name.lower() in {c.lower() for c in columns}:
