@@ -127,8 +127,8 @@ def climb(nodes: DataFrame, keep: list[str], name: str) -> DataFrame:
     if not tops.where("n > 1").limit(1).count():
         return done
     outer = climb(tops.where("n > 1").withColumn("block", F.col("pos")), ["block"], f"{name}-up")
-    outer = outer.select("tree", "block", F.col("path").alias("above"), "root")
-    deep = inner.where(F.col("n") > width).withColumn("block", F.expr(f"pos div {width}")).join(outer, ["tree", "block"])
+    outer = outer.select("tree", F.col("block").alias("own_block"), F.col("path").alias("above"), "root")
+    deep = inner.where(F.col("n") > width).withColumn("own_block", F.expr(f"pos div {width}")).join(outer, ["tree", "own_block"])
     return done.union(deep.select("tree", *keep, F.concat_ws(" ", "path", "above").alias("path"), "root"))
 
 

@@ -107,10 +107,10 @@ def gains(docs: DataFrame, target: DataFrame) -> np.ndarray:
     counts = counts.union(docs.sparkSession.range(BUCKETS).select("id", F.lit(0).cast("long"), F.lit(0).cast("long")))
     counts = counts.groupBy("bucket").agg(F.sum("s").cast("double").alias("s"), F.sum("t").cast("double").alias("t"))
     counts = materialize(counts, "bucket-counts")
-    total = counts.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    ratio = ((F.col("t") + 1) * (F.col("all_s") + BUCKETS)) / ((F.col("s") + 1) * (F.col("all_t") + BUCKETS))
-    # BUCKETS rows, whatever the data; the other side is one row.
-    got = counts.join(F.broadcast(total)).select("bucket", F.floor(1000 * F.log(ratio)).alias("gain")).orderBy("bucket").toArrow()
+    all_s, all_t = counts.agg(F.sum("s"), F.sum("t")).first()
+    ratio = ((F.col("t") + 1) * F.lit(all_s + BUCKETS)) / ((F.col("s") + 1) * F.lit(all_t + BUCKETS))
+    # BUCKETS rows, whatever the data.
+    got = counts.select("bucket", F.floor(1000 * F.log(ratio)).alias("gain")).orderBy("bucket").toArrow()
     return got.column("gain").to_numpy()
 
 
