@@ -151,6 +151,8 @@ class Vocabulary:
 
     #: Pre-tokens of up to these many bytes are merged many at a time.
     WIDTHS = (4, 8, 12, 16, 24, 32, 64)
+    #: Pieces that are merged side by side.
+    TOGETHER = 1 << 14
     NONE = np.int64(1) << 40
 
     def __init__(self, path: str):
@@ -274,8 +276,9 @@ class Vocabulary:
             if not len(own):
                 low = width
                 continue
-            if width:
-                ids, n = self.merge_many(data, start[own], size[own], width)
+            if width:  # so many at a time that their heaps do not grow with the text
+                done = [self.merge_many(data, start[x], size[x], width) for x in np.split(own, range(self.TOGETHER, len(own), self.TOGETHER))]
+                ids, n = (np.concatenate(x) for x in zip(*done, strict=True))
             else:
                 text = [self.merge(data[start[x] : start[x] + size[x]].tobytes()) for x in own.tolist()]
                 ids, n = np.array([y for x in text for y in x], np.int64), np.fromiter(map(len, text), np.int64, len(text))

@@ -225,5 +225,7 @@ def crc_mod(ids: np.ndarray, mod: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(b"%d" % i) % mod for i in ids.tolist()), np.int64, len(ids))
 
 
-def int_column(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(batch.schema.get_field_index(name)).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+def id_column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """The ids, and 1 beside each that is null."""
+    column = batch.column(batch.schema.get_field_index(name)).cast(pa.int64())
+    return np.stack([column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False).astype(np.int64)], 1)

@@ -18,7 +18,7 @@ Contexts that are very frequent (more than a quarter of a shard's share of all t
 in one document of ``EVERY``, which only decides the layout) are dealt over SPREAD places by their successors, and their
 totals are counted ahead. Messages are as many as the segments of any shuffle from blocks to shards.
 
-Null and empty texts are one end token. Repeated doc_ids are scored row by row. A text of any length is in one block.
+Null and empty texts are one end token. Repeated doc_ids are scored row by row; rows without a doc_id stay so and are learnt from. A text of any length is in one block.
 """
 
 from __future__ import annotations
@@ -129,7 +129,8 @@ class Tokens(Sequence):
 
 
 def training(ids: np.ndarray) -> np.ndarray:
-    return K.crc_mod(ids, MOD) != HELD
+    """Whether each of ``kernels.id_column`` is learnt from."""
+    return (K.crc_mod(ids[:, 0], MOD) != HELD) | (ids[:, 1] > 0)
 
 
 # Very frequent contexts.
@@ -201,7 +202,7 @@ def find_frequent(docs: DataFrame, shards: int) -> Frequent:
                 own = np.append(np.flatnonzero(np.isin(spans, out.spans)), len(first))  # only these can be, and END
                 at[own] = out.of_words(*digests(data, start[first[own[:-1]]], end[first[own[:-1]]]))
                 t = Sequence(start, offsets, at[group], at[-1])
-                train = np.repeat(training(K.int_column(part, "doc_id")), t.sizes)
+                train = np.repeat(training(K.id_column(part, "doc_id")), t.sizes)
                 whole += int(train.sum())
                 words += np.bincount(t.tokens[train & (t.tokens >= 0)], minlength=len(words))
                 pair = out.of_pairs(t.before, t.tokens)
@@ -391,7 +392,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _score(left: pa.Table, right: pa.Table, hot: Frequent, shards: int) -> pa.Table:
     row = left.to_pylist()[0]
-    ids, offsets = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["offsets"], "<i8")
+    ids, offsets = np.frombuffer(row["ids"], "<i8").reshape(-1, 2), np.frombuffer(row["offsets"], "<i8")
     data = np.frombuffer(unzstd(row["text"], int(offsets[-1])), np.uint8)
     b = Block(data, offsets, ids, hot, shards)
     if any(x != row["crc"] for x in right.column("crc").to_pylist()):
@@ -418,7 +419,7 @@ def _score(left: pa.Table, right: pa.Table, hot: Frequent, shards: int) -> pa.Ta
     two = restore(code2)[b.entry] + weight(count, FALL[0])[b.before] * one
     three = restore(code3)[b.child] + restore(back3)[b.context] * two
     columns = [
-        pa.array(ids),
+        pa.array(ids[:, 0], mask=ids[:, 1] > 0),
         pa.array(~b.train),
         pa.array(b.sizes),
         pa.array(np.add.reduceat((count > 0)[b.tokens].astype(np.int64), b.begin)),
@@ -434,7 +435,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
     block = TaskContext.get().partitionId() << 32
     for batch in K.gathered(batches, most=BLOCK_BYTES):
         for part, data, offsets in K.slices(batch, most=BLOCK_BYTES):
-            ids = K.int_column(part, "doc_id")
+            ids = K.id_column(part, "doc_id")
             yield block, ids, data, offsets, zlib.crc32(data, zlib.crc32(offsets.tobytes(), zlib.crc32(ids.astype("<i8").tobytes())))
             block += 1
 

@@ -12,7 +12,7 @@ each gets the component of its own fingerprint. Texts are whole, of any length;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from xxhash import xxh64_intdigest
 
 from . import kernels as K
 from .components import components
-from .tables import materialize, partitions
+from .tables import materialize, partitions, unused, with_row
 
 SHINGLE, SEED = 3, 42
 
@@ -51,8 +51,8 @@ def shingle_spans(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.
     return text, at[i], at[last] + length[last], np.concatenate([[0], np.cumsum(shingles)])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): A-Z lower-cased, words without white space, shingles with repeats, XXH64 with seed 42."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, also: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, ``also``, fp); the columns ``also`` are longs. A-Z lower-cased, words without white space, shingles with repeats, XXH64 with seed 42."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,9 +61,9 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 view = memoryview(text)
                 hashes = np.fromiter((xxh64_intdigest(view[a:b], SEED) for a, b in zip(start.tolist(), end.tolist(), strict=True)), K.U, len(start))
                 fp = [fingerprint(hashes[own[i] : own[i + 1]]) for i in range(len(offsets) - 1)]
-                yield pa.record_batch([part.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+                yield pa.record_batch([part.column(0), *part.columns[2:], pa.array(fp, pa.int64())], ["doc_id", *also, "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text", *also).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *also, "fp")))
 
 
 def _masks() -> Column:
@@ -99,9 +99,15 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def dedup(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The documents without all but the first (smallest doc_id) of each class; of rows that share this doc_id all stay."""
-    drop = classes(docs, size).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """The documents without all but the first of each class: the row of the smallest doc_id (nulls last; of rows that share it, one)."""
+    file, at = unused("__file", docs.columns), unused("__at", docs.columns)
+    rows = with_row(docs, file, at)
+    fps = materialize(fingerprints(rows.select("doc_id", "text", F.col(file).alias("file"), F.col(at).alias("at")), size, ["file", "at"]), "fingerprints")
+    roots = materialize(components(links(fps.select("fp").distinct())), "roots").select(F.col("node").alias("fp"), "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "at"))
+    known = fps.groupBy("fp").agg(first.alias("first")).join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept = known.select(F.col("first.file").alias(file), F.col("first.at").alias(at))
+    return rows.join(kept, [file, at], "left_semi").select(docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -103,3 +103,11 @@ def numbered(rows: DataFrame, name: str, *order: str | Column) -> DataFrame:
     begin, key = unused("__begin", rows.columns), unused("__part", rows.columns)
     begins = F.broadcast(rows.sparkSession.createDataFrame(before, f"{key} long, {begin} long"))
     return placed.join(begins, F.shiftright(name, 33) == F.col(key), "left").withColumn(name, F.col(name) + F.col(begin)).drop(key, begin)
+
+
+def with_row(docs: DataFrame, file: str, at: str) -> DataFrame:
+    """``docs`` with two numbers (``file``, ``at``) that tell its rows apart in every later reading of it. The rows of files as
+    they stand have them already; others are written out first."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        docs = materialize(docs, "rows")
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))

@@ -1,12 +1,16 @@
 """The pipeline's stages on a small table: each against plain Python on its own input."""
 
 import random
+from collections import Counter, defaultdict
 
 import corpus_pipeline
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from lambdalake.llm import quality, suffix
+from lambdalake.llm import lines, quality, suffix
+from test_neardup import shingles
 from lambdalake.llm.tables import materialize
 
 
@@ -57,16 +61,65 @@ def test_stages(spark, folder):
     assert len(corpus_pipeline.run(spark, folder).collect()) == len(after)
 
 
+encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def again_lines(rows):
+    """Lines on ten sites or more stay with their least doc_id alone; ids that share a line share its fate."""
+    sites, first = defaultdict(set), {}
+    for r in rows:
+        for x in (r.text or "").split("\n"):
+            if x.strip(" \t\n\v\f\r"):
+                sites[x] |= {r.source} - {None}
+                first[x] = min([i for i in (first.get(x), r.doc_id) if i is not None], default=None)
+    for r in rows:
+        kept = [x for x in (r.text or "").split("\n") if len(sites[x]) < lines.SITES or first[x] == r.doc_id or r.doc_id is None]
+        if r.text is None or kept:
+            yield r.doc_id, r.text if r.text is None else "\n".join(kept)
+
+
+def again_near(rows):
+    sets, seen = [shingles(r.text) for r in rows], {}
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if root[i] != root[j] and (not sets[i] and not sets[j] or both and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both)):
+                root = [root[j] if r == root[i] else r for r in root]
+    for r, top in sorted(zip(rows, root, strict=True), key=lambda x: (x[0].doc_id is None, x[0].doc_id or 0)):
+        seen.setdefault(top, (r.doc_id, r.text))
+    return seen.values()
+
+
+def again_passages(rows):
+    texts = [(r.text or "").encode() for r in rows]
+    n = Counter(t[k : k + suffix.LENGTH] for t in texts for k in range(len(t) - suffix.LENGTH + 1))
+    for r, t in zip(rows, texts, strict=True):
+        gone = suffix.merge([(k, k + suffix.LENGTH) for k in range(len(t) - suffix.LENGTH + 1) if n[t[k : k + suffix.LENGTH]] > 1])
+        left = suffix._kept(t, gone).decode()
+        if not gone or left.strip(" \t\n\v\f\r"):
+            yield r.doc_id, r.text and left
+
+
+AGAIN = {"line dedup": again_lines, "near dedup": again_near, "passage dedup": again_passages}
+
+
 def test_stages_with_repeated_rows(spark, folder):
     """Rows that share an id, repeated rows, nulls, no rows and columns of clashing names go through every stage."""
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({"row": F.lit(1), "spans": F.lit("s"), "line_id": F.lit(2), "key": F.lit("k")})
     many = docs.union(docs.where("doc_id < 5")).union(docs.where("doc_id in (20, 60)").withColumn("doc_id", F.lit(3).cast("long"))).union(docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
     for rows in (many, docs.limit(0)):
-        out = rows
+        out = materialize(rows, "rows")
         for name, stage in corpus_pipeline.STAGES:
-            columns = out.columns
+            columns, before = out.columns, out.collect()
             out = materialize(stage(spark, out, folder), "stage")
             assert name == "packing" or out.columns == columns
+            if name in AGAIN:
+                got = Counter((r.doc_id, r.text) for r in out.collect())
+                assert got == Counter(AGAIN[name](before)), name
+            if name == "packing":
+                ends = Counter((r.doc_id, r.start + r.length) for r in out.collect() if r.start + r.length == r.doc_tokens)
+                assert ends == Counter((r.doc_id, len(encoder.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in before)
         assert (out.count() > 0) == (rows is many)
 
 
