@@ -224,6 +224,25 @@ def shuffled(program: Column, names: dict[str, str]) -> Column:
     return F.struct(F.transform(used, lambda u: F.concat(u["new"], F.lit("="), u["old"])).alias("preamble"), text.alias("program"))
 
 
+def name_permutation(row: Column, names: list[str], k: Column | None = None) -> Column:
+    """A map from names to names, a permutation of its own for each row: all names, or ``k`` that the row picks (at least
+    none, at most all). Both the pick and the order are those of a hash of row and name."""
+    every = F.array(*map(F.lit, names))
+    by = lambda salt, xs: F.transform(F.array_sort(F.transform(xs, lambda n: F.struct(F.md5(F.concat(F.lit(f"{salt}:"), row, F.lit(":"), n)).alias("h"), n.alias("n")))), lambda s: s["n"])
+    if k is not None:
+        own = F.slice(by("pick", every), F.lit(1), F.least(F.greatest(k, F.lit(0)), F.lit(len(names))))
+        every = F.filter(every, lambda n: F.array_contains(own, n))
+    return F.map_from_arrays(every, by("to", every))
+
+
+def renamed(program: Column, names: Column) -> Column:
+    """``shuffled`` with a map of each row's own."""
+    lexemes = tokens(program)
+    text = F.array_join(F.transform(lexemes, lambda t: F.coalesce(F.try_element_at(names, t), t)), " ")
+    used = F.array_sort(F.array_distinct(F.transform(F.filter(lexemes, lambda t: F.map_contains_key(names, t)), lambda t: F.struct(F.try_element_at(names, t).alias("new"), t.alias("old")))))
+    return F.struct(F.transform(used, lambda u: F.concat(u["new"], F.lit("="), u["old"])).alias("preamble"), text.alias("program"))
+
+
 def io_views(pools: DataFrame, least: int, most: int) -> DataFrame:
     """One row for each number of shown pairs, with the first so many of the pool."""
     top = F.least(F.lit(most), F.size("pool"))

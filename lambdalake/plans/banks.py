@@ -67,10 +67,10 @@ def contextual_fingerprint(term: str, context: Context, given: dict[str, Column]
     kinds = [T.ListOf(T.INT), *(T.read(k) for _, k in context.names), *[T.INT] * len(given)]
     program = f"(λ ({' '.join(['x', *names, *given])}) {term})"
     table = [_values([p[i] for p in points], kinds[i]) for i in range(1 + len(names))]
-    return F.transform(F.sequence(F.lit(0), F.lit(len(points) - 1)), lambda k: _text(column(program, *[F.get(t, k) for t in table], *given.values(), types=kinds)))
+    return F.transform(F.sequence(F.lit(0), F.lit(len(points) - 1)), lambda k: value_text(column(program, *[F.get(t, k) for t in table], *given.values(), types=kinds)))
 
 
-def _text(value: Column) -> Column:
+def value_text(value: Column) -> Column:
     """JSON text of a value; NULL for a failure."""
     one = F.to_json(F.array(value))
     return F.when(value.isNotNull(), F.substring(one, F.lit(2), F.length(one) - 2))
@@ -81,6 +81,9 @@ class Enumerator:
 
     def __init__(self, spark: SparkSession, store: str, grammar: str = "small", only: list[str] | None = None, nesting: int = 2):
         self.spark, self.store, self.nesting = spark, store.rstrip("/"), nesting
+        #: Committed levels, and bodies, that this run has seen.
+        self.seen: dict[tuple[str, int], dict[str, int]] = {}
+        self.made: dict[tuple[str, int, str], list[tuple[str, int]]] = {}
         self.calls = [c for c in applications(grammar) if (only is None or c[0] in only) and T.show(c[2]) in T.UNIVERSE]
         self.about = hashlib.sha256(repr((grammar, only, nesting, TEST_SUITE, PROBES, HOLE_PROBES)).encode()).hexdigest()
 
@@ -91,6 +94,8 @@ class Enumerator:
 
     def record(self, context: Context, size: int) -> dict[str, int] | None:
         """The types of a committed level and how many rows each has."""
+        if (context.key, size) in self.seen:
+            return self.seen[context.key, size]
         try:
             row = self.spark.read.schema("about string, counts map<string,long>").json(f"{self.store}/{context.key}/commit-{size}").first()
         except AnalysisException:
@@ -99,7 +104,8 @@ class Enumerator:
             return None
         if row.about != self.about:
             raise ValueError("the store belongs to an enumeration with other settings")
-        return row.counts or {}
+        self.seen[context.key, size] = row.counts or {}
+        return self.seen[context.key, size]
 
     def commit(self, context: Context, size: int, counts: dict[str, int]) -> None:
         rows = self.spark.createDataFrame([(self.about, counts)], "about string, counts map<string,long>")
@@ -122,6 +128,7 @@ class Enumerator:
             fresh.write.mode("overwrite").parquet(path)
             counts[kind] = self.spark.read.parquet(path).count()
         self.commit(context, size, counts)
+        self.seen[context.key, size] = counts
         return counts
 
     # What a level has.
@@ -154,9 +161,12 @@ class Enumerator:
             kinds.append(T.show(t.argument))
             t = t.result
         child, names = context.inside(kinds)
-        rows = self.level(child, size - 1, T.show(t)) if size > 1 else None
-        # Part of the plan to come: as many as the enumeration has bodies of this size.
-        return [] if rows is None else [(f"(λ ({' '.join(names)}) {r.program})", r.holes) for r in rows.select("program", "holes", "ord").orderBy("ord").collect()]
+        key = (child.key, size, T.show(t))
+        if key not in self.made:
+            rows = self.level(child, size - 1, T.show(t)) if size > 1 else None
+            # Part of the plan to come: as many as the enumeration has bodies of this size.
+            self.made[key] = [] if rows is None else [(f"(λ ({' '.join(names)}) {r.program})", r.holes) for r in rows.select("program", "holes", "ord").orderBy("ord").collect()]
+        return self.made[key]
 
     def vectors(self, context: Context, name: str, arguments: list[T.Type], functions: dict[int, tuple[str, int]]) -> Column:
         """Of an application, from columns v0, v1, ... and their holes h0, h1, ...: argument i stands as many places on in the round
@@ -254,7 +264,7 @@ class Enumerator:
             for kind in T.UNIVERSE:
                 rows = self.level(context, size, kind)
                 if rows is not None:
-                    fp = F.transform(F.get("vectors", F.lit(0)), _text)
+                    fp = F.transform(F.get("vectors", F.lit(0)), value_text)
                     own = rows.select("program", F.lit(kind).alias("type"), "size", "holes", fp.alias("fp"))
                     out = own if out is None else out.unionByName(own)
         return out

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, dsl, programs, trials
+from . import corpus, dsl, programs, scopes, trials
 from .dsl import flagship
 
 __all__ = ["flagship", "oracle_sql", "queries"]
-MODULES = [dsl, corpus, programs, trials]
+MODULES = [dsl, corpus, programs, scopes, trials]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
