@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import stats
-from .order import numbered
+from .order import numbered, written
 
 
 def _vectors(rows: DataFrame, column: str) -> DataFrame:
@@ -58,12 +62,16 @@ def soft_rows(rows: DataFrame, share: str) -> DataFrame:
     return rows.withColumn("__b", both).select(*rows.columns, F.col("__b.label").alias("label"), F.col("__b.weight").alias("weight")).where("weight > 0")
 
 
-def folds(rows: DataFrame, label: str, key: str, n: int = 5, seed: int = 0) -> DataFrame:
-    """Stratified: within a label, rows are dealt out in the order of a hash."""
-    from pyspark.sql import Window
-
-    turn = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return rows.withColumn("fold", (turn - 1) % n)
+def folds(rows: DataFrame, label: str, key: str, n: int = 5, seed: int = 0, within: tuple[str, ...] = ()) -> DataFrame:
+    """Stratified: within a label (of each group ``within``), rows are dealt out in the order of a hash. Rows are numbered in sorted
+    ranges, so that no task has all rows of a label."""
+    by = [*within, label]
+    placed = numbered(rows, "__turn", *by, F.xxhash64(key, F.lit(seed)), key)
+    first = placed.groupBy(*[F.col(c).alias(f"__of_{c}") for c in by]).agg(F.min("__turn").alias("__first"))
+    same = F.col(by[0]).eqNullSafe(F.col(f"__of_{by[0]}"))
+    for c in by[1:]:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return placed.join(first, same).select(*rows.columns, ((F.col("__turn") - F.col("__first")) % n).cast("int").alias("fold"))
 
 
 def probe(rows: DataFrame, column: str, label: str, key: str, n: int = 5, c: float = 1.0, shuffle: int | None = None, share: str | None = None) -> DataFrame:
@@ -86,13 +94,108 @@ def probe(rows: DataFrame, column: str, label: str, key: str, n: int = 5, c: flo
     return stats.auroc(out, ["fold"], "label", "score")
 
 
-def probe_null(rows: DataFrame, column: str, label: str, key: str, n_perm: int, n: int = 5, c: float = 1.0) -> DataFrame:
-    """(perm, fold, auroc): the probe under ``n_perm`` deals of the labels."""
-    out = None
-    for perm in range(n_perm):
-        one = probe(rows, column, label, key, n, c, shuffle=perm).withColumn("perm", F.lit(perm))
-        out = one if out is None else out.unionByName(one)
-    return out
+def _dealt(rows: DataFrame, label: str, key: str, n_perm: int, n: int) -> DataFrame:
+    """(key, deals): for each deal of the labels, in order, a row's label and fold."""
+    many = rows.select(F.col(label).cast("double").alias("label"), key)
+    total = many.count()
+    places = numbered(rows.select(key), "__i", key)
+    deals = many.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
+    deals = numbered(deals, "__i", "perm", F.xxhash64(key, "perm"), key).select("perm", "label", (F.col("__i") - F.col("perm") * total).alias("__i"))
+    dealt = folds(deals.join(places, "__i").select("perm", "label", key), "label", key, n, within=("perm",))
+    return dealt.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("perm", "label", "fold"))).alias("deals"))
+
+
+def _matrices(batch: pa.RecordBatch, n_perm: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features with a last one of ones, labels and folds of each deal."""
+    x = np.stack(batch.column("x").to_numpy(zero_copy_only=False))
+    deals = batch.column("deals").flatten()
+    shape = (batch.num_rows, n_perm)
+    return np.column_stack([x, np.ones(len(x))]), deals.field("label").to_numpy(zero_copy_only=False).reshape(shape), deals.field("fold").to_numpy(zero_copy_only=False).reshape(shape)
+
+
+def probe_null(rows: DataFrame, column: str, label: str, key: str, n_perm: int, n: int = 5, c: float = 1.0, steps: int = 25) -> DataFrame:
+    """(perm, fold, auroc, ...): the probe under ``n_perm`` deals of the labels, all fitted together. Each of Newton's steps is one
+    job: tasks add up the gradients and Hessians of all models over their rows, and a group for each model takes its step.
+    So there are as many jobs for a thousand deals as for one. The driver sees the models, n_perm * n * dimensions numbers."""
+    spark, kind = rows.sparkSession, "perm int, fold int, w binary, moved double"
+    data = rows.select(key, F.col(column).cast("array<double>").alias("x")).join(_dealt(rows, label, key, n_perm, n), key)
+    data = written(data.select("x", F.transform("deals", lambda d: F.struct(d["label"].alias("label"), d["fold"].alias("fold"))).alias("deals")), "probe-rows")
+    first = data.select(F.size("x").alias("d")).first()
+    if first is None:
+        return spark.createDataFrame([], "perm int, fold int, auroc double, positives long, negatives long")
+    d = first.d + 1
+
+    def sums(weights: np.ndarray | None) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one, two = np.zeros((n_perm, n, d)), np.zeros((n_perm, n, d, d))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, y, held = _matrices(batch, n_perm)
+                for p in range(n_perm):
+                    for f in range(n):
+                        own = held[:, p] != f
+                        z = x[own]
+                        if weights is None:  # moments, for the penalty's scale
+                            one[p, f] += z.sum(0)
+                            two[p, f, 0] += (z * z).sum(0)
+                        else:
+                            q = 1 / (1 + np.exp(-(z @ weights[p, f])))
+                            one[p, f] += z.T @ (q - (y[own, p] == 1))
+                            two[p, f] += (z * (q * (1 - q))[:, None]).T @ z
+            flat = np.concatenate([one.reshape(n_perm * n, -1), two.reshape(n_perm * n, -1)], 1)
+            at = np.arange(n_perm * n)
+            yield pa.record_batch([pa.array(at // n, pa.int32()), pa.array(at % n, pa.int32()), pa.array([r.tobytes() for r in flat], pa.binary())], ["perm", "fold", "part"])
+
+        return run
+
+    def totals(table: pa.Table) -> tuple[int, int, np.ndarray]:
+        whole = sum(np.frombuffer(b.as_buffer(), float) for b in table.column("part"))
+        return table.column("perm")[0].as_py(), table.column("fold")[0].as_py(), whole
+
+    def result(p: int, f: int, w: np.ndarray, moved: float) -> pa.Table:
+        return pa.table({"perm": pa.array([p], pa.int32()), "fold": pa.array([f], pa.int32()), "w": pa.array([w.tobytes()], pa.binary()), "moved": [moved]})
+
+    def scale(table: pa.Table) -> pa.Table:
+        p, f, s = totals(table)
+        m = s[d - 1]
+        spread = (s[d : 2 * d] - s[:d] ** 2 / max(m, 1)) / max(m - 1, 1)
+        return result(p, f, np.append(spread[:-1], 0) / c, 0.0)
+
+    def step(weights: np.ndarray) -> Callable:
+        def run(table: pa.Table) -> pa.Table:
+            p, f, s = totals(table)
+            w, ridge = weights[p, f], penalty[p, f]
+            hessian = s[d:].reshape(d, d) + np.diag(ridge) + 1e-9 * np.eye(d)
+            move = np.linalg.solve(hessian, s[:d] + ridge * w)
+            return result(p, f, w - move, float(np.abs(move * np.sqrt(np.append(ridge[:-1] * c, 1))).max()))
+
+        return run
+
+    def fetch(job: DataFrame) -> tuple[np.ndarray, float]:
+        out, moved = np.zeros((n_perm, n, d)), 0.0
+        for r in job.collect():
+            out[r.perm, r.fold] = np.frombuffer(r.w, float)
+            moved = max(moved, r.moved)
+        return out, moved
+
+    parts = "perm int, fold int, part binary"
+    penalty, _ = fetch(data.mapInArrow(sums(None), parts).groupBy("perm", "fold").applyInArrow(scale, kind))
+    weights = np.zeros((n_perm, n, d))
+    for _ in range(steps):
+        weights, moved = fetch(data.mapInArrow(sums(weights), parts).groupBy("perm", "fold").applyInArrow(step(weights), kind))
+        if moved < 1e-7:
+            break
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y, held = _matrices(batch, n_perm)
+                score = np.stack([np.einsum("ij,ij->i", x, weights[p, held[:, p]]) for p in range(n_perm)], 1)
+                perm = np.tile(np.arange(n_perm, dtype=np.int32), len(x))
+                yield pa.record_batch([pa.array(perm), pa.array(held.ravel().astype(np.int32)), pa.array(y.ravel()), pa.array(score.ravel())], ["perm", "fold", "label", "score"])
+
+    return stats.auroc(data.mapInArrow(scores, "perm int, fold int, label double, score double"), ["perm", "fold"], "label", "score")
 
 
 def conditional_auroc(rows: DataFrame, given: str, label: str, score: str, keys: list[str]) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..dsl import interpreter, syntax, types
 from ..dsl.compiler import column, compile_function
 from ..dsl.primitives import SIGNATURES, get_grammar
-from ..functions.order import numbered
+from ..functions.order import numbered, running_total
 
 #: Test inputs, probe values and constants (fixed values).
 TEST_SUITE = [[], [0], [3, 1, 2], [1, 1, 1, 1], [5, 4, 3, 2, 1], [1, 2, 3, 4, 5, 6, 7, 8], [10, -3, 7, 7, 0], [2, 8, 3, 8, 2, 3], [0, 1, 0, 1, 0], [42]]
@@ -158,10 +158,10 @@ def best_filling(filled: DataFrame) -> DataFrame:
 
 def until(programs: DataFrame, target: int, sketch_order: str, sketch: str = "sketch") -> DataFrame:
     """Whole sketches in order until ``target`` rows are reached (the sketch that reaches it is kept whole).
-    Sizes per sketch are aggregated first; the running total is over these."""
+    Sizes per sketch are aggregated first; the running total is over these, by ranges."""
     sizes = programs.groupBy(sketch).agg(F.count(F.lit(1)).alias("n"), F.min(sketch_order).alias("o"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return programs.join(sizes.select(sketch, before.alias("__before")).where(F.col("__before") < target), sketch, "left_semi")
+    before = running_total(sizes, "__before", "n", "o", sketch)
+    return programs.join(before.where(F.col("__before") < target).select(sketch), sketch, "left_semi")
 
 
 def sample(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
@@ -250,12 +250,21 @@ def io_views(pools: DataFrame, least: int, most: int) -> DataFrame:
 
 
 def redirect_empty(rows: DataFrame, order: str, group: list[str]) -> DataFrame:
-    """Each row's pool, or that of the next row that has one, round the end of the group."""
-    w = Window.partitionBy(*group).orderBy(order)
+    """Each row's pool, or that of the next row that has one, round the end of the group. Rows are placed in one order and looked
+    ahead in blocks of it; the first pool of each block is handed to the blocks before, so no task has all rows of a group."""
+    placed = numbered(rows, "__place", *group, order)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed.withColumn("__block", (F.col("__place") / (placed.count() // (4 * parts) + 1)).cast("long"))
     some = F.when(F.size("pool") > 0, F.col("pool"))
-    ahead = F.first(some, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    around = F.first(some, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return rows.withColumn("served", F.coalesce(ahead, around))
+    near = F.first(some, ignorenulls=True).over(Window.partitionBy("__block", *group).orderBy("__place").rowsBetween(0, Window.unboundedFollowing))
+    # A row for each block and group that it touches: as many as blocks and groups.
+    blocks = placed.groupBy("__block", *group).agg(F.min_by(some, F.when(some.isNotNull(), F.col("__place"))).alias("__first"))
+    w = Window.partitionBy(*group).orderBy("__block")
+    later = F.first("__first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    around = F.first("__first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    blocks = blocks.select("__block", *group, F.coalesce(later, around).alias("__far"))
+    served = placed.withColumn("__near", near).join(blocks, ["__block", *group], "left").withColumn("served", F.coalesce("__near", "__far"))
+    return served.select(*rows.columns, "served")
 
 
 def stratified(rows: DataFrame, keys: list[str], length: str, order: list[Column], n: int) -> DataFrame:

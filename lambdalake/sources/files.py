@@ -58,8 +58,8 @@ def metrics(spark: SparkSession, path: str) -> DataFrame:
 
 def table(spark: SparkSession, path: str, where: dict[str, object] | None = None) -> DataFrame:
     """A CSV table as text, with equality filters compared as text; a filter that leaves nothing raises."""
-    # With a header, columns are named from the first line; all stay text.
-    rows = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path)
+    # With a header, columns are named from the first line; all stay text. Quoted cells may have line feeds in them.
+    rows = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').option("multiLine", True).csv(path)
     for name, value in (where or {}).items():
         rows = rows.where(F.col(name).cast("string") == str(value))
     if where and rows.isEmpty():

@@ -31,8 +31,8 @@ def test_cells(spark):
     got = df.select(parsing.truthy(F.col("a")).alias("a"), parsing.feature(F.col("b")).alias("b"), parsing.number(F.col("c")).alias("c"), parsing.log_posterior(F.col("c")).alias("l")).collect()
     assert [tuple(r) for r in got] == [(1.0, True, 1.5, 1.5), (0.25, False, 0.0, float("-inf")), (0.0, None, 0.0, float("-inf"))]
     assert parsing.boolean_columns(df) == ["b"]
-    parts = spark.createDataFrame([("Map(a.b).Take 3.Drop[.]",)], "t string").select(parsing.metaprogram_parts(F.col("t")).alias("p"), parsing.part_names(F.col("t")).alias("n"), parsing.method_layer(F.lit("m@enc2")).alias("l")).first()
-    assert parts.p == ["Map(a.b)", "Take 3", "Drop[.]"] and parts.n == ["Map", "Take", "Drop"] and tuple(parts.l) == ("m", "enc2")
+    parts = spark.createDataFrame([("Map(a.b).Take 3.Drop[.]",)], "t string").select(parsing.metaprogram_parts(F.col("t")).alias("p"), parsing.part_names(F.col("t")).alias("n"), parsing.method_layer(F.lit("tx_m_enc_L2")).alias("l")).first()
+    assert parts.p == ["Map(a.b)", "Take 3", "Drop[", "]"] and parts.n == ["Map", "Take", "Drop"] and tuple(parts.l) == ("m", "enc", 2)
 
 
 def test_files(spark, tmp_path):
