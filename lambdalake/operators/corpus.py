@@ -145,7 +145,8 @@ def expand(sketches: DataFrame, constants: list[int] | None = None, most: int |
     many = F.least(combos, F.lit(float(most if most is not None else 1 << 31)))
     rows = sketches.withColumn("__k", k).withColumn("__all", combos <= many)
     rows = rows.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), many.cast("long") - 1)))
-    digit = lambda i: F.when(F.col("__all"), (F.floor(F.col("place") / F.pow(F.lit(float(n)), F.col("__k") - 1 - i)) % n)).otherwise(F.pmod(F.xxhash64("program", "place", i, F.lit(seed)), F.lit(n)))
+    draw = lambda i: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "program", F.col("place").cast("string"), i.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long"), F.lit(n))
+    digit = lambda i: F.when(F.col("__all"), (F.floor(F.col("place") / F.pow(F.lit(float(n)), F.col("__k") - 1 - i)) % n)).otherwise(draw(i))
     indices = F.when(F.col("__k") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("__k") - 1, F.lit(0))), lambda i: F.get(pool, digit(i).cast("int")))).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn("substitution", indices)
     return rows.select(fill(F.col("program"), F.col("substitution")).alias("program"), F.col("program").alias("sketch"), *[c for c in sketches.columns if c != "program"], "substitution", "place")
@@ -263,8 +264,11 @@ def redirect_empty(rows: DataFrame, order: str, group: list[str]) -> DataFrame:
     later = F.first("__first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
     around = F.first("__first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     blocks = blocks.select("__block", *group, F.coalesce(later, around).alias("__far"))
-    served = placed.withColumn("__near", near).join(blocks, ["__block", *group], "left").withColumn("served", F.coalesce("__near", "__far"))
-    return served.select(*rows.columns, "served")
+    blocks = blocks.toDF("__of_block", *[f"__of_{c}" for c in group], "__far")
+    same = F.col("__block") == F.col("__of_block")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return placed.withColumn("__near", near).join(blocks, same, "left").select(*rows.columns, F.coalesce("__near", "__far").alias("served"))
 
 
 def stratified(rows: DataFrame, keys: list[str], length: str, order: list[Column], n: int) -> DataFrame:

@@ -38,11 +38,28 @@ def known(spark: SparkSession, d: str) -> DataFrame:
     return fingerprints(spark, d).where("ord % 2 = 0")
 
 
-SKETCHES = ["(λ (x) (take int_hole x))", "(λ (x) (slice int_hole int_hole x))", "(λ (x) (map (λ (y) (+ (* y int_hole) int_hole)) x))", "(λ (x) (reverse x))"]
+#: A sketch for each part, by its number; {} is its size.
+SKETCHES = ["(λ (x) (take int_hole (drop {} x)))", "(λ (x) (slice int_hole int_hole (cons {} x)))", "(λ (x) (map (λ (y) (+ (* y int_hole) int_hole)) (drop {} x)))", "(λ (x) (append (reverse x) {}))"]
+SKETCH_SQL = "CASE " + " ".join(f"WHEN p_partkey % {len(SKETCHES)} = {i} THEN " + "'" + t.replace("{}", "' || p_size || '") + "'" for i, t in enumerate(SKETCHES)) + " END"
 
 
-def sketches(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t, "list[int]", syntax.size(syntax.parse(t))) for t in SKETCHES], "program string, type string, size int")
+def sketches(spark: SparkSession, d: str) -> DataFrame:
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    sizes = F.array(*[F.lit(syntax.size(syntax.parse(t.replace("{}", "1")))) for t in SKETCHES])
+    return parts.select("p_partkey", F.expr(SKETCH_SQL).alias("program"), F.lit("list[int]").alias("type"), F.get(sizes, F.col("p_partkey") % len(SKETCHES)).alias("size"))
+
+
+HOLES_SQL = f"h AS (SELECT p_partkey, {SKETCH_SQL} AS sketch, len(regexp_extract_all({SKETCH_SQL}, 'int_hole')) AS n FROM part)"
+
+
+def expanded_sql(most: int | None) -> str:
+    """All fillings, or as many draws where there are more."""
+    n = len(C.SEED_CONSTANTS)
+    limit = most if most is not None else 1 << 31
+    draw = lambda i: f"('0x' || left(md5(concat_ws(':', sketch, place::VARCHAR, '{i}', '0')), 8))::BIGINT % {n}"
+    digit = lambda i: f"CASE WHEN {n} ** n <= {limit} THEN (place // ({n} ** (n - 1 - {i}))::BIGINT) % {n} ELSE {draw(i)} END::VARCHAR"
+    filled = f"CASE n WHEN 0 THEN sketch WHEN 1 THEN replace(sketch, 'int_hole', {digit(0)}) ELSE regexp_replace(regexp_replace(sketch, 'int_hole', {digit(0)}), 'int_hole', {digit(1)}) END"
+    return f"WITH {HOLES_SQL}, e AS (SELECT *, unnest(range(least({n} ** n, {limit})::BIGINT)) AS place FROM h) SELECT p_partkey, {filled} AS program, sketch, place FROM e"
 
 
 def programs(spark: SparkSession) -> DataFrame:
@@ -61,7 +78,9 @@ def pools(spark: SparkSession, d: str) -> DataFrame:
 
 
 POOLS_SQL = "o AS (SELECT l_orderkey, l_orderkey % 5 AS g, list_filter(list_sort(list(CAST(l_quantity AS BIGINT))), lambda v: v > 40) AS pool FROM lineitem GROUP BY l_orderkey)"
-RESPONSE_SQL = "CASE event_id % 6 WHEN 0 THEN 'NA' WHEN 1 THEN '[]' WHEN 2 THEN 'C([1, 2])' WHEN 3 THEN '7' WHEN 4 THEN '[1, \"a\"]' ELSE '[' || CAST(value AS BIGINT) || ', ' || user_id || ']' END"
+RESPONSES = ["NA", "[]", "C([1, 2])", "7", '[1, "a"]', None, "(1, 2)", "[1.5, -2.5]", "[True, 0]", "-3", "(4)", "5, 6,", "(1.5)", "['8']", "[1 2]"]
+RESPONSE_SQL = "CASE event_id % 15 " + " ".join(f"WHEN {i} THEN '" + r.replace("'", "''") + "'" for i, r in enumerate(RESPONSES) if r is not None) + " ELSE '[' || CAST(value AS BIGINT) || ', ' || user_id || ']' END"
+
 
 CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "fp_quality": (
@@ -118,28 +137,25 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         "SELECT DISTINCT CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS constant FROM events WHERE regexp_matches(props, '\\d')",
     ),
     "parse_response": (
-        lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", parsing.response(F.expr(RESPONSE_SQL)).alias("r")).select("event_id", "r.kind", F.array_join("r.value", ",").alias("value")),
-        """SELECT event_id, CASE WHEN event_id % 6 IN (0, 4) THEN 'NO_RESPONSE' WHEN event_id % 6 = 1 THEN 'EMPTY' ELSE 'LIST' END AS kind,
-        CASE event_id % 6 WHEN 1 THEN '' WHEN 2 THEN '1,2' WHEN 3 THEN '7' WHEN 5 THEN trunc(value)::BIGINT || ',' || user_id END AS value FROM events""",
+        lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", parsing.response(F.expr(RESPONSE_SQL.replace("''", "\\'"))).alias("r")).select("event_id", "r.kind", F.array_join("r.value", ",").alias("value")),
+        """SELECT event_id, CASE WHEN event_id % 15 IN (0, 4, 12, 14) THEN 'NO_RESPONSE' WHEN event_id % 15 = 1 THEN 'EMPTY' ELSE 'LIST' END AS kind,
+        CASE event_id % 15 WHEN 1 THEN '' WHEN 2 THEN '1,2' WHEN 3 THEN '7' WHEN 5 THEN trunc(value)::BIGINT || ',' || user_id WHEN 6 THEN '1,2' WHEN 7 THEN '1,-2' WHEN 8 THEN '1,0' WHEN 9 THEN '-3' WHEN 10 THEN '4'
+        WHEN 11 THEN '5,6' WHEN 13 THEN '8' END AS value FROM events""",
     ),
     "parse_truthy": (
         lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", parsing.truthy(F.expr("CASE event_id % 5 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'f' WHEN 2 THEN 'NA' WHEN 3 THEN cast(user_id AS string) ELSE 'what' END")).alias("score")),
         "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 1.0 WHEN 3 THEN user_id::DOUBLE ELSE 0.0 END::DOUBLE AS score FROM events",
     ),
-    "expand_sketches": (lambda s, d: C.dedup(C.evaluate(C.expand(sketches(s))).where(C.good(F.col("fp"))), "place", ("type", "fp")).select("program", "type", "size", "place"), ""),
-    "expand_all": (
-        lambda s, d: C.expand(sketches(s)).select("program", "sketch", "place"),
-        f"""WITH f AS (SELECT unnest({SKETCHES}) AS sketch), c AS (SELECT unnest(range({len(C.SEED_CONSTANTS)})) AS v), h AS (SELECT sketch, len(regexp_extract_all(sketch, 'int_hole')) AS n FROM f)
-        SELECT sketch AS program, sketch, 0::BIGINT AS place FROM h WHERE n = 0 UNION ALL SELECT replace(sketch, 'int_hole', v::VARCHAR), sketch, v FROM h CROSS JOIN c WHERE n = 1
-        UNION ALL SELECT regexp_replace(regexp_replace(sketch, 'int_hole', a.v::VARCHAR), 'int_hole', b.v::VARCHAR), sketch, {len(C.SEED_CONSTANTS)} * a.v + b.v FROM h CROSS JOIN c a CROSS JOIN c b WHERE n = 2""",
-    ),
-    "expand_sampled": (lambda s, d: C.expand(sketches(s), most=50).select("program", "sketch", "place"), ""),
+    "expand_sketches": (lambda s, d: C.dedup(C.evaluate(C.expand(sketches(s, d), most=3)).where(C.good(F.col("fp"))), "place", ("type", "fp")).select("program", "type", "size", "place"), ""),
+    "expand_all": (lambda s, d: C.expand(sketches(s, d)).select("p_partkey", "program", "sketch", "place"), expanded_sql(None)),
+    "expand_sampled": (lambda s, d: C.expand(sketches(s, d), most=50).select("p_partkey", "program", "sketch", "place"), expanded_sql(50)),
     "transitions": (lambda s, d: C.transitions(programs(s)), ""),
     "rollouts": (lambda s, d: C.evaluate(C.rollouts(s, 200)), ""),
     "io_samples": (lambda s, d: C.io_samples(programs(s)), ""),
     "enumerate_small": (lambda s, d: enumeration.corpus(enumeration.enumerate_programs(s, 3, only=["+", "take", "reverse", "length", "concat", "map"])), ""),
     "cluster_embeddings": (lambda s, d: learning.cluster(s.read.parquet(f"{d}/embeddings.parquet"), "embedding", [4, 10])[0].select("vec_id", "cluster"), ""),
     "project_embeddings": (lambda s, d: learning.project(s.read.parquet(f"{d}/embeddings.parquet"), "embedding").select("vec_id", "pc1", "pc2"), ""),
+    "probe_null": (lambda s, d: learning.probe_null(s.read.parquet(f"{d}/embeddings.parquet").withColumn("y", (F.col("label") < 5).cast("int")), "embedding", "y", "vec_id", 4), ""),
     "probe_auroc": (lambda s, d: learning.probe(s.read.parquet(f"{d}/embeddings.parquet").withColumn("y", (F.col("label") < 5).cast("int")), "embedding", "y", "vec_id"), ""),
 }
 

@@ -15,7 +15,7 @@ from ..operators import simplification
 LISTS = [
     ("map-id", "(map (λ (y) y) x)", "_p0"),
     ("filter-true", "(filter (λ (y) true) x)", "_p0"),
-    ("filter-false", "(filter (λ (y) false) [])", "[]"),
+    ("filter-false", "(filter (λ (y) false) (concat [] []))", "[]"),
     ("concat-empty-r", "(concat x [])", "_p0"),
     ("concat-empty-l", "(concat [] x)", "_p0"),
     ("map-empty", "(map (λ (y) (+ y {k})) [])", "[]"),
@@ -41,7 +41,7 @@ NUMBERS = [
     ("product-of-repeat", "(product (repeat 2 3))", "8"),
     ("sum-of-repeat", "(sum (repeat {k} 3))", "{3k}"),
     ("first-of-repeat", "(first (repeat {k} 3))", "{k}"),
-    ("length-of-concat", "(length (concat (reverse x) []))", "(length _p0)"),
+    ("length-of-concat", "(length (concat (singleton {k}) x))", "(+ 1 (length _p0))"),
     ("length-of-map", "(length (map (λ (y) (+ y {k})) x))", "(length _p0)"),
     ("length-of-reverse", "(length (reverse x))", "(length _p0)"),
     ("length-of-singleton", "(length (singleton {k}))", "1"),

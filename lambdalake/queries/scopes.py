@@ -12,9 +12,11 @@ from ..dsl import syntax
 from ..dsl import types as T
 from ..dsl.compiler import column
 from ..dsl.primitives import get_grammar
+from ..functions import parsing
 from ..functions.order import shared_dir
 from ..operators import corpus as C
 from ..plans import banks
+from ..sources import files, methods
 
 #: (name, term, names in scope); a and b are columns of ``lineitem``.
 TERMS = [
@@ -122,9 +124,48 @@ def _renamed_sql(k: str | None) -> str:
       true AS bijection FROM m"""
 
 
+def method_rows(events: DataFrame) -> DataFrame:
+    """Events as a method's answers: several for each user and trial."""
+    answer = F.concat(F.lit("["), (F.col("value") / 50).cast("long").cast("string"), F.lit("]"))
+    return events.select(
+        F.col("user_id").cast("string").alias("id"), F.lit(1).alias("order"), (F.col("event_id") % 11 + 1).cast("int").alias("trial"), F.col("event_id").alias("place"), parsing.response(answer).alias("response"),
+        F.col("event_type").alias("program"), (F.col("value") > 40).cast("double").alias("score"), F.col("event_type").alias("run"), F.col("value").alias("cpu"),
+    )
+
+
+def predicted(spark: SparkSession, d: str) -> DataFrame:
+    """A method made by name, asked for all trials; every user's twelfth has no rows."""
+    rows = method_rows(spark.read.parquet(f"{d}/events.parquet"))
+    trials = rows.select("id").distinct().select("id", F.lit(1).alias("order"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("trial"))
+    got = files.METHODS.make("table", rows=rows, name="events", efforts=("cpu",)).predict(trials)
+    return got.select("id", "trial", F.array_join("response.value", ",").alias("response"), "program", "correct", F.round("mean_correct", 6).alias("mean_correct"), F.round("cpu", 6).alias("cpu"))
+
+
+PREDICTED_SQL = """WITH r AS (SELECT user_id::VARCHAR AS id, (event_id % 11 + 1)::INT AS trial, event_id, trunc(value / 50)::BIGINT::VARCHAR AS response, event_type AS program, (value > 40)::INT AS score, value AS cpu FROM events),
+m AS (SELECT id, trial, avg(score) AS mean_correct, avg(cpu) AS cpu FROM r GROUP BY ALL),
+a AS (SELECT id, trial, response FROM r GROUP BY id, trial, response QUALIFY row_number() OVER (PARTITION BY id, trial ORDER BY count(*) DESC, min(event_id)) = 1),
+p AS (SELECT id, trial, program FROM r GROUP BY id, trial, program QUALIFY row_number() OVER (PARTITION BY id, trial ORDER BY count(*) DESC, min(event_id)) = 1),
+t AS (SELECT DISTINCT id, unnest(range(1, 13))::INT AS trial FROM r)
+SELECT id, trial, response, program, coalesce(mean_correct >= 0.5, false) AS correct, round(mean_correct, 6) AS mean_correct, round(cpu, 6) AS cpu FROM t LEFT JOIN m USING (id, trial) LEFT JOIN a USING (id, trial) LEFT JOIN p USING (id, trial)"""
+
+
+def logged(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as the log of a run for each type, and one run of it read by name."""
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), F.col("user_id").cast("string").alias("key"), "value")
+    events.write.partitionBy("run").json(path)
+    methods.RunLog.register(spark)
+    log = spark.read.format("run_log").load(path).where("run = 'click' and value > 20")
+    return log.groupBy("run", "key").agg(F.count(F.lit(1)).alias("n"), F.max("step").alias("last"), F.round(F.sum("value"), 4).alias("total"))
+
+
+LOGGED_SQL = "SELECT event_type AS run, user_id::VARCHAR AS key, count(*) AS n, max(event_id) AS last, round(sum(value), 4) AS total FROM events WHERE event_type = 'click' AND value > 20 GROUP BY ALL"
+
 CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "contextual_fingerprint": (contextual, _contextual_sql()),
     "enumerated_on_orders": (enumerated, _enumerated_sql()),
+    "plugged_method": (predicted, PREDICTED_SQL),
+    "run_log_source": (logged, LOGGED_SQL),
     "symbols_permuted": (lambda s, d: renamed(s, d, None), _renamed_sql(None)),
     "symbols_partly_permuted": (lambda s, d: renamed(s, d, F.col("l_linenumber").cast("int")), _renamed_sql("l_linenumber")),
 }

@@ -172,7 +172,7 @@ class Registry:
 
         return keep
 
-    def make(self, name: str, **options: object) -> object:
+    def make(self, name: str, /, **options: object) -> object:
         if name not in self.entries:
             raise ValueError(f"no {name}; there are {', '.join(sorted(self.entries))}")
         return self.entries[name](**options)
