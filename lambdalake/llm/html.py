@@ -15,7 +15,7 @@ depth is one unit; nothing is capped. Repeated rows are rows like any others; ot
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.DOTALL)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+MARK = re.compile(r"""["'>]""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Elements whose content is never text of the page; those that end a block; those that have no end tag.
 SKIPPED = set("script style noscript template title textarea iframe svg object audio video canvas noframes noembed".split())
@@ -66,6 +67,61 @@ class Block:
     linked: int
 
 
+class Scanner:
+    """Tags of a page from left to right. Every part of the text is looked at a bounded number of times: places from which a tag
+    is known not to end are remembered, and nothing is looked for behind the last of its kind."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.last_quote = {q: html.rfind(q) for q in "\"'"}
+        self.dead: set[int] = set()
+
+    def _end(self, at: int) -> int:
+        """Where a tag ends whose attributes are read from ``at``: behind the first ``>`` outside quotes; -1 if a quote stays open."""
+        seen = []
+        while True:
+            if at in self.dead:
+                break
+            seen.append(at)
+            m = MARK.search(self.html, at)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.end()
+            if self.last_quote[m[0]] <= m.start():
+                break
+            at = self.html.index(m[0], m.end()) + 1
+        self.dead.update(seen)
+        return -1
+
+    def tag(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """The next (start, end, name, closing, attributes) from ``at``; declarations and comments have no name."""
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            if start > self.last:  # only a comment that does not end can begin here
+                start = html.find("<!--", start)
+                return None if start < 0 else (start, len(html), "", False, "")
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(html), "", False, ""
+            if html.startswith(("<!", "<?"), start):
+                return start, html.index(">", start) + 1, "", False, ""
+            m = NAME.match(html, start)
+            if m:
+                end = self._end(m.end())
+                if end < 0:  # a quote stays open: to the first > all the same
+                    end = html.index(">", m.end() if html[m.end() - 1] != ">" else m.end() - 1) + 1
+                return start, end, m[1].lower(), html[start + 1] == "/", html[m.end() : end - 1]
+            at = start + 1
+        return None
+
+    def skip(self, tag: str, at: int) -> int:
+        """Behind the closing tag of an element whose content is no text."""
+        m = re.compile(rf"</{tag}\b", re.IGNORECASE).search(self.html, at)
+        end = self.html.find(">", m.end()) if m and m.end() <= self.last else -1
+        return end + 1 if end >= 0 else len(self.html)
+
+
 @dataclass
 class Page:
     blocks: list[Block] = field(default_factory=list)
@@ -111,28 +167,31 @@ def _flags(tag: str, raw: str, above: int) -> int:
 def blocks(html: str) -> list[Block]:
     """Text blocks in page order; character references decoded, white space runs made one blank."""
     page, stack, at = Page(), [Element("", 0, None)], 0
-    links = 0
+    links, scanner = 0, Scanner(html)
+    open_now: Counter[str] = Counter()
 
     def push(tag: str, flags: int) -> None:
         stack.append(Element(tag, flags, stack[-1], stack[-1].depth + 1))
+        open_now[tag] += 1
+
+    def pop() -> None:
+        open_now[stack.pop().tag] -= 1
 
     while True:
-        m = TAG.search(html, at)
-        text = html[at : m.start() if m else len(html)]
+        m = scanner.tag(at)
+        text = html[at : m[0] if m else len(html)]
         if text:
             page.parts.append(text)
             if links:
                 page.linked += len(text)
         if not m:
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        _, at, tag, closing, raw = m
         if not tag:
             continue
-        closing, raw, top = bool(m[1] or m[4]), m[3] or m[6] or "", stack[-1]
+        top = stack[-1]
         if tag in SKIPPED and not closing:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(html, at)
-            at = end.end() if end else len(html)
+            at = scanner.skip(tag, at)
             continue
         if tag == "br":
             page.parts.append(" ")
@@ -146,7 +205,7 @@ def blocks(html: str) -> list[Block]:
                     top.inner -= 1
                 else:
                     page.flush(top)
-                    stack.pop()
+                    pop()
             elif not closing and tag not in VOID:
                 own = _flags(tag, raw, 0) if any(x in raw for x in ("class", "id", "hidden", "role", "style")) else 0
                 if own & (NAVIGATION | HINTED):
@@ -158,13 +217,13 @@ def blocks(html: str) -> list[Block]:
         page.flush(top)
         links = 0
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            while open_now[tag] and stack[-1].tag != tag:
+                pop()
+            if open_now[tag]:
+                pop()
         elif tag not in VOID:
             while len(stack) > 1 and stack[-1].tag in ENDS.get(tag, ()):
-                stack.pop()
+                pop()
             push(tag, _flags(tag, raw, stack[-1].flags))
     page.flush(stack[-1])
     return page.blocks

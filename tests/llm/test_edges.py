@@ -1,12 +1,13 @@
 """Edges found by review: null ids of the scoring model, memory of texts with many unknown words."""
 
 import random
+import time
 import resource
 
 import numpy as np
 import public_tokenizers
 
-from lambdalake.llm import bpe, scoring
+from lambdalake.llm import bpe, html, scoring
 
 
 def test_null_ids_are_scored(spark):
@@ -31,3 +32,15 @@ def test_many_unknown_words(monkeypatch):
     monkeypatch.setattr(bpe.Vocabulary, "TOGETHER", 7777)
     assert np.array_equal(ids, encoder.encode(data, offsets)[0])
     assert grown < 60 + 40 * len(text) / 1e6, grown
+
+
+def test_pages_of_any_make_are_read_in_linear_time():
+    """Quotes and comments that stay open, closing tags of nothing, elements a hundred thousand deep."""
+    for make in ('<a "', "<b '", '<a ">\'', "<!", "</script", "<p></b>", "<div><p></x>", "<"):
+        began = time.process_time()
+        html.blocks(make * (1_000_000 // len(make)))
+        assert time.process_time() - began < 5, make
+    began = time.process_time()
+    assert html.blocks("<div>" * 100_000 + "deep" + "</p>" * 100_000)[0].text == "deep"
+    assert time.process_time() - began < 5
+    assert [b.text for b in html.blocks('<p>a</p><p title=">">b</p>c<p \'x>y</p>d<!-- > e')] == ["a", "b", "c", "y", "d"]
