@@ -15,6 +15,7 @@ from ..dsl.primitives import get_grammar
 from ..functions import parsing
 from ..functions.order import shared_dir
 from ..operators import corpus as C
+from ..operators import variants
 from ..plans import banks
 from ..sources import files, methods
 
@@ -161,11 +162,32 @@ def logged(spark: SparkSession, d: str) -> DataFrame:
 
 LOGGED_SQL = "SELECT event_type AS run, user_id::VARCHAR AS key, count(*) AS n, max(event_id) AS last, round(sum(value), 4) AS total FROM events WHERE event_type = 'click' AND value > 20 GROUP BY ALL"
 
+#: A program for each part, by its number; {} is its size.
+BASES = ["(λ (x) (take {} (reverse x)))", "(λ (x) (map (λ (y) (+ y {})) (filter (λ (z) (> z 2)) x)))", "(λ (x) (cons (sum x) (drop {} x)))", "(λ (x) (append x (- (length x) (* {} (max x)))))"]
+BASE_SQL = "CASE " + " ".join(f"WHEN p_partkey % {len(BASES)} = {i} THEN '" + t.replace("{}", "' || p_size || '") + "'" for i, t in enumerate(BASES)) + " END"
+
+
+def varied(spark: SparkSession, d: str) -> DataFrame:
+    """Every variant of every part's program."""
+    programs = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.expr(BASE_SQL).alias("program"))
+    return variants.variants(programs, "p_partkey").select("p_partkey", "template", "variant")
+
+
+def _varied_sql() -> str:
+    table = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in t) + ")" for t in variants.TEMPLATES)
+    draw = lambda n: f"({n}_least + ('0x' || left(md5('0:{n}:' || template || ':' || p_partkey), 8))::BIGINT % ({n}_most - {n}_least + 1))::VARCHAR"
+    return rf"""WITH t(template, primitive, text, a_least, a_most, b_least, b_most) AS (VALUES {table}),
+    p AS (SELECT p_partkey, regexp_extract_all({BASE_SQL}, '(λ|[()\[\]]|\d+|[^\s()\[\]λ]+)') AS toks FROM part)
+    SELECT p_partkey, template, array_to_string(list_transform(toks, lambda w: CASE WHEN w = primitive THEN replace(replace(text, '{{a}}', {draw("a")}), '{{b}}', {draw("b")}) ELSE w END), ' ') AS variant
+    FROM p JOIN t ON list_contains(toks, primitive)"""
+
+
 CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "contextual_fingerprint": (contextual, _contextual_sql()),
     "enumerated_on_orders": (enumerated, _enumerated_sql()),
     "plugged_method": (predicted, PREDICTED_SQL),
     "run_log_source": (logged, LOGGED_SQL),
+    "template_variants": (varied, _varied_sql()),
     "symbols_permuted": (lambda s, d: renamed(s, d, None), _renamed_sql(None)),
     "symbols_partly_permuted": (lambda s, d: renamed(s, d, F.col("l_linenumber").cast("int")), _renamed_sql("l_linenumber")),
 }
