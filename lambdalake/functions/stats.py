@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .order import running_total, written
+
 
 @F.pandas_udf(DoubleType())
 def chi2_tail(x: pd.Series) -> pd.Series:
@@ -32,6 +34,19 @@ def midranks(rows: DataFrame, keys: list[str], value: str, name: str = "rank") -
     return rows.join(ranks, [*keys, value])
 
 
+def spread_midranks(rows: DataFrame, keys: list[str], value: str, name: str = "rank", among: DataFrame | None = None) -> DataFrame:
+    """``midranks`` for few, large groups (or one, without keys): the different values are summed up by sorted ranges, so that no task
+    has all values of a group. ``among``: the same rows, where they can be had more cheaply."""
+    counts = running_total((rows if among is None else among).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")), "__before", "__n", *keys, value)
+    if keys:
+        base = counts.groupBy(*keys).agg(F.min("__before").alias("__base"))
+        counts = counts.join(base, keys)
+    else:
+        counts = counts.withColumn("__base", F.lit(0))
+    ranks = counts.select(*keys, value, (F.col("__before") - F.col("__base") + (F.col("__n") + 1) / 2).alias(name))
+    return rows.join(ranks, [*keys, value])
+
+
 def auroc(rows: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     """Chance that a positive outscores a negative, ties half."""
     counts = rows.groupBy(*keys, score).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("q"))
@@ -165,8 +180,9 @@ def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
 def delong(rows: DataFrame, label: str, score_a: str, score_b: str) -> DataFrame:
     """Two AUROCs on one outcome and the variance of their difference, by midranks; z and two-sided p."""
     rows = rows.select(F.monotonically_increasing_id().alias("__id"), (F.col(label) == 1).cast("int").alias("y"), F.col(score_a).alias("sa"), F.col(score_b).alias("sb"))
+    rows = base = written(rows, "delong")
     for s in ("sa", "sb"):
-        rows = midranks(midranks(rows.withColumn("__all", F.lit(0)), ["__all"], s, f"z_{s}"), ["y"], s, f"x_{s}").drop("__all")
+        rows = spread_midranks(spread_midranks(rows, [], s, f"z_{s}", base), ["y"], s, f"x_{s}", base)
     size = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     m, n = size.get(1, 0), size.get(0, 0)
     if not m or not n:

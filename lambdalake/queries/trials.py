@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import learning, stats
 from ..operators import trials as T
 
 METHODS = ["click", "error", "purchase", "signup", "view"]
@@ -76,6 +76,12 @@ def with_p(spark: SparkSession, d: str) -> DataFrame:
     return tasks(spark, d).select("method", "function", F.round(F.greatest("accuracy", F.lit(0.001)) * (F.col("function") + 1) / 1000, 9).alias("p"))
 
 
+def two_sided_sql(z: str) -> str:
+    """Chance of a standard normal beyond z on either side, by Simpson's rule in a thousand steps."""
+    weight = "CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"greatest(0, 1 - sqrt(2 / pi()) * {z} / 3000 * list_sum(list_transform(range(1001), lambda i: {weight} * exp(-1 * pow({z} * i / 1000, 2) / 2))))"
+
+
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "n_chars", "lang")
     return spark.read.parquet(f"{d}/labels.parquet").join(docs, "doc_id")
@@ -200,7 +206,15 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         SELECT *, CASE WHEN (n11 + n10) * (n01 + n00) * (n11 + n01) * (n10 + n00) > 0 THEN round((n11 + n10 + n01 + n00)::DOUBLE * (n11 * n00 - n10 * n01) * (n11 * n00 - n10 * n01)
           / ((n11 + n10) * (n01 + n00) * (n11 + n01) * (n10 + n00)), 6) END AS chi2 FROM k""",
     ),
-    "chi2_p_fdr": (lambda s, d: stats.bh_qvalues(stats.chi2_p(T.contingency(long_features(s, d))), ["method"], "p", "feature"), ""),
+    "chi2_p_fdr": (
+        lambda s, d: rounded(stats.bh_qvalues(stats.chi2_p(T.contingency(long_features(s, d))), ["method"], "p", "feature"), "chi2", "p", "q"),
+        f"""{LONG_SQL}, k AS (SELECT method, feature, sum((accuracy >= 0.5 AND value)::INT)::BIGINT AS n11, sum((accuracy >= 0.5 AND NOT value)::INT)::BIGINT AS n10,
+        sum((accuracy < 0.5 AND value)::INT)::BIGINT AS n01, sum((accuracy < 0.5 AND NOT value)::INT)::BIGINT AS n00 FROM l GROUP BY ALL),
+        c AS (SELECT *, CASE WHEN (n11 + n10) * (n01 + n00) * (n11 + n01) * (n10 + n00) > 0 THEN (n11 + n10 + n01 + n00)::DOUBLE * (n11 * n00 - n10 * n01) * (n11 * n00 - n10 * n01)
+          / ((n11 + n10) * (n01 + n00) * (n11 + n01) * (n10 + n00)) END AS chi2 FROM k), p AS (SELECT *, CASE WHEN chi2 IS NULL THEN 1.0 ELSE {two_sided_sql("sqrt(chi2)")} END AS p FROM c),
+        s AS (SELECT *, p * count(*) OVER (PARTITION BY method) / row_number() OVER (PARTITION BY method ORDER BY p, feature) AS s FROM p)
+        SELECT method, feature, n11, n10, n01, n00, round(chi2, 6) AS chi2, round(p, 6) AS p, round(least(1, min(s) OVER (PARTITION BY method ORDER BY p, feature ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM s""",
+    ),
     "bh_qvalues": (
         lambda s, d: rounded(stats.bh_qvalues(with_p(s, d), ["method"], "p", "function"), "p", "q"),
         f"""{TASK_SQL}, p AS (SELECT method, function, round(greatest(accuracy, 0.001) * (function + 1) / 1000, 9) AS p FROM a),
@@ -282,7 +296,22 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
           (SELECT sum(m * (m - 1) / 2) FROM b) AS pb, (SELECT sum(m * ln(m)) FROM b) AS hb)
         SELECT round((pj - pa * pb / (t * (t - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (t * (t - 1) / 2)), 6) AS ari, round(((ln(t) - ha / t) + (ln(t) - hb / t) - (ln(t) - hj / t)) / (((ln(t) - ha / t) + (ln(t) - hb / t)) / 2), 6) AS nmi FROM s""",
     ),
-    "delong": (lambda s, d: stats.delong(labelled(s, d).withColumn("again", F.col("doc_id") % 97), "quality", "n_chars", "again"), ""),
+    "delong": (
+        lambda s, d: rounded(stats.delong(labelled(s, d).withColumn("again", F.col("doc_id") % 97), "quality", "n_chars", "again"), "auroc_a", "auroc_b", "z", "p"),
+        f"""{LABELLED_SQL}, k AS (SELECT row_number() OVER () AS id, quality = 1 AS y, n_chars AS a, doc_id % 97 AS b FROM l),
+        w AS (SELECT i.id AS i, j.id AS j, CASE WHEN i.a > j.a THEN 1.0 WHEN i.a = j.a THEN 0.5 ELSE 0.0 END::DOUBLE AS a, CASE WHEN i.b > j.b THEN 1.0 WHEN i.b = j.b THEN 0.5 ELSE 0.0 END::DOUBLE AS b FROM k i JOIN k j ON i.y AND NOT j.y),
+        x AS (SELECT avg(a) AS a, avg(b) AS b FROM w GROUP BY i), y AS (SELECT avg(a) AS a, avg(b) AS b FROM w GROUP BY j),
+        v AS (SELECT (SELECT avg(a) FROM w) AS a, (SELECT avg(b) FROM w) AS b, (SELECT (var_samp(a) + var_samp(b) - 2 * covar_samp(a, b)) / count(*) FROM x) + (SELECT (var_samp(a) + var_samp(b) - 2 * covar_samp(a, b)) / count(*) FROM y) AS v),
+        z AS (SELECT *, CASE WHEN v > 0 THEN (a - b) / sqrt(v) ELSE 0.0 END AS z FROM v)
+        SELECT round(a, 6) AS auroc_a, round(b, 6) AS auroc_b, round(z, 6) AS z, round({two_sided_sql("abs(z)")}, 6) AS p FROM z""",
+    ),
+    "conditional_auroc": (
+        lambda s, d: rounded(learning.conditional_auroc(labelled(s, d).withColumn("given", F.when(F.col("doc_id") % 5 > 0, F.col("n_chars") > 400)), "given", "quality", "n_chars", ["lang"]), "auroc"),
+        f"""{LABELLED_SQL}, c AS (SELECT lang, n_chars > 400 AS given, quality, n_chars FROM l WHERE doc_id % 5 > 0),
+        k AS (SELECT lang, given, quality, rank() OVER (PARTITION BY lang, given ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, given, n_chars) - 1) / 2 AS r FROM c),
+        g AS (SELECT lang, given, sum(r) FILTER (quality = 1) AS rs, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality <> 1) AS n FROM k GROUP BY ALL)
+        SELECT lang, given, round((rs - p * (p + 1) / 2) / nullif(p * n, 0), 6) AS auroc, p AS positives, n AS negatives FROM g""",
+    ),
     "bootstrap_ci": (lambda s, d: stats.bootstrap(tasks(s, d), ["method"], "accuracy", draws=500), ""),
     "bootstrap_pearson": (lambda s, d: stats.bootstrap_correlation(tasks(s, d), ["method"], "function", "accuracy", draws=200), ""),
     "poisson_bootstrap": (lambda s, d: stats.poisson_bootstrap(trial_table(s, d), ["method"], "correct", draws=50), ""),
