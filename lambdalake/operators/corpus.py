@@ -18,6 +18,7 @@ from ..dsl import interpreter, syntax, types
 from ..dsl.compiler import column, compile_function
 from ..dsl.primitives import SIGNATURES, get_grammar
 from ..functions.order import numbered, running_total
+from .primitives import let
 
 #: Test inputs, probe values and constants (fixed values).
 TEST_SUITE = [[], [0], [3, 1, 2], [1, 1, 1, 1], [5, 4, 3, 2, 1], [1, 2, 3, 4, 5, 6, 7, 8], [10, -3, 7, 7, 0], [2, 8, 3, 8, 2, 3], [0, 1, 0, 1, 0], [42]]
@@ -228,12 +229,12 @@ def shuffled(program: Column, names: dict[str, str]) -> Column:
 def name_permutation(row: Column, names: list[str], k: Column | None = None) -> Column:
     """A map from names to names, a permutation of its own for each row: all names, or ``k`` that the row picks (at least
     none, at most all). Both the pick and the order are those of a hash of row and name."""
-    every = F.array(*map(F.lit, names))
+    every = every_name = F.array(*map(F.lit, names))
     by = lambda salt, xs: F.transform(F.array_sort(F.transform(xs, lambda n: F.struct(F.md5(F.concat(F.lit(f"{salt}:"), row, F.lit(":"), n)).alias("h"), n.alias("n")))), lambda s: s["n"])
     if k is not None:
         own = F.slice(by("pick", every), F.lit(1), F.least(F.greatest(k, F.lit(0)), F.lit(len(names))))
-        every = F.filter(every, lambda n: F.array_contains(own, n))
-    return F.map_from_arrays(every, by("to", every))
+        every = let(own, lambda picked: F.filter(every_name, lambda n: F.array_contains(picked, n)))
+    return let(every, lambda xs: F.map_from_arrays(xs, by("to", xs)))
 
 
 def renamed(program: Column, names: Column) -> Column:
