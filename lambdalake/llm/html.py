@@ -8,6 +8,11 @@ container, are tied by smoothness edges that weaken with their distance in the D
 log-odds. A maximum flow gives the cheapest labelling; blocks on the source's side are content. Equal cuts go to
 boilerplate.
 
+Class words that articles use themselves (notice, legal, search, ...) cost less than what prose within an article and two
+kept neighbours weigh, so a paragraph between paragraphs stays and a short notice goes. A box that is one link and nothing else is an advert
+or a button, wherever it stands. On a page without any article, the innermost box with three quarters of its prose stands in
+for one: text outside is dearer, but for the last heading before it and what follows that.
+
 The sample is ``SAMPLE`` pages at most (by a hash of page_id). Null and empty pages have an empty text. A page of any length and
 depth is one unit; nothing is capped. Repeated rows are rows like any others; other columns are not looked at.
 """
@@ -42,13 +47,14 @@ HARD = set("nav footer aside form button select dialog menu head fieldset".split
 HARD_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Words of class and id names of what is not the article, how such words begin, and words that only say what a box is.
 HINTS = set(
-    "ad ads adbox banner promo promotion popup modal overlay subscribe subscription signup login notice notification notifications gdpr consent menu nav navigation"
-    " topbar toolbar footer masthead discussion share sharing social related recommended recommendations pagination pager search skip"
-    " legal copyright disclaimer outbrain taboola alert comment comments commentlist disqus respond reply replies".split()
+    "ad ads adbox banner promo promotion popup modal overlay subscribe subscription signup login gdpr consent menu nav navigation"
+    " topbar toolbar footer masthead recommended recommendations pagination pager skip outbrain taboola comment comments commentlist disqus respond reply replies".split()
 )
+#: Such words that an article's own parts have as well.
+LOOSE_HINTS = set("notice notification notifications alert legal copyright disclaimer search discussion share sharing social related".split())
 HINT_STARTS = ("advert", "cookie", "sidebar", "navbar", "newsletter", "breadcrumb", "sponsor")
 NEUTRAL = set("box block bar list links link wrapper wrap container area section item items panel pane group row widget form button buttons icons posts articles stories top bottom left right main site page global".split())
-ARTICLE, NAVIGATION, HINTED, SOFT = 1, 2, 4, 8
+ARTICLE, NAVIGATION, HINTED, SOFT, LOOSE = 1, 2, 4, 8, 16
 
 
 @dataclass
@@ -137,13 +143,16 @@ class Page:
 
 
 def _hint(names: str) -> int:
-    """HINTED if all words of a class or id are about something else than the article, SOFT if only some are."""
+    """HINTED if all words of a class or id are about something else than the article, LOOSE if they may be its own as well, SOFT if
+    only some are."""
     out = 0
     for name in names.lower().split():
         words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
-        told = [w in HINTS or w.startswith(HINT_STARTS) for w in words]
+        sure = [w in HINTS or w.startswith(HINT_STARTS) for w in words]
+        told = [t or w in LOOSE_HINTS for t, w in zip(sure, words, strict=True)]
         if any(told):
-            out |= HINTED if all(t or w in NEUTRAL for t, w in zip(told, words, strict=True)) else SOFT
+            whole = all(t or w in NEUTRAL for t, w in zip(told, words, strict=True))
+            out |= SOFT if not whole else HINTED if any(sure) else LOOSE
     return out
 
 
@@ -208,7 +217,7 @@ def blocks(html: str) -> list[Block]:
                     pop()
             elif not closing and tag not in VOID:
                 own = _flags(tag, raw, 0) if any(x in raw for x in ("class", "id", "hidden", "role", "style")) else 0
-                if own & (NAVIGATION | HINTED):
+                if own & (NAVIGATION | HINTED | LOOSE):
                     page.flush(top)
                     push(tag, top.flags | own)
                 elif top.tag == tag:
@@ -231,10 +240,15 @@ def blocks(html: str) -> list[Block]:
 
 # Costs.
 
+HEADINGS = ("h1", "h2", "h3", "h4")
+TEXT_TAGS = {"p", "blockquote", "pre", "li", "td", "th", "dt", "dd", "option", *HEADINGS}
+
 FEATURES = ["bias", "under 25 characters", "80 and more", "200 and more", "ends in a stop", "paragraph", "heading", "list or cell", "mostly link", "some link"]
 #: Weights by hand, which the fit starts from and is drawn to; the weights of places; the most that a text counts.
 PRIOR = (0.0, -1.5, 1.0, 1.0, 1.0, 1.0, 0.5, -0.8, -3.0, -1.0)
-IN_ARTICLE, ELSEWHERE, IN_NAVIGATION, IN_HINTED, IN_SOFT, MOST = 4.0, -6.0, -13.0, -13.0, -1.0, 3.0
+IN_ARTICLE, ELSEWHERE, IN_NAVIGATION, IN_HINTED, IN_LOOSE, IN_SOFT, MOST = 4.0, -6.0, -13.0, -13.0, -7.5, -1.0, 3.0
+#: A box of one link only; text outside the box that stands in for an article.
+ONE_LINK, OUTSIDE = -6.0, -4.0
 #: Log-odds of a tie at distance 0; pages of the sample; blocks that a sample counts as, against the prior's one.
 TIE, SAMPLE, EVIDENCE = 3.0, 2000, 1000.0
 
@@ -243,7 +257,7 @@ def features(block: Block) -> int:
     """Bit set of FEATURES."""
     n, tag = len(block.text), block.element.tag
     on = (
-        True, n < 25, n >= 80, n >= 200, block.text[-1] in ".!?…:;»”\"'", tag in ("p", "blockquote", "pre"), tag in ("h1", "h2", "h3", "h4"),
+        True, n < 25, n >= 80, n >= 200, block.text[-1] in ".!?…:;»”\"'", tag in ("p", "blockquote", "pre"), tag in HEADINGS,
         tag in ("li", "td", "th", "dt", "dd", "option"), 2 * block.linked > n, 5 * block.linked > n,
     )
     return sum(1 << k for k, x in enumerate(on) if x)
@@ -252,7 +266,7 @@ def features(block: Block) -> int:
 def place(block: Block) -> int | None:
     """1 for content and 0 for boilerplate where the place of a block says so by itself."""
     flags = block.element.flags
-    return 0 if flags & (NAVIGATION | HINTED) else 1 if flags & ARTICLE and not flags & SOFT else None
+    return 0 if flags & (NAVIGATION | HINTED) else 1 if flags & ARTICLE and not flags & (SOFT | LOOSE) else None
 
 
 def fit_weights(counts: dict[tuple[int, int], int]) -> tuple[float, ...]:
@@ -294,7 +308,39 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> tuple[float, ...]:
     return fit_weights({(r.bits, r.label): r.n for r in got})
 
 
-def cost(block: Block, has_article: bool, weights: tuple[float, ...] = PRIOR) -> int:
+def outside(found: list[Block]) -> list[bool]:
+    """For a page without an article: which blocks lie outside the innermost box that holds three quarters of the prose. The last
+    heading before it, and what is between them, count as inside. Each element is looked at once."""
+    seen: dict[int, Element] = {}
+    prose: dict[int, int] = {}
+    total = 0
+    for b in found:
+        e, n = b.element.parent or b.element, len(b.text)
+        if n >= 25 and 2 * b.linked <= n and not b.element.flags & (NAVIGATION | HINTED | LOOSE):
+            prose[id(e)] = prose.get(id(e), 0) + n
+            total += n
+        e = b.element
+        while e is not None and id(e) not in seen:
+            seen[id(e)] = e
+            e = e.parent
+    if not total:
+        return [False] * len(found)
+    by_depth = sorted(seen.values(), key=lambda e: e.depth)
+    for e in reversed(by_depth):
+        if e.parent is not None and id(e) in prose:
+            prose[id(e.parent)] = prose.get(id(e.parent), 0) + prose[id(e)]
+    # More than half: at most one of each depth, each within the one before.
+    box = [e for e in by_depth if 4 * prose.get(id(e), 0) >= 3 * total][-1]
+    inside: dict[int, bool] = {}
+    for e in by_depth:
+        inside[id(e)] = e is box or e.parent is not None and inside[id(e.parent)]
+    out = [not inside[id(b.element)] for b in found]
+    begin = out.index(False)
+    title = max((j for j in range(begin) if found[j].element.tag in HEADINGS), default=begin)
+    return [x and not title <= j < begin for j, x in enumerate(out)]
+
+
+def cost(block: Block, has_article: bool, weights: tuple[float, ...] = PRIOR, out: bool = False) -> int:
     """Above 0: so much dearer as boilerplate; below: as content. Hundredths of log-odds."""
     bits, flags = features(block), block.element.flags
     score = max(-MOST, min(MOST, sum(w for k, w in enumerate(weights) if bits >> k & 1)))
@@ -302,7 +348,9 @@ def cost(block: Block, has_article: bool, weights: tuple[float, ...] = PRIOR) ->
         score += IN_ARTICLE
     elif has_article:
         score += ELSEWHERE
-    score += IN_NAVIGATION * bool(flags & NAVIGATION) + IN_HINTED * bool(flags & HINTED) + IN_SOFT * bool(flags & SOFT)
+    score += IN_NAVIGATION * bool(flags & NAVIGATION) + IN_HINTED * bool(flags & HINTED) + IN_LOOSE * bool(flags & LOOSE) + IN_SOFT * bool(flags & SOFT)
+    n = len(block.text)
+    score += OUTSIDE * out + ONE_LINK * (n <= block.linked and n < 200 and block.element.tag not in TEXT_TAGS)
     return round(100 * score)
 
 
@@ -400,7 +448,8 @@ def main_text(html: str | None, weights: tuple[float, ...] = PRIOR) -> str:
         return ""
     found = blocks(html)
     has_article = any(place(b) == 1 for b in found)
-    keep = minimum_cut([cost(b, has_article, weights) for b in found], edges(found))
+    out = [False] * len(found) if has_article else outside(found)
+    keep = minimum_cut([cost(b, has_article, weights, x) for b, x in zip(found, out, strict=True)], edges(found))
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 

@@ -209,21 +209,36 @@ class Tree(HTMLParser):
 
 def brute_text(page, weights):
     """The cheapest labelling of all, the one with the least content of equals."""
-    kinds, costs, paths = [], [], []
+    kinds, costs, paths, tags, prose = [], [], [], [], []
     found = Tree(page).found
     for text, around, linked in found:
         classes = [x[1].get("class", "") for x in around]
         bad = any(x[0] in ("nav", "footer", "aside", "form") for x in around) + 2 * any(c in ("ad", "comments", "cookie-notice") for c in classes)
         article = any(x[0] in ("article", "main") for x in around)
-        soft = "related-work" in classes
-        kinds.append(1 if article and not bad and not soft else 0)
+        soft, loose = "related-work" in classes, "notice" in classes
+        kinds.append(1 if article and not bad and not soft and not loose else 0)
         boxes = [x for x in around if x[0] in html.BLOCKS or "class" in x[1] or not x[0]]
         tag, n = boxes[-1][0], len(text)
         on = [True, n < 25, n >= 80, n >= 200, text[-1] in ".!?", tag == "p", tag == "h1", tag == "li", 2 * linked > n, 5 * linked > n]
         score = max(-html.MOST, min(html.MOST, sum(w for w, x in zip(weights, on) if x)))
-        costs.append((score, article, bad, soft))
+        alone = linked >= n and n < 200 and tag not in ("p", "h1", "li")
+        costs.append((score, article, bad, soft, loose, alone))
         paths.append([x[2] for x in boxes])
-    costs = [round(100 * (s + (html.IN_ARTICLE if a else html.ELSEWHERE if any(kinds) else 0) + html.IN_NAVIGATION * (b & 1) + html.IN_HINTED * (b >> 1) + html.IN_SOFT * q)) for s, a, b, q in costs]
+        tags.append(tag)
+        prose.append(n if n >= 25 and 2 * linked <= n and not bad and not loose else 0)
+    out = [False] * len(found)
+    if not any(kinds) and any(prose):
+        # Every box that has three quarters of the prose of the blocks in it; the deepest is the longest path.
+        within = lambda box, path: path[: len(box)] == box
+        boxes = [p[:k] for p in paths for k in range(1, len(p) + 1)]
+        inner = lambda p: p[:-1] or p
+        box = max((b for b in boxes if 4 * sum(n for n, p in zip(prose, paths) if within(b, inner(p))) >= 3 * sum(prose)), key=len)
+        out = [not within(box, p) for p in paths]
+        begin = out.index(False)
+        title = [j for j in range(begin) if tags[j] == "h1"][-1:]
+        for j in range(title[0] if title else begin, begin):
+            out[j] = False
+    costs = [round(100 * (s + (html.IN_ARTICLE if a else html.ELSEWHERE if any(kinds) else 0) + html.IN_NAVIGATION * (b & 1) + html.IN_HINTED * (b >> 1) + html.IN_SOFT * q + html.IN_LOOSE * l + html.ONE_LINK * x + html.OUTSIDE * o)) for (s, a, b, q, l, x), o in zip(costs, out)]
     ties = []
     for j in range(len(found)):
         near = {j - 1} if j else set()
@@ -240,9 +255,9 @@ def random_page(rng, depth=0):
     out = ""
     for _ in range(rng.randint(1, 3)):
         text = words(rng.choice([1, 2, 9, 30, 60]), rng.randint(0, 99)) + rng.choice([".", "", " &amp; so on."])
-        kind = rng.choice(["p", "p", "p", "div", "h1", "li", "nav", "article", "main", "footer", "ad", "soft", "span", "a"])
+        kind = rng.choice(["p", "p", "p", "div", "h1", "li", "nav", "article", "main", "footer", "ad", "soft", "span", "a", "notice", "only"])
         inner = random_page(rng, depth + 1) if depth < 2 and kind in ("div", "article", "main", "ad") and rng.random() < 0.7 else text
-        out += {"ad": f'<div class="ad">{inner}</div>', "soft": f'<p class="related-work">{text}</p>', "a": f'<p>{text} <a href="x">more of it</a></p>',
+        out += {"notice": f'<p class="notice">{text}</p>', "only": f'<div><a href="x">{text}</a></div>', "ad": f'<div class="ad">{inner}</div>', "soft": f'<p class="related-work">{text}</p>', "a": f'<p>{text} <a href="x">more of it</a></p>',
                 "span": f'<p>{text} <span class="ad">Buy <span>now</span> or later</span> {text}</p>'}.get(kind, f"<{kind}>{inner}</{kind}>")
     return out
 
@@ -270,6 +285,42 @@ def test_html_fit(spark):
     assert len(html.extract(pages, weights).collect()) == 42
 
 
+LONG = "This is a long enough paragraph of the article, which says a good deal about its subject and then goes on to say more."
+
+
+@pytest.mark.parametrize(
+    "part, kept",
+    [
+        (f'<p class="notice">{LONG} X.</p>', True),
+        (f'<div class="legal">{LONG} X.</div>', True),
+        (f'<h2 class="copyright">{LONG} X.</h2>', True),
+        (f'<section id="search"><p>{LONG} X.</p><p>{LONG} X.</p></section>', True),
+        ('<h2><a href="y">A heading that is a link X.</a></h2>', True),
+        ('<div class="notice">Our terms have changed X.</div>', False),
+        ('<div id="x9"><a href="y">Buy the best shoes now X.</a></div>', False),
+        (f'<div class="ad">{LONG} X.</div>', False),
+        (f'<p class="cookie-notice">{LONG} X.</p>', False),
+    ],
+)
+def test_html_words_and_neighbours(part, kept):
+    page = f"<nav><ul><li><a href=x>Home</a></ul></nav><article><h1>A title</h1><p>{LONG} One.</p>{part}<p>{LONG} Two.</p><p>Short.</p></article>"
+    got = html.main_text(page)
+    assert ("X." in got) == kept and got.startswith("A title\n") and got.endswith("Two.\nShort.") and "Home" not in got
+
+
+def test_html_box_for_an_article():
+    comment = '<div class="c2">Great post, I liked it a lot, really very much indeed, and I thank you for it.</div>'
+    article = "".join(f"<p>{LONG} {i}.</p>" for i in range(6))
+    page = f"<body><div><h1>A title of some length here</h1>{article}<p>Short.</p></div>{comment * 2}</body>"
+    assert html.main_text(page) == "\n".join(["A title of some length here", *(f"{LONG} {i}." for i in range(6)), "Short."])
+    # Where comments hold over a quarter of the prose no box stands out, and all of it is text.
+    assert html.main_text(page.replace(article, "").replace("Short.", LONG)).count("Great post") == 2
+    title_before = f"<h1>A title of some length here</h1><p>What the article is about.</p><div><p>{LONG} 1.</p><p>{LONG} 2.</p></div>{comment}"
+    assert html.main_text(title_before) == f"A title of some length here\nWhat the article is about.\n{LONG} 1.\n{LONG} 2."
+    # Sections of about one size are all inside.
+    assert html.main_text("".join(f"<div><p>{LONG} {i}.</p></div>" for i in range(3))).count("\n") == 2
+
+
 def test_html_nesting():
     page = '<main><p class="related-work">Related work.</p><div class="share-price">The share price rose.</div><p>And <math><mi>x</mi></math> <span class="ad">Buy <span>x</span> more text</span>too.</p></main>'
     assert html.main_text(page) == "Related work.\nThe share price rose.\nAnd x\ntoo."
