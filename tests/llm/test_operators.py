@@ -315,8 +315,8 @@ def test_html_box_for_an_article():
     assert html.main_text(page) == "\n".join(["A title of some length here", *(f"{LONG} {i}." for i in range(6)), "Short."])
     # Where comments hold over a quarter of the prose no box stands out, and all of it is text.
     assert html.main_text(page.replace(article, "").replace("Short.", LONG)).count("Great post") == 2
-    title_before = f"<h1>A title of some length here</h1><p>What the article is about.</p><div><p>{LONG} 1.</p><p>{LONG} 2.</p></div>{comment}"
-    assert html.main_text(title_before) == f"A title of some length here\nWhat the article is about.\n{LONG} 1.\n{LONG} 2."
+    title_before = f"<h1>A title of some length here</h1><p>What the article is about.</p><div>{article}</div>{comment}"
+    assert html.main_text(title_before) == "\n".join(["A title of some length here", "What the article is about.", *(f"{LONG} {i}." for i in range(6))])
     # Sections of about one size are all inside.
     assert html.main_text("".join(f"<div><p>{LONG} {i}.</p></div>" for i in range(3))).count("\n") == 2
 
