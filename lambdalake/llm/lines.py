@@ -48,14 +48,29 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def removals(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
-    """(doc_id, gone): the hashes of the lines that each document loses."""
+    """(doc_id, gone): the hashes of the lines that each document loses, sorted."""
     lines = line_keys(docs, site)
     spread = boilerplate(lines, sites)
-    return lines.join(spread.hint("merge"), "key").where("doc_id != first").groupBy("doc_id").agg(F.collect_list("key").alias("gone"))
+    return lines.join(spread.hint("merge"), "key").where("doc_id != first").groupBy("doc_id").agg(F.sort_array(F.collect_list("key")).alias("gone"))
+
+
+def _among(keys: Column, key: Column) -> Column:
+    """Whether a sorted array has a key; longer arrays are halved until one place is left."""
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.get(keys, middle) <= key
+        return F.struct(F.when(below, middle).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(middle).alias("hi"))
+
+    turns = F.sequence(F.lit(1), F.ceil(F.log2(F.size(keys))).cast("int") + 1)
+    found = F.aggregate(turns, F.struct(F.lit(0).alias("lo"), F.size(keys).alias("hi")), halve, lambda s: F.get(keys, s["lo"]) == key)
+    return F.when(F.size(keys) <= 16, F.array_contains(keys, key)).otherwise(found)
 
 
 def _kept(gone: Column) -> Column:
-    return F.when(gone.isNull(), _split("text")).otherwise(F.filter(_split("text"), lambda x: ~F.array_contains(gone, _key(x))))
+    lines = F.transform(_split("text"), lambda x: F.struct(x.alias("line"), _key(x).alias("key")))
+    kept = F.transform(F.filter(lines, lambda x: ~_among(gone, x["key"])), lambda x: x["line"])
+    return F.when(gone.isNull(), _split("text")).otherwise(kept)
 
 
 def with_kept(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:

@@ -523,6 +523,14 @@ def test_lines(docs, texts, sites):
     got = {r.doc_id: r[lines.KEPT] for r in lines.with_kept(docs, sites=sites).collect()}
     assert got == want and any(w is not None and len(w) < len(texts[i].split("\n")) for i, w in want.items())
 
+def test_lines_many_in_one_text(spark):
+    """All lines of a long text are gone but those of its own, the first copy keeps all; 17 and 16 removed lines are at the border of the two lookups."""
+    many = {**{i: 4000 for i in range(12)}, 20: 16, 21: 17, 22: 1}
+    texts = {i: [f"line {k} of them" for k in range(n)] + [f"own {i}", "", f"line {n // 2} of them"] for i, n in many.items()}
+    rows = [(i, f"s{i}", "\n".join(x)) for i, x in texts.items()]
+    got = {r.doc_id: r[lines.KEPT] for r in lines.with_kept(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got == {i: x if i == 0 else [f"own {i}", ""] for i, x in texts.items()}
+
 
 # 7
 
