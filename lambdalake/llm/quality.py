@@ -203,10 +203,12 @@ def train(doc: np.ndarray, bits: np.ndarray, label: np.ndarray, rounds: int = 80
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    """Train on at most about ``sample`` labelled documents; PRIOR where one kind has none."""
+    """Train on at most ``sample`` labelled documents, of rows that share a doc_id on the least text; PRIOR where one kind has none."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # However many rows have a chosen id, one goes on: tasks keep the least text each before the shuffle.
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(blobs, pa.binary())], ["doc_id", "quality", "bits"])
 
     got = texts.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, bits binary").toArrow()
-    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "quality", "bits")), strict=True))[:sample]
+    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "quality", "bits")), strict=True))
     lines = [np.frombuffer(x, "<i4").astype(np.int64) for _, _, x in rows]
     doc = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
     label = np.repeat(np.array([1 - q for _, q, _ in rows], np.int64), [len(x) for x in lines])

@@ -771,6 +771,63 @@ def test_quality_counts(docs, texts, labels):
     assert kept == {i for i, r in got.items() if r.kept} and got[12].kept
 
 
+def plain_verdict(text, chain):
+    """Failed, content share and kept, line by line in plain Python."""
+    every = WORD.findall(text.encode())
+    windows = collections.Counter(zip(every, every[1:], every[2:]))
+    covered = {k + j for k in range(len(every) - 2) if windows[every[k], every[k + 1], every[k + 2]] > 1 for j in range(3)}
+    failed = len(every) < 50 or 100 * len(covered) > 50 * len(every)
+    seen, at, found, ways = set(), 0, [], None
+    for line in text.encode().split(b"\n"):
+        own = WORD.findall(line)
+        if not own:
+            continue
+        ink, count, among = sum(map(len, own)), len(own), lambda x: sum(line.count(c) for c in x)
+        letters = sum(65 <= c <= 90 for c in line)
+        bits = [
+            True, 100 * among([b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"]) > ink, 20 * among([b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"]) > ink,
+            letters > ink / 4, letters > ink * 0.6, line.count(b"!") > 0.03 * ink, line.count(b"|") > ink / 50, among([b"%d" % k for k in range(10)]) > ink / 5,
+            sum(x == y for x, y in zip(own, own[1:])) > count / 5, sum(at + k in covered for k in range(count)) > 0.3 * count,
+            line in seen, count < 3, count >= 8, own[-1][-1:] in (b".", b"!", b"?", b":"), ink > 14 * count,
+        ]
+        seen.add(line)
+        at += count
+        found.append(ink)
+        score = sum(w for w, x in zip(chain.weights, bits) if x)
+        if ways is None:
+            ways = [(chain.first[y] + score * y, [y]) for y in (0, 1)]
+        else:
+            ways = [max(((v + chain.steps[x][y] + score * y, [*path, y]) for x, (v, path) in enumerate(ways)), key=lambda z: z[0]) for y in (0, 1)]
+    label = max(ways, key=lambda z: z[0])[1] if ways else []
+    content = sum(n for n, y in zip(found, label) if not y)
+    share = content / sum(found) if found else 0.0
+    return failed, share, not failed and share >= quality.SHARE
+
+
+@pytest.mark.parametrize("fitted", [False, True])
+def test_quality_verdicts(spark, docs, texts, labels, fitted):
+    rng = random.Random(9)
+    bad = ["### *** $$$ | | |", "CLICK HERE NOW!!! BUY!!!", "a | b | c | d", "menu menu menu menu", "12 34 56 78", "Home"]
+    noise = lambda: rng.choice([rng.choice(bad), " ".join(x + rng.choice(["!!!", "|||", "###", "$$$"]) for x in words(9, rng.randint(0, 999)).upper().split())])
+    mixed = {100 + i: "\n".join(noise() if rng.random() < i / 60 else words(rng.choice([3, 9, 20]), rng.randint(0, 99)) + rng.choice([".", "", ":"]) for _ in range(12)) for i in range(60)}
+    rows = spark.createDataFrame(list(mixed.items()), "doc_id long, text string")
+    chain = quality.fit(docs, labels) if fitted else quality.PRIOR
+    got = by_id(quality.judge(docs.select("doc_id", "text").union(rows), chain))
+    want = {i: plain_verdict(t or "", chain) for i, t in (texts | mixed).items()}
+    for i, (failed, share, kept) in want.items():
+        assert (got[i].base_failed, got[i].kept) == (failed, kept) and got[i].content_share == pytest.approx(share), i
+    assert fitted or len({round(x[1], 3) for x in want.values() if 0 < x[1] < 1}) > 20 and any(not x[0] and not x[2] for x in want.values())
+    kept = {r.doc_id for r in quality.keep(docs.select("doc_id", "text").union(rows), chain).collect()}
+    assert kept == {i for i, x in want.items() if x[2]}
+
+
+def test_quality_fit_with_repeated_ids(spark, docs, labels):
+    """Copies of a labelled row teach nothing more."""
+    many = docs.select("doc_id", "text").withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(5)))).drop("again")
+    one, five = quality.fit(docs, labels), quality.fit(many, labels)
+    assert np.allclose(one.weights, five.weights) and np.allclose(one.steps, five.steps)
+
+
 def test_viterbi_is_best():
     rng = np.random.default_rng(2)
     for _ in range(20):
