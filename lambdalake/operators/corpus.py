@@ -192,6 +192,30 @@ def measures(programs: DataFrame) -> DataFrame:
     return programs.mapInArrow(run, schema)
 
 
+def depth(program: Column) -> Column:
+    """Depth of a program's text, as ``syntax.depth``, by a scan of its brackets: names of functions and empty lists have none."""
+    bare = F.regexp_replace(F.regexp_replace(program, r"\(λ\s*\([^()]*\)", "(λ"), r"\[\s*\]", "")
+    marks = F.regexp_extract_all(F.translate(bare, "[]", "()"), F.lit(r"([()])"), 1)
+
+    def step(at: Column, mark: Column) -> Column:
+        now = at["now"] + F.when(mark == "(", 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda at: at["most"])
+
+
+def depth_distribution(programs: DataFrame, keys: list[str]) -> DataFrame:
+    """How many programs of each group have which depth, and which share of the group; no program has no depth. Counts are
+    aggregated before shares are taken."""
+    counts = programs.where("program is not null").groupBy(*keys, depth(F.col("program")).alias("depth")).agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("__total"))
+    same = F.lit(True)
+    totals = totals.toDF(*[f"__of_{c}" for c in keys], "__total")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return counts.join(totals, same).select(*keys, "depth", "n", (F.col("n") / F.col("__total")).alias("share"))
+
+
 def validation_split(texts: DataFrame) -> DataFrame:
     """Distinct programs from int lists to int lists that succeed on some input."""
     rows = measures(evaluate(texts.select("program").distinct())).where(F.col("fp").isNotNull() & (successes(F.col("fp")) > 0))

@@ -179,6 +179,13 @@ def steps(spark: SparkSession, d: str) -> DataFrame:
 CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "simplify_corpus": (simplified, SIMPLIFIED_SQL),
     "program_measures": (measured, MEASURED_SQL),
+    "depth_distribution": (
+        lambda s, d: C.depth_distribution(corpus(s, d), ["rule"]).select("rule", F.col("depth").cast("long").alias("depth"), "n", F.round("share", 6).alias("share")),
+        f"""WITH {MADE_SQL}, b AS (SELECT rule, regexp_replace(translate(replace(regexp_replace(program, '\\(λ \\([^)]*\\)', '(λ', 'g'), '[]', ''), '[]', '()'), '[^()]', '', 'g') AS marks FROM m),
+        e AS (SELECT rule, coalesce(list_max(list_transform(range(1, len(marks) + 1), lambda i: 2 * len(replace(marks[1:i], ')', '')) - i)), 0) AS depth FROM b),
+        n AS (SELECT rule, depth, count(*) AS n FROM e GROUP BY ALL)
+        SELECT rule, depth, n, round(n / sum(n) OVER (PARTITION BY rule), 6) AS share FROM n""",
+    ),
     "tokenise": (
         lambda s, d: corpus(s, d).select("program", F.array_join(C.token_ids(F.col("program")), " ").alias("ids")).distinct(),
         f"WITH {MADE_SQL} SELECT DISTINCT program, array_to_string(list_concat([1], list_transform({LEXEMES_SQL}, lambda t: coalesce(list_position({VOCABULARY_SQL}, t) - 1, 3)), [2]), ' ') AS ids FROM m",

@@ -276,6 +276,16 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         r AS (SELECT a, b, d, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / 2 AS k FROM p WHERE d <> 0)
         SELECT a, b, least(coalesce(sum(k) FILTER (d > 0), 0), coalesce(sum(k) FILTER (d < 0), 0)) AS statistic, count(*) AS n FROM r GROUP BY ALL""",
     ),
+    "signed_rank_p": (
+        lambda s, d: rounded(stats.signed_rank_test(T.pairs(tasks(s, d).withColumn("accuracy", F.round(F.round("accuracy", 6) * 1000000)), "function", "method", "accuracy"), ["a", "b"], "value_a", "value_b"), "p"),
+        # The normal form alone: shares of correct trials tie, and the exact form is for rows without ties.
+        f"""{TASK_SQL}, p AS (SELECT x.method AS a, y.method AS b, round(round(x.accuracy, 6) * 1000000) - round(round(y.accuracy, 6) * 1000000) AS d FROM a x JOIN a y USING (function) WHERE x.method < y.method),
+        r AS (SELECT a, b, d, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / 2 AS k, count(*) OVER (PARTITION BY a, b, abs(d)) AS t FROM p WHERE d <> 0),
+        g AS (SELECT a, b, least(coalesce(sum(k) FILTER (d > 0), 0), coalesce(sum(k) FILTER (d < 0), 0)) AS statistic, count(*) AS n, sum(t * t - 1) AS ties FROM r GROUP BY ALL),
+        z AS (SELECT *, n * (n + 1) * (2 * n + 1) / 24 - ties / 48 AS v FROM g),
+        y AS (SELECT *, CASE WHEN v > 0 THEN abs(statistic - n * (n + 1) / 4) / sqrt(v) ELSE 0.0 END AS z FROM z)
+        SELECT a, b, statistic, n, CASE WHEN v > 0 AND (n > 50 OR ties > 0) THEN round({two_sided_sql("z")}, 6) WHEN v <= 0 THEN 1.0 END AS p FROM y""",
+    ),
     "logrank": (
         lambda s, d: rounded(stats.log_rank(logrank_rows(s, d), ["method"], "acquired_on", "event", "side"), "expected", "variance", "chi2"),
         f"""{ACQUIRED_SQL}, x AS (SELECT method, acquired_on AS tm, sum((function % 2 = 0)::INT) AS n0, sum((function % 2 = 1)::INT) AS n1, sum((acquired_on < 12 AND function % 2 = 0)::INT) AS d0, sum((acquired_on < 12)::INT) AS d FROM acq GROUP BY ALL),

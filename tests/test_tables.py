@@ -1,5 +1,6 @@
 """Sources, parsing, statistics, trials and corpora on hand-made rows."""
 
+import collections
 import datetime
 import json
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lambdalake.dsl import syntax
 from lambdalake.functions import learning, parsing, stats
 from lambdalake.operators import corpus, trials
 from lambdalake.plans import enumeration
@@ -206,3 +208,13 @@ def test_stream_keeps_first_trials(spark, tmp_path):
     want = trials.acquisition(trials.from_events(events), ["method", "function"])
     assert sorted(map(tuple, streams.acquired(spark, folder).collect())) == sorted(map(tuple, want.collect()))
     assert streams.versions(spark, f"{folder}/first") == [1, 2] and spark.read.parquet(f"{folder}/first/version=2").count() <= 16 * trials.TRIALS
+
+
+def test_depth_by_brackets(spark):
+    """As the parser has it: names of functions and empty lists have no depth, branches and lists have; no program is left out."""
+    texts = ["x", "[]", "[1 2]", "[ ]", "(λ (xs) xs)", "(λ (x y) (+ x y))", "(λ (xs) (map (λ (x) (* x 2)) (filter (λ (x) (> x 10)) xs)))", "(if true [1] (cons 1 []))", "(λ (xs) (concat [[1] []] xs))"]
+    rows = spark.createDataFrame([(i % 2, t) for i, t in enumerate(texts)] + [(0, None), (None, "x")], "g int, program string")
+    got = {(r.g, r.depth): (r.n, r.share) for r in corpus.depth_distribution(rows, ["g"]).collect()}
+    want = collections.Counter((i % 2, syntax.depth(syntax.parse(t))) for i, t in enumerate(texts)) + collections.Counter({(None, 0): 1})
+    assert {k: n for k, (n, _) in got.items()} == want
+    assert all(share == pytest.approx(n / sum(m for (g, _), m in want.items() if g == k[0])) for k, (n, share) in got.items())
