@@ -199,6 +199,19 @@ def base_rate(rows: DataFrame, key: str, label: str, least: float = 0.10) -> Dat
     return rows.groupBy(key).agg(F.avg(F.col(label).cast("double")).alias("rate")).where(F.col("rate") >= least)
 
 
+def acquired_in(acquired: DataFrame, bundle: DataFrame, keys: list[str], never: int = NEVER) -> DataFrame:
+    """Sequences that were acquired and that a bundle of features has; what the bundle has twice counts once."""
+    return acquired.where(F.col("acquired_on") < never).join(bundle.select(*keys), keys, "left_semi")
+
+
+def label_fractions(rows: DataFrame, keys: list[str], tokens: Column, words: list[str]) -> DataFrame:
+    """(keys, label, share): which share of each task's rows has each word among its tokens, words that none has included; rows
+    without tokens (NULL) count for no word. One aggregate of as many means as words, told apart only after it."""
+    share = [F.avg(F.coalesce(multi_hot(tokens, [w]), F.lit(0))) for w in words]
+    means = rows.groupBy(*keys).agg(F.array(*[F.struct(F.lit(w).alias("label"), x.alias("share")) for w, x in zip(words, share, strict=True)]).alias("__shares"))
+    return means.select(*keys, F.inline("__shares"))
+
+
 def multi_hot(tokens: Column, vocabulary: list[str]) -> Column:
     """1 if a token list has any of the words, else 0."""
     return F.arrays_overlap(tokens, F.array(*[F.lit(v) for v in vocabulary])).cast("int")

@@ -55,6 +55,15 @@ def acquired(spark: SparkSession, d: str) -> DataFrame:
     return T.acquisition(trial_table(spark, d), ["method", "function"])
 
 
+def acquired_customers(spark: SparkSession, d: str) -> DataFrame:
+    """Acquired sequences of users who are customers, with words about the customer."""
+    customers = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("function"), F.array("c_mktsegment", F.when(F.col("c_acctbal") < 0, "DEBT").otherwise("CREDIT")).alias("tokens"))
+    return T.acquired_in(acquired(spark, d), customers, ["function"]).join(customers, "function")
+
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "DEBT", "CREDIT"]
+
+
 def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, places) for n in names})
 
@@ -145,6 +154,11 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         lambda s, d: rounded(T.acquired_share(acquired(s, d), "method"), "share"),
         f"{ACQUIRED_SQL} SELECT method, x::INT AS t, round(avg((acquired_on <= x)::INT), 6) AS share FROM acq, range(1, 13) r(x) GROUP BY ALL",
     ),
+    "label_fractions": (
+        lambda s, d: rounded(T.label_fractions(acquired_customers(s, d), ["method"], F.col("tokens"), SEGMENTS), "share"),
+        f"""{ACQUIRED_SQL}, c AS (SELECT method, [c_mktsegment, CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE 'CREDIT' END] AS tokens FROM acq JOIN customer ON function = c_custkey WHERE acquired_on < 12)
+        SELECT method, label, round(avg(list_contains(tokens, label)::INT), 6) AS share FROM c, unnest({SEGMENTS}) w(label) GROUP BY ALL""",
+    ),
     "difficulty_profile_pivot": (
         lambda s, d: rounded(T.pivot(tasks(s, d), "function", "method", "accuracy", METHODS), *METHODS),
         TASK_SQL + " SELECT function, " + ", ".join(f"round(max(accuracy) FILTER (method = '{m}'), 6) AS {m}" for m in METHODS) + " FROM a GROUP BY function",

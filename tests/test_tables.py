@@ -218,3 +218,14 @@ def test_depth_by_brackets(spark):
     want = collections.Counter((i % 2, syntax.depth(syntax.parse(t))) for i, t in enumerate(texts)) + collections.Counter({(None, 0): 1})
     assert {k: n for k, (n, _) in got.items()} == want
     assert all(share == pytest.approx(n / sum(m for (g, _), m in want.items() if g == k[0])) for k, (n, share) in got.items())
+
+
+def test_label_fractions(spark):
+    """Sequences never acquired or not in the bundle are out; rows without tokens count for no word; words that none has are there."""
+    acquired = spark.createDataFrame([(1, 3), (2, 12), (3, 1), (4, 2), (5, 2)], "function long, acquired_on int")
+    bundle = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, None), (5, ["b", "b"]), (9, ["c"])], "function long, tokens array<string>")
+    kept = trials.acquired_in(acquired, bundle.union(bundle), ["function"])
+    assert sorted(values(kept, "function")) == [1, 3, 5]
+    rows = kept.join(bundle, "function").withColumn("g", F.when(F.col("function") == 5, 2).otherwise(1))
+    got = {(r.g, r.label): r.share for r in trials.label_fractions(rows, ["g"], F.col("tokens"), ["a", "b", "c"]).collect()}
+    assert got == {(1, "a"): 0.5, (1, "b"): 0.5, (1, "c"): 0.0, (2, "a"): 0.0, (2, "b"): 1.0, (2, "c"): 0.0}
