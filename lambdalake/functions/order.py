@@ -16,6 +16,11 @@ def shared_dir(spark: SparkSession) -> str:
     return (folder or "/tmp/checkpoints").rstrip("/")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt out over as many tasks as a shuffle has: a table in one small file is one task, however much a row costs."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read again: lineage ends here, and a lost executor costs its own tasks only."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

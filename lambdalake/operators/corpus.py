@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..dsl import interpreter, syntax, types
 from ..dsl.compiler import column, compile_function
 from ..dsl.primitives import SIGNATURES, get_grammar
-from ..functions.order import numbered, running_total
+from ..functions.order import numbered, running_total, spread
 from .primitives import let
 
 #: Test inputs, probe values and constants (fixed values).
@@ -26,6 +26,8 @@ PROBES = {"int": [0, 1, 3], "bool": [True, False], "list[int]": [[], [1], [2, 1,
 HOLE_PROBES = [5, 3, 7, 2, 9, 0, 8, 1, 6, 4]
 SEED_CONSTANTS = list(range(11))
 MIN_SUCCESSES, MIN_VARIABILITY = 3, 0.3
+#: Texts of programs whose values a task keeps at most.
+REMEMBERED = 50_000
 
 
 def value_text(value: object) -> str | None:
@@ -33,25 +35,34 @@ def value_text(value: object) -> str | None:
 
 
 def evaluate(programs: DataFrame, inputs: list[list[int]] | None = None) -> DataFrame:
-    """With ``fp``: programs are data, so each batch is interpreted; a text that is no program has a NULL."""
+    """With ``fp``: programs are data, so each batch is interpreted; a text that is no program has a NULL. Rows are dealt out
+    first, and a task interprets a text that it has met before only once."""
     inputs = TEST_SUITE if inputs is None else inputs
     schema = programs.select("*", F.lit(None).cast("array<string>").alias("fp")).schema
     at = programs.columns.index("program")
 
+    def values(text: str | None) -> list[str | None] | None:
+        try:
+            node = syntax.parse(text or "")
+            node = syntax.fill(node if isinstance(node, syntax.Lam) else syntax.Lam(("x",), node), HOLE_PROBES)
+            types.infer(node, SIGNATURES)
+            return [value_text(v) for v in interpreter.outputs(node, inputs)]
+        except (ValueError, RecursionError):
+            return None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[str | None, list[str | None] | None] = {}
         for batch in batches:
             out = []
             for text in batch.column(at).to_pylist():
-                try:
-                    node = syntax.parse(text or "")
-                    node = syntax.fill(node if isinstance(node, syntax.Lam) else syntax.Lam(("x",), node), HOLE_PROBES)
-                    types.infer(node, SIGNATURES)
-                    out.append([value_text(v) for v in interpreter.outputs(node, inputs)])
-                except (ValueError, RecursionError):
-                    out.append(None)
+                if text not in met:
+                    if len(met) >= REMEMBERED:
+                        met.clear()
+                    met[text] = values(text)
+                out.append(met[text])
             yield pa.record_batch([*batch.columns, pa.array(out, pa.list_(pa.string()))], [*batch.schema.names, "fp"])
 
-    return programs.mapInArrow(run, schema)
+    return spread(programs).mapInArrow(run, schema)
 
 
 def fingerprint_columns(spark: SparkSession, programs: list[str]) -> DataFrame:
