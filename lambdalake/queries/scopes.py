@@ -13,7 +13,7 @@ from ..dsl import types as T
 from ..dsl.compiler import column
 from ..dsl.primitives import get_grammar
 from ..functions import parsing
-from ..functions.order import shared_dir
+from ..functions.order import shared_dir, spread, written
 from ..operators import corpus as C
 from ..operators import variants
 from ..plans import banks
@@ -40,11 +40,14 @@ TEXT_SQL = "'[' || array_to_string({}, ',') || ']'"
 
 
 def contextual(spark: SparkSession, d: str) -> DataFrame:
-    """Contextual fingerprints of five families of open terms, with two constants of each line in them."""
-    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    """Contextual fingerprints of five families of open terms, with two constants of each line in them. They depend on the
+    constants alone, so they are worked out once for each different pair, over many tasks, and joined."""
     given = {"a": F.col("l_linenumber").cast("long"), "b": F.col("l_quantity").cast("long")}
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", *[c.alias(k) for k, c in given.items()])
+    given = {k: F.col(k) for k in given}
     joined = [F.array_join(banks.contextual_fingerprint(term, banks.Context(names, 1), {k: v for k, v in given.items() if syntax.uses(syntax.parse(term), k)}), "|", "-").alias(name) for name, term, names in TERMS]
-    return rows.select("l_orderkey", "l_linenumber", *joined)
+    fingerprints = written(spread(rows.select("a", "b").distinct()).select("a", "b", *joined), "fingerprints")
+    return rows.join(fingerprints, ["a", "b"]).select("l_orderkey", "l_linenumber", *[name for name, _, _ in TERMS])
 
 
 def _contextual_sql() -> str:

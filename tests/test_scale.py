@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lambdalake.operators import corpus
 from lambdalake.queries import corpus as corpus_queries
+from lambdalake.queries import scopes
 
 
 def test_evaluation_is_dealt_out(spark):
@@ -29,3 +30,14 @@ def test_sketches_are_evaluated_once(spark, tmp_path, monkeypatch):
         own = (r.place, r.program, r.size)
         first[tuple(r.fp)] = min(first.get(tuple(r.fp), own), own)
     assert sorted((r.place, r.program, r.size) for r in got) == sorted(first.values())
+
+
+def test_fingerprints_once_for_each_pair_of_constants(spark, tmp_path, monkeypatch):
+    rows = [(i, i % 7 + 1, float(i % 5 + 1)) for i in range(700)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    made, plain = [], scopes.written
+    monkeypatch.setattr(scopes, "written", lambda df, name: made.append(plain(df, name)) or made[-1])
+    got = scopes.contextual(spark, str(tmp_path)).collect()
+    assert made[0].count() == 35 and len(got) == 700
+    # (+ (* v a) b) at v = 0, 1, 3 for each of the ten test inputs
+    assert all(r.scaled == "|".join(str(v * r.l_linenumber + (r.l_orderkey % 5 + 1)) for _ in range(10) for v in (0, 1, 3)) for r in got)
