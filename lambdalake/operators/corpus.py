@@ -288,17 +288,18 @@ def io_views(pools: DataFrame, least: int, most: int) -> DataFrame:
 
 def redirect_empty(rows: DataFrame, order: str, group: list[str]) -> DataFrame:
     """Each row's pool, or that of the next row that has one, round the end of the group. Rows are placed in one order and looked
-    ahead in blocks of it; the first pool of each block is handed to the blocks before, so no task has all rows of a group."""
+    ahead in blocks of it; the first pool of each block is handed to the blocks before, so no task has all rows of a group. Windows
+    run from the end, as Spark starts a frame that ends with its partition anew for each row."""
     placed = numbered(rows, "__place", *group, order)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = placed.withColumn("__block", (F.col("__place") / (placed.count() // (4 * parts) + 1)).cast("long"))
     some = F.when(F.size("pool") > 0, F.col("pool"))
-    near = F.first(some, ignorenulls=True).over(Window.partitionBy("__block", *group).orderBy("__place").rowsBetween(0, Window.unboundedFollowing))
+    near = F.last(some, ignorenulls=True).over(Window.partitionBy("__block", *group).orderBy(F.desc("__place")).rowsBetween(Window.unboundedPreceding, 0))
     # A row for each block and group that it touches: as many as blocks and groups.
     blocks = placed.groupBy("__block", *group).agg(F.min_by(some, F.when(some.isNotNull(), F.col("__place"))).alias("__first"))
-    w = Window.partitionBy(*group).orderBy("__block")
-    later = F.first("__first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    around = F.first("__first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    w = Window.partitionBy(*group).orderBy(F.desc("__block"))
+    later = F.last("__first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    around = F.last("__first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     blocks = blocks.select("__block", *group, F.coalesce(later, around).alias("__far"))
     blocks = blocks.toDF("__of_block", *[f"__of_{c}" for c in group], "__far")
     same = F.col("__block") == F.col("__of_block")

@@ -1,5 +1,9 @@
 """Work is dealt over tasks and done once for equal inputs; no task grows by the square of its rows."""
 
+import bisect
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from lambdalake.operators import corpus
@@ -41,3 +45,20 @@ def test_fingerprints_once_for_each_pair_of_constants(spark, tmp_path, monkeypat
     assert made[0].count() == 35 and len(got) == 700
     # (+ (* v a) b) at v = 0, 1, 3 for each of the ten test inputs
     assert all(r.scaled == "|".join(str(v * r.l_linenumber + (r.l_orderkey % 5 + 1)) for _ in range(10) for v in (0, 1, 3)) for r in got)
+
+
+def starts_anew(df):
+    """Whether a window's frame ends with its partition and starts at the row: its work is the square of the partition."""
+    return re.search(r"specifiedwindowframe\(RowFrame, (currentrow\$\(\)|\d+), unboundedfollowing", df._jdf.queryExecution().executedPlan().toString()) is not None
+
+
+def test_looking_ahead_costs_no_square(spark):
+    rng = random.Random(4)
+    rows = [(i, g, [i] if g < 2 and rng.random() < 0.02 else []) for i in range(3000) for g in range(3)]
+    df = spark.createDataFrame(rows, "i long, g int, pool array<long>").repartition(3)
+    got = corpus.redirect_empty(df, "i", ["g"])
+    assert not starts_anew(got)
+    have = {g: [i for i, h, pool in rows if h == g and pool] for g in range(3)}
+    for r in got.collect():
+        own = have[r.g]
+        assert r.served == ([own[bisect.bisect_left(own, r.i) % len(own)]] if own else None)
