@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.order import spread
 from .corpus import tokens
 
 #: (name, primitive, function, least and most a, least and most b)
@@ -48,10 +49,11 @@ def _drawn(row: Column, name: str, least: Column, most: Column, seed: int) -> Co
 
 def variants(programs: DataFrame, row: str, table: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """(``row``, template, primitive, macro, variant) of programs (``row``, program): one row for each program and each template of a
-    primitive that it uses. The templates are joined by primitive; they are as many as the table has."""
+    primitive that it uses. The templates are sent to the programs, which are dealt out over tasks, and never the other way round: by
+    the size of its file a table of programs looks small, before its texts and primitives are made from it."""
     table = templates(programs.sparkSession) if table is None else table
-    used = programs.select(row, "program", tokens(F.col("program")).alias("toks")).withColumn("primitive", F.explode(F.array_distinct("toks")))
-    out = used.join(table, "primitive")
+    used = spread(programs.select(row, "program")).select(row, "program", tokens(F.col("program")).alias("toks")).withColumn("primitive", F.explode(F.array_distinct("toks")))
+    out = used.join(F.broadcast(table), "primitive")
     key = F.col(row).cast("string")
     macro = F.replace(F.replace(F.col("text"), F.lit("{a}"), _drawn(key, "a", F.col("a_least"), F.col("a_most"), seed)), F.lit("{b}"), _drawn(key, "b", F.col("b_least"), F.col("b_most"), seed))
     out = out.withColumn("macro", macro)

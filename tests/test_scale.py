@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from lambdalake.operators import corpus
+from lambdalake.operators import corpus, variants
 from lambdalake.queries import corpus as corpus_queries
 from lambdalake.queries import scopes
 
@@ -62,3 +62,12 @@ def test_looking_ahead_costs_no_square(spark):
     for r in got.collect():
         own = have[r.g]
         assert r.served == ([own[bisect.bisect_left(own, r.i) % len(own)]] if own else None)
+
+
+def test_templates_go_to_the_programs(spark):
+    """Whatever the sizes look like, it is not the programs that are gathered at the driver and broadcast."""
+    programs = spark.range(50).selectExpr("id i", "'(λ (x) (take 2 (reverse x)))' program")
+    got = variants.variants(programs, "i")
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"BroadcastHashJoin \[primitive#\d+\], \[primitive#\d+\], Inner, BuildRight", plan)
+    assert got.count() == 50 * sum(t[1] in ("take", "reverse") for t in variants.TEMPLATES)
