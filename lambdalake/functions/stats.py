@@ -115,12 +115,13 @@ def signed_rank_p(differences: np.ndarray) -> float:
 
 
 def bh_qvalues(rows: DataFrame, family: list[str], p: str = "p", tie: str | None = None) -> DataFrame:
-    """Benjamini-Hochberg q-values within each family: the least p * n / rank from here up, 1 at most."""
+    """Benjamini-Hochberg q-values within each family: the least p * n / rank from here up, 1 at most. The least one is taken
+    downwards from the last rank: Spark starts a frame that ends with its partition anew for each row."""
     by = Window.partitionBy(*family)
-    order = by.orderBy(p, *([tie] if tie else []))
-    scaled = F.col(p) * F.count(F.lit(1)).over(by) / F.row_number().over(order)
-    rows = rows.withColumn("__s", scaled)
-    return rows.withColumn("q", F.least(F.lit(1.0), F.min("__s").over(order.rowsBetween(0, Window.unboundedFollowing)))).drop("__s")
+    rows = rows.withColumn("__rank", F.row_number().over(by.orderBy(p, *([tie] if tie else []))))
+    rows = rows.withColumn("__s", F.col(p) * F.count(F.lit(1)).over(by) / F.col("__rank"))
+    down = by.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("q", F.least(F.lit(1.0), F.min("__s").over(down))).drop("__s", "__rank")
 
 
 def chi2_statistic(n11: Column, n10: Column, n01: Column, n00: Column) -> Column:
@@ -143,7 +144,7 @@ def log_rank(rows: DataFrame, keys: list[str], time: str, event: str, group: str
         F.sum(F.when((F.col(event) > 0) & (F.col(group) == 0), 1).otherwise(0)).alias("d0"),
         F.sum(F.when(F.col(event) > 0, 1).otherwise(0)).alias("d"),
     )
-    on = Window.partitionBy(*keys).orderBy(time).rowsBetween(0, Window.unboundedFollowing)
+    on = Window.partitionBy(*keys).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)
     risk = at.select(*keys, F.sum("n0").over(on).cast("double").alias("r0"), F.sum("n1").over(on).cast("double").alias("r1"), "d0", "d")
     risk = risk.withColumn("r", F.col("r0") + F.col("r1")).where("r >= 2 and d > 0")
     expected = F.sum(F.expr("d * r0 / r"))

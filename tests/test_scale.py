@@ -4,8 +4,10 @@ import bisect
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from lambdalake.functions import stats
 from lambdalake.operators import corpus, variants
 from lambdalake.queries import corpus as corpus_queries
 from lambdalake.queries import scopes
@@ -71,3 +73,20 @@ def test_templates_go_to_the_programs(spark):
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert re.search(r"BroadcastHashJoin \[primitive#\d+\], \[primitive#\d+\], Inner, BuildRight", plan)
     assert got.count() == 50 * sum(t[1] in ("take", "reverse") for t in variants.TEMPLATES)
+
+
+def test_qvalues_cost_no_square(spark):
+    rng = random.Random(2)
+    rows = [(i, g, None if rng.random() < 0.05 else round(rng.random(), 2)) for i in range(400) for g in range(2)]
+    got = stats.bh_qvalues(spark.createDataFrame(rows, "i int, g int, p double"), ["g"], "p", "i")
+    assert not starts_anew(got) and got.columns == ["i", "g", "p", "q"]
+    q = {(r.g, r.i): r.q for r in got.collect()}
+    for g in range(2):
+        own = sorted(((p is not None, p or 0.0, i) for i, h, p in rows if h == g))
+        least = 1.0
+        for rank in range(len(own), 0, -1):
+            known, p, i = own[rank - 1]
+            least = min(least, p * len(own) / rank) if known else least
+            assert q[g, i] == pytest.approx(least)
+    times = spark.createDataFrame([(0, rng.random(), 1, i % 2) for i in range(50)], "g int, t double, e int, s int")
+    assert not starts_anew(stats.log_rank(times, ["g"], "t", "e", "s"))
