@@ -155,7 +155,7 @@ def expand(sketches: DataFrame, constants: list[int] | None = None, most: int |
     pool = F.array(*[F.lit(c) for c in constants])
     combos = F.pow(F.lit(float(n)), k)
     many = F.least(combos, F.lit(float(most if most is not None else 1 << 31)))
-    rows = sketches.withColumn("__k", k).withColumn("__all", combos <= many)
+    rows = spread(sketches).withColumn("__k", k).withColumn("__all", combos <= many)
     rows = rows.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), many.cast("long") - 1)))
     draw = lambda i: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "program", F.col("place").cast("string"), i.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long"), F.lit(n))
     digit = lambda i: F.when(F.col("__all"), (F.floor(F.col("place") / F.pow(F.lit(float(n)), F.col("__k") - 1 - i)) % n)).otherwise(draw(i))
