@@ -75,9 +75,13 @@ def enumerated(spark: SparkSession, d: str) -> DataFrame:
         node = syntax.fill(syntax.Lam(("x",), syntax.parse(r.program)), C.HOLE_PROBES)
         value = column(node, "xs", types=[T.ListOf(T.INT)])
         empty = F.array().cast(r.type.replace("list[", "array<").replace("]", ">").replace("int", "bigint").replace("bool", "boolean")) if r.program == "[]" else value
-        values.append(F.struct(F.lit(r.program).alias("program"), F.lit(r.type).alias("type"), banks.value_text(empty).alias("value")))
-    long = orders.select(F.explode(F.array(*values)).alias("v")).select("v.*")
-    return long.groupBy("program", "type").agg(F.count("value").alias("n"), F.sum(F.length("value")).alias("chars"), F.min("value").alias("least"), F.max("value").alias("most"))
+        values.append((r.program, r.type, banks.value_text(empty)))
+    # A column for each program, summed up as orders pass: a row for each program and order would have to be sorted, texts and all.
+    wide = orders.select(*[v.alias(f"v{i}") for i, (_, _, v) in enumerate(values)])
+    sums = [F.struct(F.count(f"v{i}").alias("n"), F.sum(F.length(f"v{i}")).alias("chars"), F.min(f"v{i}").alias("least"), F.max(f"v{i}").alias("most")).alias(f"s{i}") for i in range(len(values))]
+    one = wide.agg(F.count(F.lit(1)).alias("orders"), *sums).where("orders > 0")
+    rows = F.array(*[F.struct(F.lit(p).alias("program"), F.lit(t).alias("type"), F.col(f"s{i}").alias("s")) for i, (p, t, _) in enumerate(values)])
+    return one.select(F.explode(rows).alias("r")).select("r.program", "r.type", "r.s.*")
 
 
 def _enumerated_sql() -> str:
