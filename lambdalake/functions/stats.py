@@ -48,11 +48,12 @@ def spread_midranks(rows: DataFrame, keys: list[str], value: str, name: str = "r
 
 
 def auroc(rows: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
-    """Chance that a positive outscores a negative, ties half."""
+    """Chance that a positive outscores a negative, ties half. The different scores are summed up by sorted ranges, so that no task has
+    all scores of a group."""
     counts = rows.groupBy(*keys, score).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("q"))
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
-    wins = F.sum(F.col("p") * (F.col("below") + F.col("q") / 2))
+    below = running_total(counts, "__below", "q", *keys, score)
+    # The running total goes on from group to group; what a group begins with is its least.
+    wins = F.sum(F.col("p") * (F.col("__below") + F.col("q") / 2)) - F.min("__below") * F.sum("p")
     return below.groupBy(*keys).agg((wins / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auroc"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
 
 

@@ -90,3 +90,23 @@ def test_qvalues_cost_no_square(spark):
             assert q[g, i] == pytest.approx(least)
     times = spark.createDataFrame([(0, rng.random(), 1, i % 2) for i in range(50)], "g int, t double, e int, s int")
     assert not starts_anew(stats.log_rank(times, ["g"], "t", "e", "s"))
+
+
+def test_scores_of_a_group_are_spread(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None]), int(rng.random() < 0.3), rng.choice([None, round(rng.random(), 2)])) for _ in range(600)]
+    got = stats.auroc(spark.createDataFrame(rows, "g string, y int, s double").coalesce(1), ["g"], "y", "s")
+    assert "windowspecdefinition(g#" not in got._jdf.queryExecution().executedPlan().toString()
+    low = lambda s: -1.0 if s is None else s
+    for r in got.collect():
+        p, q = ([low(s) for g, y, s in rows if g == r.g and y == k] for k in (1, 0))
+        assert (r.positives, r.negatives) == (len(p), len(q))
+        assert r.auroc == pytest.approx(sum((a > b) + (a == b) / 2 for a in p for b in q) / (len(p) * len(q)))
+
+
+def test_enumerated_values_are_not_sorted(spark, tmp_path):
+    spark.createDataFrame([(i // 3, float(i % 9)) for i in range(90)], "l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = scopes.enumerated(spark, str(tmp_path))
+    assert "SortAggregate(key=[program" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {(r.program, r.type): tuple(r)[2:] for r in got.collect()}
+    assert found["(length x)", "int"] == (30, 30, "3", "3") and found["x", "list[int]"][:1] == (30,)
