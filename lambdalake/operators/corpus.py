@@ -264,20 +264,27 @@ def shuffled(program: Column, names: dict[str, str]) -> Column:
 def name_permutation(row: Column, names: list[str], k: Column | None = None) -> Column:
     """A map from names to names, a permutation of its own for each row: all names, or ``k`` that the row picks (at least
     none, at most all). Both the pick and the order are those of a hash of row and name."""
-    every = every_name = F.array(*map(F.lit, names))
-    by = lambda salt, xs: F.transform(F.array_sort(F.transform(xs, lambda n: F.struct(F.md5(F.concat(F.lit(f"{salt}:"), row, F.lit(":"), n)).alias("h"), n.alias("n")))), lambda s: s["n"])
-    if k is not None:
-        own = F.slice(by("pick", every), F.lit(1), F.least(F.greatest(k, F.lit(0)), F.lit(len(names))))
-        every = let(own, lambda picked: F.filter(every_name, lambda n: F.array_contains(picked, n)))
-    return let(every, lambda xs: F.map_from_arrays(xs, by("to", xs)))
+    every = F.array(*map(F.lit, names))
+    # A hash of 32 digits and then the name, as one text: sorted without a comparison of structs by an interpreted function.
+    hashed = lambda salt, n: F.concat(F.md5(F.concat(F.lit(f"{salt}:"), row, F.lit(":"), n)), n)
+    bare = lambda xs: F.transform(xs, lambda s: F.substring(s, 33, 1 << 30))
+    of_all = lambda salt: F.sort_array(F.array(*[hashed(salt, F.lit(n)) for n in names]))
+    if k is None:
+        return F.map_from_arrays(every, bare(of_all("to")))
+    first = bare(F.slice(of_all("pick"), F.lit(1), F.least(F.greatest(k, F.lit(0)), F.lit(len(names)))))
+    own = let(first, lambda picked: F.filter(every, lambda n: F.array_contains(picked, n)))
+    return let(own, lambda xs: F.map_from_arrays(xs, bare(F.sort_array(F.transform(xs, lambda n: hashed("to", n))))))
 
 
 def renamed(program: Column, names: Column) -> Column:
-    """``shuffled`` with a map of each row's own."""
-    lexemes = tokens(program)
-    text = F.array_join(F.transform(lexemes, lambda t: F.coalesce(F.try_element_at(names, t), t)), " ")
-    used = F.array_sort(F.array_distinct(F.transform(F.filter(lexemes, lambda t: F.map_contains_key(names, t)), lambda t: F.struct(F.try_element_at(names, t).alias("new"), t.alias("old")))))
-    return F.struct(F.transform(used, lambda u: F.concat(u["new"], F.lit("="), u["old"])).alias("preamble"), text.alias("program"))
+    """``shuffled`` with a map of each row's own, whose values are never NULL."""
+
+    def out(lexemes: Column) -> Column:
+        text = F.array_join(F.transform(lexemes, lambda t: F.coalesce(t["new"], t["old"])), " ")
+        used = F.sort_array(F.array_distinct(F.filter(lexemes, lambda t: t["new"].isNotNull())))
+        return F.struct(F.transform(used, lambda u: F.concat(u["new"], F.lit("="), u["old"])).alias("preamble"), text.alias("program"))
+
+    return let(F.transform(tokens(program), lambda t: F.struct(F.try_element_at(names, t).alias("new"), t.alias("old"))), out)
 
 
 def io_views(pools: DataFrame, least: int, most: int) -> DataFrame:

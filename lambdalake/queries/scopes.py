@@ -108,7 +108,7 @@ RENAMED = "(λ (x) (take {} (map (λ (y) (+ y {})) (reverse (filter (λ (z) (> z
 
 def renamed(spark: SparkSession, d: str, k: Column | None) -> DataFrame:
     """Each line's program under names of its own."""
-    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    rows = spread(spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_suppkey"))
     constants = [F.col(c).cast("long").cast("string") for c in ("l_linenumber", "l_quantity", "l_suppkey")]
     parts = RENAMED.split("{}")
     program = F.concat(F.lit(parts[0]), *[x for c, p in zip(constants, parts[1:], strict=True) for x in (c, F.lit(p))])
