@@ -8,17 +8,20 @@ as ``true`` is not ``1``; ``untyped`` makes them one.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..dsl import interpreter, syntax, types
 from ..dsl.compiler import column, compile_function
 from ..dsl.primitives import SIGNATURES, get_grammar
+from ..functions.digests import md5_of_pairs
 from ..functions.order import numbered, running_total, spread
-from .primitives import let
 
 #: Test inputs, probe values and constants (fixed values).
 TEST_SUITE = [[], [0], [3, 1, 2], [1, 1, 1, 1], [5, 4, 3, 2, 1], [1, 2, 3, 4, 5, 6, 7, 8], [10, -3, 7, 7, 0], [2, 8, 3, 8, 2, 3], [0, 1, 0, 1, 0], [42]]
@@ -26,6 +29,8 @@ PROBES = {"int": [0, 1, 3], "bool": [True, False], "list[int]": [[], [1], [2, 1,
 HOLE_PROBES = [5, 3, 7, 2, 9, 0, 8, 1, 6, 4]
 SEED_CONSTANTS = list(range(11))
 MIN_SUCCESSES, MIN_VARIABILITY = 3, 0.3
+#: A lexeme of a program's text.
+LEXEME = r"(λ|[()\[\]]|\d+|[^\s()\[\]λ]+)"
 #: Texts of programs whose values a task keeps at most.
 REMEMBERED = 50_000
 
@@ -236,7 +241,7 @@ def validation_split(texts: DataFrame) -> DataFrame:
 
 def tokens(program: Column) -> Column:
     """Lexemes of a program's text."""
-    return F.regexp_extract_all(program, F.lit(r"(λ|[()\[\]]|\d+|[^\s()\[\]λ]+)"), 1)
+    return F.regexp_extract_all(program, F.lit(LEXEME), 1)
 
 
 def vocabulary() -> list[str]:
@@ -261,30 +266,86 @@ def shuffled(program: Column, names: dict[str, str]) -> Column:
     return F.struct(F.transform(used, lambda u: F.concat(u["new"], F.lit("="), u["old"])).alias("preamble"), text.alias("program"))
 
 
-def name_permutation(row: Column, names: list[str], k: Column | None = None) -> Column:
-    """A map from names to names, a permutation of its own for each row: all names, or ``k`` that the row picks (at least
-    none, at most all). Both the pick and the order are those of a hash of row and name."""
-    every = F.array(*map(F.lit, names))
-    # A hash of 32 digits and then the name, as one text: sorted without a comparison of structs by an interpreted function.
-    hashed = lambda salt, n: F.concat(F.md5(F.concat(F.lit(f"{salt}:"), row, F.lit(":"), n)), n)
-    bare = lambda xs: F.transform(xs, lambda s: F.substring(s, 33, 1 << 30))
-    of_all = lambda salt: F.sort_array(F.array(*[hashed(salt, F.lit(n)) for n in names]))
-    if k is None:
-        return F.map_from_arrays(every, bare(of_all("to")))
-    first = bare(F.slice(of_all("pick"), F.lit(1), F.least(F.greatest(k, F.lit(0)), F.lit(len(names)))))
-    own = let(first, lambda picked: F.filter(every, lambda n: F.array_contains(picked, n)))
-    return let(own, lambda xs: F.map_from_arrays(xs, bare(F.sort_array(F.transform(xs, lambda n: hashed("to", n))))))
+def _permutations(ids: pa.Array, names: list[str], k: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each row which names it permutes, and into which each of them goes (-1: into none): the first ``k`` by one hash of row
+    and name, ordered by another. A row without an id permutes none."""
+
+    def ranked(salt: str, among: np.ndarray) -> np.ndarray:
+        heads = pc.binary_join_element_wise(f"{salt}:", pc.fill_null(ids, ""), ":", "").cast(pa.large_binary())
+        _, offsets, data = heads.buffers()
+        at = np.frombuffer(offsets, np.int64)[: len(heads) + 1]
+        high, low = md5_of_pairs(np.frombuffer(data, np.uint8), at, [n.encode() for n in names], among).transpose(0, 2, 1)
+        first = np.where(among, high, np.uint64(2**64 - 1))
+        order = np.argsort(first, axis=1, kind="stable")
+        ranks = np.take_along_axis(first, order, 1)
+        # Halves that agree are as good as never met; such rows are sorted by whole hashes and names.
+        for r in np.flatnonzero(((ranks[:, 1:] == ranks[:, :-1]) & (np.arange(1, len(names)) < among.sum(1)[:, None])).any(1)).tolist():
+            order[r] = sorted(range(len(names)), key=lambda i: (not among[r, i], high[r, i], low[r, i], names[i]))
+        return order
+
+    own = np.repeat(np.asarray(ids.is_valid())[:, None], len(names), 1)
+    if k is not None:
+        own &= np.argsort(ranked("pick", own), axis=1) < k[:, None]
+    row, name = np.nonzero(own)
+    if len(row) == own.size:
+        return own, ranked("to", own)
+    counts = own.sum(1)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    into = np.full(own.shape, -1, np.int64)
+    into[row, name] = ranked("to", own)[row, place]
+    return own, into
+
+
+def _lexemes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``tokens`` of a batch: how many each text has (none if NULL), and all of them as numbers of different ones, which follow.
+    Marks are set apart and the rest is split at spaces; a number that runs into a name is left to the regular expression."""
+    apart = texts
+    for mark in "()[]λ":
+        apart = pc.replace_substring(apart, mark, f" {mark} ")
+    apart = pc.ascii_trim_whitespace(apart)
+    lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(apart, ""), pa.scalar(None, pa.string()), apart))
+    words = lists.flatten().dictionary_encode()
+    if any(w[0] in "0123456789" and w.strip("0123456789") for w in words.dictionary.to_pylist()):
+        lists = pa.array([re.findall(LEXEME, t or "", re.ASCII) for t in texts.to_pylist()], pa.list_(pa.string()))
+        words = lists.flatten().dictionary_encode()
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), words.indices.to_numpy(), words.dictionary
+
+
+def renamed(rows: DataFrame, row: Column, program: Column, names: list[str], k: Column | None = None) -> DataFrame:
+    """The rows' programs under names of their own, as ``shuffled``: each row, which ``row`` identifies as a text, has a permutation
+    of all names, or of ``k`` that it picks (at least none, at most all). With ``program``, ``preamble`` and ``bijection``, whether
+    the row's names go into just these names. Names are few; each batch is hashed, sorted and renamed as arrays, and its texts
+    are split by Arrow, as ``tokens`` took most of the time."""
+    shown = rows.columns
+    few = F.lit(len(names)) if k is None else F.least(F.greatest(k, F.lit(0)), F.lit(len(names)))
+    given = rows.select("*", row.alias("__row"), program.alias("__text"), few.cast("int").alias("__k"))
+    schema = rows.select("*", F.lit(None).cast("string").alias("program"), F.lit(None).cast("array<string>").alias("preamble"), F.lit(True).alias("bijection")).schema
+    n, some = len(names), k is not None
+    by_text = sorted(range(n), key=lambda i: names[i].encode())
+    known, in_order = pa.array(names, pa.string()), pa.array([f"{names[a]}={names[b]}" for a in by_text for b in range(n)], pa.string())
+    rank = np.argsort(by_text)
 
-
-def renamed(program: Column, names: Column) -> Column:
-    """``shuffled`` with a map of each row's own, whose values are never NULL."""
-
-    def out(lexemes: Column) -> Column:
-        text = F.array_join(F.transform(lexemes, lambda t: F.coalesce(t["new"], t["old"])), " ")
-        used = F.sort_array(F.array_distinct(F.filter(lexemes, lambda t: t["new"].isNotNull())))
-        return F.struct(F.transform(used, lambda u: F.concat(u["new"], F.lit("="), u["old"])).alias("preamble"), text.alias("program"))
-
-    return let(F.transform(tokens(program), lambda t: F.struct(F.try_element_at(names, t).alias("new"), t.alias("old"))), out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, texts, most = batch.columns[-3:]
+            own, into = _permutations(ids, names, most.to_numpy(zero_copy_only=False) if some else None)
+            same = np.sort(np.where(own, into, n), 1) == np.sort(np.where(own, np.arange(n), n), 1)
+            lengths, words, different = _lexemes(texts)
+            at = np.repeat(np.arange(len(lengths)), lengths)
+            old = pc.fill_null(pc.index_in(different, known), -1).to_numpy(zero_copy_only=False)[words]
+            new = np.where(old >= 0, into[at, old], -1)
+            text = pa.concat_arrays([known, different]).take(pa.array(np.where(new >= 0, new, n + words)))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), text), " ")
+            hit = new >= 0
+            used = np.unique((at[hit] * n + rank[new[hit]]) * n + old[hit])
+            ends = pa.array(np.searchsorted(used, np.arange(len(lengths) + 1) * n * n), pa.int32())
+            preamble = pa.ListArray.from_arrays(ends, in_order.take(pa.array(used % (n * n))))
+            out = [pc.if_else(texts.is_valid(), x, pa.scalar(None, x.type)) for x in (joined, preamble)]
+            yield pa.record_batch([*batch.columns[:-3], *out, pa.array(same.all(1) & np.asarray(ids.is_valid()))], [*shown, "program", "preamble", "bijection"])
+
+    return given.mapInArrow(run, schema)
 
 
 def io_views(pools: DataFrame, least: int, most: int) -> DataFrame:

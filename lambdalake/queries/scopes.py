@@ -113,9 +113,8 @@ def renamed(spark: SparkSession, d: str, k: Column | None) -> DataFrame:
     parts = RENAMED.split("{}")
     program = F.concat(F.lit(parts[0]), *[x for c, p in zip(constants, parts[1:], strict=True) for x in (c, F.lit(p))])
     row = F.concat_ws("-", "l_orderkey", "l_linenumber")
-    out = rows.withColumn("names", C.name_permutation(row, NAMES, k)).withColumn("s", C.renamed(program, F.col("names")))
-    is_bijection = F.size(F.array_intersect(F.map_keys("names"), F.map_values("names"))) == F.size("names")
-    return out.select("l_orderkey", "l_linenumber", F.col("s.program").alias("program"), F.array_join("s.preamble", ";").alias("preamble"), is_bijection.alias("bijection"))
+    out = C.renamed(rows, row, program, NAMES, k)
+    return out.select("l_orderkey", "l_linenumber", "program", F.array_join("preamble", ";").alias("preamble"), "bijection")
 
 
 def _renamed_sql(k: str | None) -> str:
