@@ -56,3 +56,9 @@ def test_hashes_of_pairs():
 def test_all_names(spark, names):
     check(spark, names, None)
     assert not dear(scopes.queries()["symbols_permuted"](spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("names", [scopes.NAMES, ["take", "+", "max"], ["max"]])
+def test_names_that_a_row_picks(spark, names):
+    check(spark, names, F.col("k"))
+    assert not dear(scopes.queries()["symbols_partly_permuted"](spark, "/root/testdata/sf0.001"))
