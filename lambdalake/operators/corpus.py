@@ -33,6 +33,8 @@ MIN_SUCCESSES, MIN_VARIABILITY = 3, 0.3
 LEXEME = r"(λ|[()\[\]]|\d+|[^\s()\[\]λ]+)"
 #: Texts of programs whose values a task keeps at most.
 REMEMBERED = 50_000
+#: Places of a sketch that are expanded as one array.
+BLOCK = 1 << 14
 
 
 def value_text(value: object) -> str | None:
@@ -153,17 +155,22 @@ def fill(program: Column, values: Column) -> Column:
 
 
 def expand(sketches: DataFrame, constants: list[int] | None = None, most: int | None = None, seed: int = 0) -> DataFrame:
-    """Sketches with constants in their holes: all combinations, or ``most`` draws where there are more. Each
-    row has program, sketch, type, size, substitution and ``place``, its number among the sketch's."""
+    """Sketches with constants in their holes: all combinations, or, for who asks for no more than ``most``, as many draws where
+    there are more. Each row has program, sketch, type, size, substitution and ``place``, its number among the sketch's. A sketch's
+    places are dealt out in blocks, so neither memory nor the work of a task grows with the combinations."""
     constants = SEED_CONSTANTS if constants is None else constants
     n, k = len(constants), holes(F.col("program"))
     pool = F.array(*[F.lit(c) for c in constants])
-    combos = F.pow(F.lit(float(n)), k)
-    many = F.least(combos, F.lit(float(most if most is not None else 1 << 31)))
-    rows = spread(sketches).withColumn("__k", k).withColumn("__all", combos <= many)
-    rows = rows.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), many.cast("long") - 1)))
+    # As whole numbers, which doubles are not beyond 2 ** 53; more fillings than a long can count are no list to be made.
+    powers = [n**i for i in range(64) if n**i < 1 << 63]
+    power = lambda i: F.get(F.array(*[F.lit(p).cast("long") for p in powers]), i)
+    combos = F.coalesce(power(k), F.when(k.isNotNull(), F.raise_error(F.lit("a sketch with more fillings than a long can count"))) if most is None else F.when(k.isNotNull(), F.lit((1 << 63) - 1)))
+    many = combos if most is None else F.least(combos, F.lit(most).cast("long"))
+    rows = sketches.withColumn("__k", k).withColumn("__n", many).withColumn("__all", F.lit(True) if most is None else combos <= most).where("__n > 0")
+    rows = spread(rows.withColumn("__block", F.explode(F.expr(f"sequence(0L, (__n - 1) div {BLOCK}L)"))))
+    rows = rows.withColumn("place", F.explode(F.expr(f"sequence(__block * {BLOCK}L, least(__block * {BLOCK}L + {BLOCK - 1}L, __n - 1))")))
     draw = lambda i: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "program", F.col("place").cast("string"), i.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long"), F.lit(n))
-    digit = lambda i: F.when(F.col("__all"), (F.floor(F.col("place") / F.pow(F.lit(float(n)), F.col("__k") - 1 - i)) % n)).otherwise(draw(i))
+    digit = lambda i: F.when(F.col("__all"), F.call_function("div", F.col("place"), power(F.col("__k") - 1 - i)) % n).otherwise(draw(i))
     indices = F.when(F.col("__k") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("__k") - 1, F.lit(0))), lambda i: F.get(pool, digit(i).cast("int")))).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn("substitution", indices)
     return rows.select(fill(F.col("program"), F.col("substitution")).alias("program"), F.col("program").alias("sketch"), *[c for c in sketches.columns if c != "program"], "substitution", "place")

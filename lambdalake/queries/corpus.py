@@ -146,9 +146,10 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", parsing.truthy(F.expr("CASE event_id % 5 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'f' WHEN 2 THEN 'NA' WHEN 3 THEN cast(user_id AS string) ELSE 'what' END")).alias("score")),
         "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 1.0 WHEN 3 THEN user_id::DOUBLE ELSE 0.0 END::DOUBLE AS score FROM events",
     ),
-    # A text's first row stands for its others before it is evaluated: the first row of a behaviour is among these.
+    # All fillings of each sketch. A sketch's first row stands for its others before it is expanded, a text's before it is evaluated:
+    # the first row of a behaviour is among these.
     "expand_sketches": (
-        lambda s, d: C.dedup(C.evaluate(C.dedup(C.expand(sketches(s, d), most=3), "place", ("type", "program"))).where(C.good(F.col("fp"))), "place", ("type", "fp")).select("program", "type", "size", "place"),
+        lambda s, d: C.dedup(C.evaluate(C.dedup(C.expand(C.dedup(sketches(s, d), "p_partkey", ("type", "program"))), "place", ("type", "program"))).where(C.good(F.col("fp"))), "place", ("type", "fp")).select("program", "type", "size", "place"),
         "",
     ),
     "expand_all": (lambda s, d: C.expand(sketches(s, d)).select("p_partkey", "program", "sketch", "place"), expanded_sql(None)),
